@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_rules as rules
+from .bpe import encode_documents
 from .common import read_table
 from .near_dedup import near_duplicates
+from .token_files import read_tokens, write_tokens
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    digest = [F.sha2(F.col(a), 256).alias(b) for a, b in (("ids", "ids_sha256"), ("decoded", "decoded_sha256"))]
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *digest)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_token_files, op4_quality_rules, op10_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle_sql()}

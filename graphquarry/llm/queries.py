@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from . import quality_rules as rules
 from .bpe import encode_documents
-from .common import read_table
+from .common import id_crc_mod3, read_table
 from .near_dedup import near_duplicates
 from .token_files import read_tokens, write_tokens
 
@@ -17,6 +18,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(id_crc_mod3() != 1)
+    index = toxicity.learn(docs.join(labels, "doc_id"))
+    out = toxicity.score(docs, index)
+    return out.select("doc_id", F.coalesce(id_crc_mod3() == 1, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -26,6 +35,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    langs, log_p = language_id.learn(docs.where(id_crc_mod3() != 1))
+    out = language_id.identify(docs.select("doc_id", "text"), langs, log_p)
+    return out.select("doc_id", F.coalesce(id_crc_mod3() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
@@ -33,5 +49,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *digest)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_token_files, op4_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_token_files, op4_quality_rules, op9_language_id, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle_sql()}

@@ -150,7 +150,7 @@ def _block_links(percent: int, least: int):
     return run
 
 
-def _rest(m: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+def _rest(m: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
     """Links between nodes (node, part, leader) of buckets whose leader left several parts.
 
     Nodes whose buckets touch form a cluster; a cluster is cut into blocks of a bounded number of nodes and shingles, and
@@ -162,7 +162,6 @@ def _rest(m: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int
     w = m.select("node", "part", "n_shingles").distinct().join(g, "node")
     cut = w.groupBy("g").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     sketches = nodes.select(F.col("doc_id").alias("node"), "bands", "sketch")
-    sets = map_texts(texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), lambda: _sets(k), "s array<bigint>")
     w = w.join(cut, "g").join(sketches, "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
     w = w.withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")]
@@ -185,11 +184,8 @@ def _sets(k: int):
     return lambda texts: ([s.view(np.int64) for s in shingle_sets(texts, k)],)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = texts.join(ids, "doc_id", "left_semi")
-    sets = materialize(map_texts(wanted, lambda: _sets(k), "s array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.where(F.size("sa") * 100 >= F.size("sb") * percent).where(F.size("sb") * 100 >= F.size("sa") * percent)
     common = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
@@ -223,12 +219,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 
     lead = member.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("neg"))).alias("top")).select("band", (-F.col("top.neg")).alias("leader"))
     star = materialize(member.join(lead, "band").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
-    links = materialize(_linked(star, texts, k, percent), "links")
+    # full sets of the documents that meet another: the one pass that deals out texts, by a merge join at every size
+    ids = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
+    sets = materialize(map_texts(texts.join(ids.hint("merge"), "doc_id", "left_semi"), lambda: _sets(k), "s array<bigint>"), "sets")
+    links = materialize(_linked(star, sets, percent), "links")
     part = connected_components(member.select(F.col("node").alias("id")), links).withColumnsRenamed({"id": "node", "component": "part"})
     m = member.join(part, "node")
     apart = m.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").join(lead, "band")
     m = materialize(m.join(apart.select("band", "leader"), "band").select("node", "part", "leader", "n_shingles").distinct(), "apart")
-    more = _rest(m, nodes, texts, k, percent, int(rows * bands * (percent / 100 - SLACK)))
+    more = _rest(m, nodes, sets, percent, int(rows * bands * (percent / 100 - SLACK)))
     edges = copies.unionByName(links).unionByName(more)
     comp = connected_components(full.select(F.col("doc_id").alias("id")), edges)
     out = a.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")

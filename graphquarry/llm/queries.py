@@ -11,6 +11,7 @@ from . import quality_rules as rules
 from .bpe import encode_documents
 from .common import id_crc_mod3, read_table
 from .near_dedup import near_duplicates
+from .suffix_dedup import repeated_spans
 from .token_files import read_tokens, write_tokens
 
 
@@ -35,6 +36,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_spans(read_table(spark, sf_dir, "documents"), least=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["stop"] - x["start"]))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     langs, log_p = language_id.learn(docs.where(id_crc_mod3() != 1))
@@ -49,5 +56,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *digest)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_token_files, op4_quality_rules, op9_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_token_files, op4_quality_rules, op6_suffix_dedup, op9_language_id, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle_sql()}

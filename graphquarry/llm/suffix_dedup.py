@@ -97,22 +97,24 @@ def _runs(flag: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(start), np.flatnonzero(stop) + 1
 
 
-def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_bytes, spans and kept.
 
     Texts are UTF-8 bytes (null: empty). spans are the maximal runs of bytes that some string of `least` bytes covers which
-    also starts earlier: in a smaller doc_id, or before in the same document; overlaps count. kept (binary) is the rest.
+    also starts earlier: in a smaller doc_id, or before in the same document; overlaps count. kept (binary) is the rest; if
+    asked, kept_text is the rest as text, where a character that a cut leaves in part goes too. Columns named in carry come
+    along as the struct `carried`.
     Rows with a null doc_id match nothing and stay whole. Rows that share a doc_id but not a text are ordered by a hash of
     the text; rows that repeat both are one document with one result. An empty table gives an empty result.
     """
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("carried"))
+    t = t.select("doc_id", F.xxhash64("text").alias("th"), "text", "carried")
     # whole copies of an earlier text
     names = t.where(f"doc_id IS NOT NULL AND octet_length(text) >= {least}").select("doc_id", "th", F.xxhash64(F.lit(1), "text").alias("th2"), F.octet_length("text").alias("size"))
     first = names.groupBy("th", "th2", "size").agg(F.min("doc_id").alias("first"))
     copies = names.join(first, ["th", "th2", "size"]).where("doc_id <> first").select("doc_id", "th", F.lit(0).alias("p"), (F.col("size") - (least - 1)).alias("n")).distinct()
 
-    seg = materialize(_all_segments(t.where("doc_id IS NOT NULL"), least), "segments")
+    seg = materialize(_all_segments(t.where("doc_id IS NOT NULL").drop("carried"), least), "segments")
     common = seg.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     again = materialize(seg.join(common, "h"), "again")
     place = F.struct("doc_id", "th", "p").alias("place")
@@ -136,7 +138,8 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT) -> DataFra
     late = single.join(earliest, "h").where(at != F.col("head")).select("doc_id", "th", "p", F.lit(1).alias("n"))
     dup = copies.unionByName(equal).unionByName(found).unionByName(late)
     runs = dup.groupBy("doc_id", "th").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
-    return _cut(dealt.join(runs.hint("merge"), ["doc_id", "th"], "left"), least).select("doc_id", "n_bytes", "spans", "kept")
+    out = _cut(dealt.join(runs.hint("merge"), ["doc_id", "th"], "left"), least, texts)
+    return out if carry else out.drop("carried")
 
 
 def _all_segments(t: DataFrame, least: int) -> DataFrame:
@@ -219,8 +222,9 @@ def _indexed(strings: DataFrame, least: int) -> DataFrame:
     return strings.repartition("h").sortWithinPartitions("doc_id", "th", "p").mapInArrow(run, schema)
 
 
-def _cut(t: DataFrame, least: int) -> DataFrame:
-    schema = T._parse_datatype_string("doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
+def _cut(t: DataFrame, least: int, texts: bool) -> DataFrame:
+    made = "n_bytes long, spans array<struct<start:int,stop:int>>, kept binary" + ", kept_text string" * texts
+    schema = T.StructType([t.schema["doc_id"], t.schema["carried"], *T._parse_datatype_string(made)])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -242,6 +246,8 @@ def _cut(t: DataFrame, least: int) -> DataFrame:
                     size.append(len(b))
                     spans.append([{"start": s, "stop": e} for s, e in own])
                     kept.append(b"".join(b[s:e] for s, e in zip(cut[::2], cut[1::2], strict=True)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(spans, arrow.field("spans").type), pa.array(kept, pa.binary())], schema=arrow)
+                more = [pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())] if texts else []
+                carried = part.column("carried").cast(arrow.field("carried").type)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), carried, pa.array(size, pa.int64()), pa.array(spans, arrow.field("spans").type), pa.array(kept, pa.binary()), *more], schema=arrow)
 
-    return t.select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return t.select("doc_id", "carried", "text", "runs").mapInArrow(run, schema)

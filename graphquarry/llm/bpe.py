@@ -114,7 +114,12 @@ def load(path: str, pattern: str) -> tuple[Bpe, TextEncoder]:
     """Of a file of base64 tokens and ranks; kept by each Python worker."""
     with open(path, "rb") as f:
         bpe = Bpe({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
-    return bpe, TextEncoder(pattern, lambda m: struct.pack(f"<{len(ids := bpe.encode(m.encode('utf-8', 'replace')))}I", *ids))
+
+
+    def matches(found: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (bpe.encode(m.encode("utf-8", "replace")) for m in found)]
+
+    return bpe, TextEncoder(pattern, matches)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
@@ -128,7 +133,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = Fa
         bpe, text = load(path, pattern)
 
         def work(texts: list[str | None]):
-            ids = [text.encode(t) for t in texts]
+            ids = text.encode(texts)
             return (ids, [bpe.decode(x) for x in ids]) if decode else (ids,)
 
         return work

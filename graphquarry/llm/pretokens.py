@@ -8,88 +8,103 @@ import regex
 
 #: The characters of the White_Space property: fixed values.
 WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0                　")
-#: Entries of each of two generations of a cache, and the longest key that is kept.
-ENTRIES, LONGEST = 250_000, 64
-#: The usual pattern of byte-level vocabularies (fixed value): letters and then marks are always two of its matches.
+#: Entries of each of two generations of what is remembered, the longest piece that is, and characters of a text encoded at once.
+ENTRIES, LONGEST, SLICE = 500_000, 64, 1 << 20
+#: The usual pattern of byte-level vocabularies (fixed value): a letter or digit and a mark after it are always two matches.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MARKS = ".,;:!?%$*&#|)"
-
-
-class _Irregular(Exception):
-    pass
-
-
-class _Memo(dict):
-    """A dict of at most two generations; older entries that are used come back."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        v = self.old.get(key)
-        if v is None:
-            v = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[key] = v
-        return v
+_ALONE = regex.compile(r"(?<=\P{White_Space})[ \n](?=\P{White_Space})")
+_AFTER_MARK = regex.compile(r"[^\p{L}\p{N}\p{White_Space}][,.]")
 
 
 class TextEncoder:
-    """encode(text): the ids as little-endian unsigned 32-bit integers.
+    """encode(texts): for each the ids as little-endian unsigned 32-bit integers.
 
     pattern must be of the kind that public byte-level vocabularies use: a run of white space never reaches into what
     follows it but for one space in front of a match. So a single space or line end between two other characters always
-    parts matches, and the pieces between such places can be encoded alone and remembered.
+    parts matches, and the pieces between such places can be encoded alone and remembered, for two generations of at most
+    ENTRIES pieces. encode_matches gets each unknown match once a batch.
     """
 
-    def __init__(self, pattern: str, encode_match: Callable[[str], bytes]):
+    def __init__(self, pattern: str, encode_matches: Callable[[list[str]], list[bytes]]):
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.match = _Memo(encode_match)
-        self.one = encode_match
-        self.run = _Memo(self._run)
-        self.piece = _Memo(self._piece)
-        self.plain = pattern == BYTE_LEVEL
-
-    def _run(self, run: str) -> bytes:
-        return b"".join([self.match[m] for m in self.find(run)])
-
-    def _piece(self, p: str) -> bytes:
-        mark, body = (p[0], p[1:]) if p[:1] in ("\0", "\1") else ("", p)
-        if not body or body[-1] in WHITE or mark != "\1" and body[0] in WHITE:
-            raise _Irregular
-        if self.plain and (word := body.rstrip(_MARKS)).isalpha():
-            if mark == "":
-                v = self.one(" " + word) if word == body else self.piece[word]
-            else:
-                v = self.match[word] if mark == "\1" else self.match["\n"] + self.match[word]
-            return v if word == body else v + self.match[body[len(word) :]]
-        return self._run({"": " ", "\0": "\n", "\1": ""}[mark] + body)
+        self.make = encode_matches
+        self.marks = pattern == BYTE_LEVEL
+        self.known: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self._parts(x) for t in texts for x in self._slices(t or "")]
+        self._learn(set().union(*cut))
+        get, made, out = self.known.__getitem__, iter(cut), []
+        for t in texts:
+            out.append(b"".join([self._join(get, next(made)) for _ in self._slices(t or "")]))
+        if len(self.known) > ENTRIES:
+            self.old, self.known = {k: v for k, v in self.known.items() if len(k) <= LONGEST}, {}
+        return out
+
+    def _join(self, get: Callable[[str], bytes | None], parts: list[str]) -> bytes:
+        try:
+            return b"".join(map(get, parts))
+        except TypeError:  # a piece cannot stand alone: the text is cut again, only where white space is single
+            runs = self._runs(parts)
+            self._learn(set(runs))
+            return b"".join(map(get, runs))
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "\0" in text or "\1" in text:
-            return self._run(text)
-        parts = text.replace("\n", " \0").split(" ")
+    @staticmethod
+    def _slices(text: str) -> list[str]:
+        out = []
+        while len(text) > SLICE and (m := _ALONE.search(text, SLICE)):
+            out.append(text[: m.start()])
+            text = text[m.start() :]
+        return [*out, text] if text else out
+
+    def _parts(self, text: str) -> list[str]:
+        """Pieces after a space; \\0 in front: after a line end; \\1: after nothing; \\2: a mark after a letter or digit; \\3: as it is."""
+        if "\0" in text or "\1" in text or "\2" in text or "\3" in text:
+            return ["\3" + text]
+        text = text.replace("\n", " \0")
+        if self.marks and not _AFTER_MARK.search(text):
+            text = text.replace(",", " \2,").replace(".", " \2.")
+        parts = text.split(" ")
         parts[0] = "\1" + parts[0]
-        try:
-            return b"".join(map(self.piece.__getitem__, parts))
-        except _Irregular:
-            return b"".join(map(self.run.__getitem__, self._runs(parts)))
+        return parts
+
+    def _learn(self, pieces: set[str]) -> None:
+        need: dict[str, list[str]] = {}
+        for p in pieces.difference(self.known):
+            if p in self.old:
+                self.known[p] = self.old[p]
+            elif (m := self._matches(p)) is None:
+                self.known[p] = None
+            else:
+                need[p] = m
+        one = list({m for ms in need.values() for m in ms})
+        ids = dict(zip(one, self.make(one), strict=True)) if one else {}
+        for p, ms in need.items():
+            self.known[p] = ids[ms[0]] if len(ms) == 1 else b"".join([ids[m] for m in ms])
+
+    def _matches(self, p: str) -> list[str] | None:
+        if p.isalpha():
+            return [" " + p] if self.marks else self.find(" " + p)
+        mark, body = (p[0], p[1:]) if p[:1] in ("\0", "\1", "\2", "\3") else ("", p)
+        if mark == "\3":
+            return self.find(body)
+        if not body or body[-1] in WHITE or mark != "\1" and body[0] in WHITE:
+            return None
+        if mark == "\2" and len(body) == 1:
+            return [body]
+        return self.find({"": " ", "\0": "\n", "\1": "", "\2": ""}[mark] + body)
 
     @staticmethod
     def _runs(parts: list[str]) -> list[str]:
-        """The text of parts again, cut before each single space or line end between other characters."""
+        """parts as runs (\\3) cut before each single space or line end between other characters."""
         out, now = [], [parts[0][1:]]
         end = now[0][-1:]
         for p in parts[1:]:
-            sep, body = ("\n", p[1:]) if p[:1] == "\0" else (" ", p)
-            if end and end not in WHITE and body and body[0] not in WHITE:
-                out.append("".join(now))
+            sep, body = {"\0": "\n", "\2": ""}.get(p[:1], " "), p[1:] if p[:1] in ("\0", "\2") else p
+            if sep and end and end not in WHITE and body and body[0] not in WHITE:
+                out.append("\3" + "".join(now))
                 now = []
             now.append(sep + body)
             end = body[-1:] or sep
-        return [*out, "".join(now)]
+        return [*out, "\3" + "".join(now)]

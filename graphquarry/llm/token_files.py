@@ -86,6 +86,9 @@ def load(path: str):
     Where the file asks for plain byte-level matches, equal matches have equal ids: the library encodes each once and the
     ids are remembered. Else it encodes whole texts.
     """
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -93,10 +96,29 @@ def load(path: str):
     with open(path, encoding="utf-8") as f:
         d = json.load(f)
     pre = d.get("pre_tokenizer") or {}
-    one = lambda m: struct.pack(f"<{len(ids := t.encode(m, add_special_tokens=False).ids)}I", *ids)
+
+    def batch(found: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in t.encode_batch_fast(found, add_special_tokens=False)]
+
+    def words(found: list[str]) -> list[bytes]:
+        """As batch, but a text holds many matches of a space and letters: the library parts them again."""
+        plain = [m for m in found if m[0] == " " and m[1:].isalpha()]
+        rest = [m for m in found if not (m[0] == " " and m[1:].isalpha())]
+        out = dict(zip(rest, batch(rest), strict=True)) if rest else {}
+        for a in range(0, len(plain), 500):
+            part = plain[a : a + 500]
+            e = t.encode("".join(part), add_special_tokens=False)
+            ids, at = np.array(e.ids, "<u4"), np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1))
+            if len(at) != len(part):
+                out |= zip(part, batch(part), strict=True)
+                continue
+            data, cut = ids.tobytes(), [*(at * 4).tolist(), 4 * len(ids)]
+            out |= {m: data[i:j] for m, i, j in zip(part, cut, cut[1:])}
+        return [out[m] for m in found]
+
     if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not d.get("normalizer") and all(x["special"] for x in d["added_tokens"]):
-        return TextEncoder(BYTE_LEVEL, one).encode, t.get_vocab_size()
-    return (lambda text: one(text) if text else b""), t.get_vocab_size()
+        return TextEncoder(BYTE_LEVEL, words).encode, t.get_vocab_size()
+    return (lambda texts: batch([x or "" for x in texts])), t.get_vocab_size()
 
 
 def _shard(number: int, keys: list[int | None], ids: list[bytes], width: int) -> dict:
@@ -129,8 +151,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         width, end = 2 if max(size, end_id + 1) <= 1 << 16 else 4, np.array([end_id], "<u4").tobytes()
         part, seq, total, keys, ids = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids.append(encode(text.as_py()) + end)
+            made = (x for a in range(0, batch.num_rows, 256) for x in encode(batch.column("text").slice(a, 256).to_pylist()))
+            for key, one in zip(batch.column("doc_id").to_pylist(), made, strict=True):
+                ids.append(one + end)
                 keys.append(key)
                 total += len(ids[-1]) // 4
                 if total >= SHARD_IDS or len(ids) >= SHARD_DOCS:

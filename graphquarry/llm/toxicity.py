@@ -68,11 +68,11 @@ class Index:
     def nearest(self, query: dict[int, float]) -> list[tuple[float, int]]:
         """The exact NEAREST examples of positive cosine, by falling cosine and then place. Blocks are opened by falling bound, until none left can hold a nearer one."""
         terms = list(query)
-        bound = sum(query[t] * self.most[t] for t in terms)
+        bound = np.round(sum(query[t] * self.most[t] for t in terms), 12)
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == NEAREST and bound[b] < -best[-1][0] - 1e-12:
-                break
+            if bound[b] <= 0 or len(best) == NEAREST and (-bound[b], b * BLOCK) >= best[-1]:
+                break  # neither a nearer one nor, at an equal cosine, an earlier one is left
             score = np.zeros(BLOCK)
             for t in terms:
                 i, j = self.cuts[t][b], self.cuts[t][b + 1]

@@ -7,6 +7,8 @@ of them; only what is left goes, segment by segment in document order, to index
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,15 +110,18 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     the text; rows that repeat both are one document with one result. An empty table gives an empty result.
     """
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("carried"))
-    t = t.select("doc_id", F.xxhash64("text").alias("th"), "text", "carried")
+    # th tells rows of one doc_id apart; where ids are unique it is 0 and costs nothing in what is shuffled
+    unique = t.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    t = t.select("doc_id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("th"), "text", "carried")
     # whole copies of an earlier text
-    names = t.where(f"doc_id IS NOT NULL AND octet_length(text) >= {least}").select("doc_id", "th", F.xxhash64(F.lit(1), "text").alias("th2"), F.octet_length("text").alias("size"))
-    first = names.groupBy("th", "th2", "size").agg(F.min("doc_id").alias("first"))
-    copies = names.join(first, ["th", "th2", "size"]).where("doc_id <> first").select("doc_id", "th", F.lit(0).alias("p"), (F.col("size") - (least - 1)).alias("n")).distinct()
+    names = t.where(f"doc_id IS NOT NULL AND octet_length(text) >= {least}").select("doc_id", "th", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.octet_length("text").alias("size"))
+    first = names.groupBy("t1", "t2", "size").agg(F.min("doc_id").alias("first"))
+    copies = names.join(first, ["t1", "t2", "size"]).where("doc_id <> first").select("doc_id", "th", F.lit(0).alias("p"), (F.col("size") - (least - 1)).alias("n")).distinct()
 
-    seg = materialize(_all_segments(t.where("doc_id IS NOT NULL").drop("carried"), least), "segments")
+    # made twice, once for counts alone: they are cheaper to make than to keep
+    seg = _all_segments(t.where("doc_id IS NOT NULL").drop("carried"), least)
     common = seg.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    again = materialize(seg.join(common, "h"), "again")
+    again = materialize(seg.join(common, "h").select("doc_id", "th", "h", "f", "c", F.shiftright("pn", 8).cast("int").alias("p"), F.col("pn").bitwiseAND(F.lit(255)).cast("int").alias("n")), "again")
     place = F.struct("doc_id", "th", "p").alias("place")
     head = again.groupBy("f").agg(F.min(place).alias("head"))
     mixed = again.groupBy("h").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("h")
@@ -126,10 +131,8 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     open_ = marked.where("is_head").join(mixed, "h", "left_semi").select("doc_id", "th", "h", "p", "n", (F.col("c") > hot).alias("hot"))
     open_ = materialize(open_, "open")
 
-    # the texts are dealt out by doc_id once; both joins below read the same exchange
-    dealt = t.repartition("doc_id")
     want = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("p", "n", "h", "hot")).alias("segs"))
-    strings = _strings(dealt.join(want.hint("merge"), ["doc_id", "th"]), least)
+    strings = materialize(_strings(t.drop("carried").join(want.hint("merge"), ["doc_id", "th"]), least), "strings")
     usual = strings.where("NOT hot").select("doc_id", "th", "h", "p", "bytes")
     found = _indexed(usual, least)
     # strings of anchors that very many segments share: each alone, by a grouped minimum
@@ -138,29 +141,30 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     late = single.join(earliest, "h").where(at != F.col("head")).select("doc_id", "th", "p", F.lit(1).alias("n"))
     dup = copies.unionByName(equal).unionByName(found).unionByName(late)
     runs = dup.groupBy("doc_id", "th").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
-    out = _cut(dealt.join(runs.hint("merge"), ["doc_id", "th"], "left"), least, texts)
+    out = _cut(t.join(runs.hint("merge"), ["doc_id", "th"], "left"), least, texts)
     return out if carry else out.drop("carried")
 
 
 def _all_segments(t: DataFrame, least: int) -> DataFrame:
-    schema = T._parse_datatype_string("doc_id long, th long, h long, f long, p int, n int")
+    schema = T._parse_datatype_string("doc_id long, th long, h long, f long, pn long")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
-        seen: dict[tuple[int, int], int] = {}  # texts of this task: a copy of an earlier row says nothing new
+        seen: dict[bytes, int] = {}  # texts of this task: a copy of an earlier row says nothing new
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids, th = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("th").to_numpy(zero_copy_only=False)
                 raw = []
-                for i, h, text in zip(ids.tolist(), th.tolist(), part.column("text").to_pylist(), strict=True):
+                for i, text in zip(ids.tolist(), part.column("text").to_pylist(), strict=True):
                     b = text.encode("utf-8", "surrogatepass")
-                    raw.append(b"" if seen.get((h, len(b)), i) < i else b)
-                    seen[h, len(b)] = min(i, seen.get((h, len(b)), i))
+                    k = hashlib.blake2b(b, digest_size=16).digest()
+                    raw.append(b"" if seen.get(k, i) < i else b)
+                    seen[k] = min(i, seen.get(k, i))
                 own, p, n, h, f = segments(raw, least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(th[own]), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(th[own]), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(p.astype(np.int64) << 8 | n.astype(np.int64))], schema=arrow)
 
     return t.mapInArrow(run, schema)
 

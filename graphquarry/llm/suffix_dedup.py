@@ -121,7 +121,7 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     # made twice, once for counts alone: they are cheaper to make than to keep
     seg = _all_segments(t.where("doc_id IS NOT NULL").drop("carried"), least)
     common = seg.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    again = materialize(seg.join(common, "h").select("doc_id", "th", "h", "f", "c", F.shiftright("pn", 8).cast("int").alias("p"), F.col("pn").bitwiseAND(F.lit(255)).cast("int").alias("n")), "again")
+    again = materialize(seg.join(common, "h").select("doc_id", "th", "h", "f", "c", F.shiftright("pn", 16).cast("int").alias("p"), F.col("pn").bitwiseAND(F.lit(65535)).cast("int").alias("n")), "again")
     place = F.struct("doc_id", "th", "p").alias("place")
     head = again.groupBy("f").agg(F.min(place).alias("head"))
     mixed = again.groupBy("h").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("h")
@@ -164,7 +164,7 @@ def _all_segments(t: DataFrame, least: int) -> DataFrame:
                     raw.append(b"" if seen.get(k, i) < i else b)
                     seen[k] = min(i, seen.get(k, i))
                 own, p, n, h, f = segments(raw, least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(th[own]), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(p.astype(np.int64) << 8 | n.astype(np.int64))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(th[own]), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(p.astype(np.int64) << 16 | n.astype(np.int64))], schema=arrow)
 
     return t.mapInArrow(run, schema)
 

@@ -129,10 +129,12 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     marked = again.join(head, "f").withColumn("is_head", at == F.col("head"))
     equal = marked.where("NOT is_head").select("doc_id", "th", "p", "n")
     open_ = marked.where("is_head").join(mixed, "h", "left_semi").select("doc_id", "th", "h", "p", "n", (F.col("c") > hot).alias("hot"))
-    open_ = materialize(open_, "open")
+    # rows that repeat both doc_id and text are one document here
+    open_ = materialize(open_ if unique else open_.distinct(), "open")
+    source = t.drop("carried") if unique else t.drop("carried").dropDuplicates(["doc_id", "th"])
 
     want = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("p", "n", "h", "hot")).alias("segs"))
-    strings = materialize(_strings(t.drop("carried").join(want.hint("merge"), ["doc_id", "th"]), least), "strings")
+    strings = materialize(_strings(source.join(want.hint("merge"), ["doc_id", "th"]), least), "strings")
     usual = strings.where("NOT hot").select("doc_id", "th", "h", "p", "bytes")
     found = _indexed(usual, least)
     # strings of anchors that very many segments share: each alone, by a grouped minimum

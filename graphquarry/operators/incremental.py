@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def kind_of(path: str):
+def kind_of(path: str, top: str = ".kb"):
+    """A path's kind by its folder below top; others are sources."""
     p = F.col(path)
-    e = F.when(p.startswith(".lexibrary/concepts/"), "concept")
+    e = F.when(p.startswith(f"{top}/concepts/"), "concept")
     for d, k in (("conventions", "convention"), ("playbooks", "playbook"), ("stack", "stack"), ("designs", "design")):
-        e = e.when(p.startswith(f".lexibrary/{d}/"), k)
+        e = e.when(p.startswith(f"{top}/{d}/"), k)
     return e.otherwise("source")
 
 

@@ -549,7 +549,7 @@ def signal_ttl_expiry(v):
 
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'concept' WHEN 1 THEN 'convention' WHEN 2 THEN 'playbook' WHEN 3 THEN 'stack' WHEN 4 THEN 'design' ELSE 'source' END AS kind FROM orders""")
 def classify_paths(v):
-    dirs = F.element_at(F.array(*map(F.lit, (".lexibrary/concepts/", ".lexibrary/conventions/", ".lexibrary/playbooks/", ".lexibrary/stack/", ".lexibrary/designs/", "src/"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    dirs = F.element_at(F.array(*map(F.lit, (".kb/concepts/", ".kb/conventions/", ".kb/playbooks/", ".kb/stack/", ".kb/designs/", "src/"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
     d = v.table("orders").select(F.col("o_orderkey").alias("id"), F.concat(dirs, F.lit("x.md")).alias("path"))
     return d.select("id", I.kind_of("path").alias("kind"))
 

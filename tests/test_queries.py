@@ -18,7 +18,7 @@ def db():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    text = lambda x: "none" if pd.isna(x) else f"{x:.6f}" if isinstance(x, float) else str(x)
+    text = lambda x: "none" if pd.isna(x) else f"{x:.6f}" if isinstance(x, float) and x % 1 else str(int(x) if isinstance(x, float) else x)
     return sorted(tuple(map(text, r)) for r in df.itertuples(index=False))
 
 

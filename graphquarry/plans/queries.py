@@ -314,7 +314,7 @@ def fts_bm25_phrase_or_and(v):
 @query()
 def fts_bm25_stemmed(v):
     p = T.postings(v.texts.where("lang = 'en'"), "doc_id", "title", "body", stem=stem)
-    return T.bm25(p, v.texts.where("lang = 'en'"), "doc_id", [["hate"]]).select("doc_id", F.round("rank", 6).alias("rank"))
+    return T.bm25(p, v.texts.where("lang = 'en'"), "doc_id", [["disgust"]]).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query(r"""SELECT p_partkey AS id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_\-./\s]+'), lambda t: lower(t)), lambda t: t <> ''), '|') AS tokens FROM (SELECT p_partkey, p_type || 'OfHTTPServer_' || replace(p_name, ' ', '-') || '.v' || p_size AS x FROM part)""")

@@ -14,8 +14,9 @@ from .common import map_texts, materialize
 
 #: Bounds of what is learned from: examples of each label (those of smallest hash), and terms of the vocabulary.
 EXAMPLES, TERMS = 6000, 4096
-#: A term is kept if its chi-square against the label is at least this and it is in so many examples.
-CHI_SQUARE, LEAST_DF = 40.0, 3
+#: A term is kept if its chi-square against the label is at least this, it is in so many examples, and one label has it so many
+#: times as often as the other: words that only go with longer texts are not telling.
+CHI_SQUARE, LEAST_DF, LIFT = 40.0, 3, 4.0
 NEAREST, BLOCK, PRIOR = 15, 64, 0.25
 _FOLD = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
@@ -122,7 +123,8 @@ def learn(labelled: DataFrame) -> Index:
     top = F.lit(n) * (F.col("p") * (neg - q) - q * (pos - F.col("p"))) ** 2
     down = F.lit(pos * neg) * F.col("df") * (F.lit(n) - F.col("df"))
     chi = F.when(down > 0, top / down).otherwise(0.0)
-    kept = seen.where(F.col("df") >= LEAST_DF).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    lift = ((F.col("p") + 0.5) / (pos + 0.5)) / ((q + 0.5) / (neg + 0.5))
+    kept = seen.where((F.col("df") >= LEAST_DF) & ((lift >= LIFT) | (lift <= 1 / LIFT))).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
     terms, df = [bytes(r["term"]) for r in kept], np.array([r["df"] for r in kept])
     number = {t: i for i, t in enumerate(terms)}
 

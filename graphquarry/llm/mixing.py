@@ -104,7 +104,7 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     copies is the whole part of rate, and one more if a hash of doc_id falls below the rest: its sum follows the rates. A null
     or empty text has no tokens and the domains' prior; rows that repeat a doc_id have equal copies; an empty table gives none.
     """
-    domains, soft = posteriors(features(docs), labelled)
+    domains, soft = posteriors(materialize(features(docs), "features"), labelled)
     out = fit_rates(soft, domains, targets, total)
     u = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     whole = F.floor("rate")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,12 +14,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_texts, materialize
 
-#: Bounds of what is learned from: examples of each label (those of smallest hash), and terms of the vocabulary.
-EXAMPLES, TERMS = 6000, 4096
-#: A term is kept if its chi-square against the label is at least this, it is in so many examples, and one label has it so many
-#: times as often as the other: words that only go with longer texts are not telling.
-CHI_SQUARE, LEAST_DF, LIFT = 40.0, 3, 4.0
-NEAREST, BLOCK, PRIOR = 15, 64, 0.25
+#: Bound of what is learned from: examples of each label, those of smallest hash.
+EXAMPLES = 6000
+#: A term in one of so many examples is common: its weights stand in a table, those of the others in lists.
+COMMON = 12
+NEAREST, BLOCK, PRIOR, SMALL = 15, 64, 0.25, 0.01
+#: More than twice what single precision can lose of a cosine.
+MARGIN = np.float32(2e-4)
 _FOLD = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
 
@@ -25,78 +28,161 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def terms_of(words: list[bytes]) -> set[bytes]:
-    """Words and, marked by a caret, their first four and five bytes: inflected forms share those."""
-    w = set(words)
-    return w | {b"^" + x[:4] for x in w if len(x) > 4} | {b"^" + x[:5] for x in w if len(x) > 5}
-
-
-def _count(words: list[bytes], term: bytes) -> int:
-    if term[:1] == b"^":
-        p, n = term[1:], len(term) - 1
-        return sum(1 for w in words if len(w) > n and w[:n] == p)
-    return words.count(term)
+def terms_of(words: list[bytes]) -> Counter[bytes]:
+    """How often words and, marked by a caret, their first four and five bytes occur: inflected forms share those."""
+    c = Counter(words)
+    for x, n in list(c.items()):
+        if len(x) > 4:
+            c[b"^" + x[:4]] += n
+            if len(x) > 5:
+                c[b"^" + x[:5]] += n
+    return c
 
 
 class Index:
-    """Inverted lists over examples, cut at every BLOCK-th example, with the largest weight of each list in each block."""
+    """Examples as TF-IDF vectors over all their terms: a table of blocks of BLOCK examples with the largest weight of each
+    common term in each block, and inverted lists of the other terms. telling, if given, scales each term's weight."""
 
-    def __init__(self, terms: list[bytes], df: np.ndarray, n: int, rows: list[tuple[int, dict[int, int]]], label: np.ndarray, base: float):
+    def __init__(self, terms: list[bytes], df: np.ndarray, n: int, rows: Iterable[tuple[int, dict[int, int]]], label: np.ndarray, base: float, telling: np.ndarray | None = None):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.words = {t for t in terms if t[:1] != b"^"}
         self.idf = np.log((1 + n) / (1 + df)) + 1
-        self.ids, self.label, self.base = np.array([r[0] for r in rows], np.int64), label, base
-        self.blocks = max(1, math.ceil(len(rows) / BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for at, (_, tf) in enumerate(rows):
-            for t, w in self.weigh(tf).items():
-                lists[t].append((at, w))
-        self.posts = [(np.array([a for a, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
-        self.cuts = [np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a, _ in self.posts]
-        self.most = np.zeros((len(terms), self.blocks))
-        for t, (a, w) in enumerate(self.posts):
-            np.maximum.at(self.most[t], a // BLOCK, w)
+        if telling is not None:
+            self.idf = self.idf * telling
+        ids, ks, cs, norms = [], [], [], []
+        for i, tf in rows:
+            ids.append(i)
+            ks.append(np.fromiter(tf.keys(), np.int32, len(tf)))
+            cs.append(np.fromiter(tf.values(), np.int32, len(tf)))
+            w = (1 + np.log(cs[-1])) * self.idf[ks[-1]]
+            norms.append(math.sqrt(float(w @ w)))
+        self.ids, self.label, self.base, self.norm = np.array(ids, np.int64), label, base, np.array(norms)
+        self.blocks = max(1, math.ceil(len(ids) / BLOCK))
+        self.start = np.cumsum([0] + [len(k) for k in ks])
+        self.term, self.tf = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (ks, cs))
+        count = np.bincount(self.term, minlength=len(terms))
+        common = np.flatnonzero(count * COMMON >= max(1, len(ids)))
+        self.place = np.full(len(terms), -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        at = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.start))
+        weight = np.zeros(len(at), np.float32)
+        for a in range(0, len(at), 1 << 20):
+            e = slice(a, a + (1 << 20))
+            weight[e] = (1 + np.log(self.tf[e])) * self.idf[self.term[e]] / self.norm[at[e]]
+        place = self.place[self.term]
+        self.table = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.table[place[place >= 0], at[place >= 0]] = weight[place >= 0]
+        self.most = self.table.reshape(len(common), self.blocks, BLOCK).max(axis=2)
+        rest = np.flatnonzero(place < 0)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.lists = at[rest], weight[rest]
+        self.cuts = np.append(0, np.cumsum(np.where(self.place < 0, count, 0)))
+
+    def _vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        k = np.array(sorted(tf), np.int64)
+        w = (1 + np.log([tf[t] for t in k.tolist()])) * self.idf[k]
+        return k, w / math.sqrt(float(w @ w))
 
     def weigh(self, tf: dict[int, int]) -> dict[int, float]:
-        w = {t: (1 + math.log(c)) * self.idf[t] for t, c in sorted(tf.items())}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()}
+        k, w = self._vector(tf)
+        return dict(zip(k.tolist(), w.tolist(), strict=True))
 
     def counts(self, text: str | None) -> dict[int, int]:
-        words = words_of(text)
-        return {self.number[t]: _count(words, t) for t in terms_of(words) & self.number.keys()}
+        number = self.number
+        return {number[t]: n for t, n in terms_of(words_of(text)).items() if t in number}
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
+        """For each query the exact NEAREST examples of positive cosine, by falling cosine and then place.
+
+        Lists are summed first. What they give bounds the last nearest cosine from below, and a block is opened for the
+        queries whose largest sum in it can reach that. Examples that single precision leaves in question are summed again.
+        """
+        n = len(self.ids)
+        if not n:
+            return [[] for _ in queries]
+        q = np.zeros((len(queries), len(self.table)), np.float32)
+        s = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
+        for x, (k, w) in enumerate(queries):
+            p = self.place[k]
+            q[x, p[p >= 0]] = w[p >= 0]
+            parts = [(self.cuts[t], self.cuts[t + 1], v) for t, v in zip(k[p < 0].tolist(), w[p < 0].tolist(), strict=True)]
+            if parts:
+                at = np.concatenate([self.lists[0][i:j] for i, j, _ in parts])
+                s[x] = np.bincount(at, np.concatenate([self.lists[1][i:j] * np.float32(v) for i, j, v in parts]), s.shape[1])
+        last = max(0, s.shape[1] - NEAREST)
+        bound = s.reshape(len(s), self.blocks, BLOCK).max(axis=2) + q @ self.most
+        opened = np.zeros(bound.shape, bool)
+        first = np.argsort(-bound, axis=1)[:, : max(1, self.blocks // 16)]  # the best blocks of each query raise what others must reach
+        np.put_along_axis(opened, first, True, axis=1)
+        self._open(opened, q, s)
+        least = np.partition(s, last, axis=1)[:, last, None]
+        more = (bound >= least - MARGIN) & ~opened
+        self._open(more, q, s)
+        least = np.partition(s, last, axis=1)[:, last]
+        out, dense = [], np.zeros(len(self.idf))
+        for x, (k, w) in enumerate(queries):
+            dense[k] = w
+            found = []
+            for a in np.flatnonzero((s[x, :n] > 0) & (s[x, :n] >= least[x] - MARGIN)).tolist():
+                e = slice(self.start[a], self.start[a + 1])
+                t = self.term[e]
+                v = float((dense[t] * self.idf[t]) @ (1 + np.log(self.tf[e]))) / self.norm[a]
+                found.append((-round(v, 12), a))
+            dense[k] = 0
+            out.append([(-v, a) for v, a in sorted(found)[:NEAREST]])
+        return out
+
+    def _open(self, wanted: np.ndarray, q: np.ndarray, s: np.ndarray) -> None:
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            x, e = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            s[x, e] += q[x] @ self.table[:, e]
 
     def nearest(self, query: dict[int, float]) -> list[tuple[float, int]]:
-        """The exact NEAREST examples of positive cosine, by falling cosine and then place. Blocks are opened by falling bound, until none left can hold a nearer one."""
-        terms = list(query)
-        bound = np.round(sum(query[t] * self.most[t] for t in terms), 12)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == NEAREST and (-bound[b], b * BLOCK) >= best[-1]:
-                break  # neither a nearer one nor, at an equal cosine, an earlier one is left
-            score = np.zeros(BLOCK)
-            for t in terms:
-                i, j = self.cuts[t][b], self.cuts[t][b + 1]
-                a, w = self.posts[t]
-                score[a[i:j] - b * BLOCK] += query[t] * w[i:j]
-            best = sorted(best + [(-round(float(score[x]), 12), int(b * BLOCK + x)) for x in np.flatnonzero(score > 0)])[:NEAREST]
-        return [(-s, a) for s, a in best]
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """Vote of the nearest, each weighing its cosine squared, drawn toward the share of toxic rows without any term; and their ids."""
-        tf = self.counts(text)
-        near = self.nearest(self.weigh(tf)) if tf else []
-        up, down = PRIOR * self.base, PRIOR
-        for s, a in near:
-            up, down = up + s * s * self.label[a], down + s * s
-        return up / down, [int(self.ids[a]) for _, a in near]
-
-
-def learn(labelled: DataFrame) -> Index:
-    """An index over at most EXAMPLES rows of each label of labelled (doc_id, text, toxic 0 or 1); null labels are left out.
-
-    Rows are taken by a hash of doc_id, so the sample is the same at every run. Only terms that are telling in it are
-    indexed. Without examples every score is 0.
+        return self.search([(np.array(list(query), np.int64), np.array(list(query.values())))])[0]
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Votes of the nearest, each weighing its cosine squared, drawn toward the share of toxic examples; and their ids."""
+        tfs = [self.counts(t) for t in texts]
+        near = iter(self.search([self._vector(tf) for tf in tfs if tf]))
+        out = []
+        for tf in tfs:
+            up, down, ids = PRIOR * self.base, PRIOR, []
+            for c, a in next(near) if tf else []:
+                up, down = up + c * c * self.label[a], down + c * c
+                ids.append(int(self.ids[a]))
+            out.append((float(up / down), ids))
+        return out
+
+
+def _term_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """In how many texts of docs each numbered term occurs, and how many texts there are. A task sends one row a term."""
+    schema = T._parse_datatype_string("term int, n long")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        total, seen = 0, np.zeros(len(number), np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                found = [number[t] for t in terms_of(words_of(text.as_py())) if t in number]
+                seen[found] += 1
+                total += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], total))], schema=arrow)
+
+    out = docs.select("text").mapInArrow(run, schema).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = out["term"].to_numpy(), out["n"].to_numpy()
+    df = np.zeros(len(number))
+    df[at[at >= 0]] = n[at >= 0]
+    return df, int(n[at < 0].sum())
+
+
+def learn(labelled: DataFrame, docs: DataFrame | None = None) -> Index:
+    """An index over at most twice EXAMPLES rows of labelled (doc_id, text, toxic 0 or 1); null labels are left out.
+
+    Rows of each label are taken by a hash of doc_id, so the sample is the same at every run. All terms of the examples are indexed; document frequencies are counted over docs (text), or over labelled where
+    none are given. A term weighs the more the more its shares of toxic and other examples differ, by the logarithm of their
+    ratio shrunk by one row at the common share; no term weighs nothing. Without examples every score is 0.
     """
     rows = labelled.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     ids = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -115,50 +201,43 @@ def learn(labelled: DataFrame) -> Index:
                 found = [(t, y) for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True) for t in terms_of(words_of(text))]
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], schema=arrow)
 
-    total = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = float(total.get(1, 0)), float(total.get(0, 0))
-    n = pos + neg
-    seen = texts.mapInArrow(run, schema).groupBy("term").agg(F.sum("toxic").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("df"))
-    q = F.col("df") - F.col("p")
-    top = F.lit(n) * (F.col("p") * (neg - q) - q * (pos - F.col("p"))) ** 2
-    down = F.lit(pos * neg) * F.col("df") * (F.lit(n) - F.col("df"))
-    chi = F.when(down > 0, top / down).otherwise(0.0)
-    lift = ((F.col("p") + 0.5) / (pos + 0.5)) / ((q + 0.5) / (neg + 0.5))
-    kept = seen.where((F.col("df") >= LEAST_DF) & ((lift >= LIFT) | (lift <= 1 / LIFT))).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    terms, df = [bytes(r["term"]) for r in kept], np.array([r["df"] for r in kept])
+    seen = texts.mapInArrow(run, schema).groupBy("term").agg(F.sum("toxic").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("df")).orderBy("term").toArrow()
+    terms = seen["term"].to_pylist()
+    p, q = seen["p"].to_numpy(), seen["df"].to_numpy() - seen["p"].to_numpy()
     number = {t: i for i, t in enumerate(terms)}
 
     def body():
         def work(texts: list[str | None]):
-            out = []
-            for t in texts:
-                words = words_of(t)
-                out.append({number[x]: _count(words, x) for x in terms_of(words) & number.keys()})
-            return ([list(x.items()) for x in out],)
+            out = [terms_of(words_of(t)) for t in texts]
+            return [np.array([number[x] for x in c], "<i4").tobytes() for c in out], [np.array(list(c.values()), "<i4").tobytes() for c in out]
 
         return work
 
-    vectors = map_texts(texts, body, "tf map<int,int>").orderBy("doc_id").collect()
-    rows_ = [(r["doc_id"], dict(r["tf"])) for r in vectors if r["tf"]]
-    label = np.array([r["toxic"] for r in vectors if r["tf"]], float)
-    none = [r["toxic"] for r in vectors if not r["tf"]]
-    # both labels are sampled to a bound of their own: weigh the empty ones back to how common the labels are
-    share = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    up = sum(none) * share.get(1, 0) / max(pos, 1)
-    down = (len(none) - sum(none)) * share.get(0, 0) / max(neg, 1)
-    return Index(terms, df, int(n), rows_, label, up / (up + down) if up + down else 0.0)
+    vectors = map_texts(texts, body, "at binary, tf binary").orderBy("doc_id").toArrow()
+    label = vectors["toxic"].to_numpy().astype(float)
+    base = float(label.mean()) if len(label) else 0.0
+    telling = np.ones(len(terms))
+    if 0 < base < 1:
+        ratio = (p + base) / (label.sum() + base) * (len(label) - label.sum() + 1 - base) / (q + 1 - base)
+        telling = np.maximum(np.abs(np.log(ratio)), SMALL)
+    some = np.array([len(x) > 0 for x in vectors["at"].to_pylist()], bool)
+    vectors, label = vectors.filter(some), label[some]
+    # one example at a time is a dictionary: all at once would not fit the driver
+    rows_ = ((i.as_py(), dict(zip(np.frombuffer(k.as_py(), "<i4").tolist(), np.frombuffer(c.as_py(), "<i4").tolist(), strict=True))) for i, k, c in zip(vectors["doc_id"], vectors["at"], vectors["tf"], strict=True))
+    df, n = _term_counts(labelled if docs is None else docs, number)
+    return Index(terms, df, n, rows_, label, base, telling)
 
 
 def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     """docs' columns but text, then score (0 to 1), predicted (1 from threshold) and evidence (doc_ids of the examples that voted, nearest first).
 
-    The index is bounded (EXAMPLES, TERMS) and goes to the tasks with the code. A null or empty text, or one without a
-    telling term, has no evidence and the score of such examples.
+    The index is bounded (EXAMPLES) and goes to the tasks with the code. A null or empty text, or one without a term of any
+    example, has no evidence and as score the share of toxic examples.
     """
 
     def body():
         def work(texts: list[str | None]):
-            found = [index.score(t) for t in texts]
+            found = index.score(texts)
             return [f[0] for f in found], [int(f[0] >= threshold) for f in found], [f[1] for f in found]
 
         return work

@@ -17,3 +17,17 @@ def test_block_max_search_is_exact():
         got = index.nearest(q)
         assert [a for _, a in got] == [i for i, _ in want]
         assert np.allclose([s for s, _ in got], [s for _, s in want])
+
+
+def test_search_with_common_and_rare_terms_is_exact():
+    """Lists and table together, several queries at once."""
+    rng = np.random.default_rng(4)
+    rows = [(i, {int(t): int(rng.integers(1, 4)) for t in {*rng.choice(5, 2), *rng.choice(np.arange(5, 300), 3)}}) for i in range(700)]
+    df = np.array([sum(t in r for _, r in rows) for t in range(300)], float)
+    index = Index([b"t%d" % i for i in range(300)], df, 700, rows, rng.integers(0, 2, 700).astype(float), 0.1)
+    vectors = [index.weigh(r) for _, r in rows]
+    queries = [index.weigh(r) for _, r in rows[:60]] + [index.weigh({7: 1}), index.weigh({0: 1})]
+    for q, got in zip(queries, index.search([(np.array(list(q)), np.array(list(q.values()))) for q in queries]), strict=True):
+        full = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors))
+        want = [(i, -s) for s, i in full if s < 0][:NEAREST]
+        assert [a for _, a in got] == [i for i, _ in want] and np.allclose([s for s, _ in got], [s for _, s in want])

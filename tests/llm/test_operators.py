@@ -259,6 +259,20 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.score(d.select("doc_id", "text"), empty).collect()} == {0.0}
 
 
+def test_toxicity_of_rare_words(spark):
+    """Toxic words that are each in five rows only still decide, clean rows vote, and every text is searched."""
+    rng = random.Random(12)
+    rows = [(i, prose(30, rng) + (f" zz{'abcdefghij'[i % 10]}yq" if i < 50 else ""), int(i < 50)) for i in range(500)]
+    docs = spark.createDataFrame([(1000 + k, f"{prose(12, rng)} zz{'abcdefghij'[k]}yq", None) for k in range(10)] + [(2000 + k, prose(30, rng), None) for k in range(10)], "doc_id long, text string, toxic int")
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.learn(labelled, labelled.union(docs))
+    out = {r["doc_id"]: r for r in toxicity.score(docs.select("doc_id", "text"), index).collect()}
+    assert all(out[1000 + k]["predicted"] == 1 and out[2000 + k]["predicted"] == 0 for k in range(10))
+    assert all(r["evidence"] for r in out.values()) and len(index.ids) == 500
+    at = index.number[b"zzayq"]
+    assert index.idf[at] > 0 and len(index.number) > len(WORDS)
+
+
 def test_site_quality(spark, none):
     good, bad = "the of and to is that " * 5, "x%% y$$ z** !! " * 8
     rows = [(i, (bad if i % 3 == 0 else good) + str(i), f"h{i % 4}" if i % 5 else None, "p") for i in range(240)] + [(900, None, "h0", None)]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -14,10 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_texts, materialize
 
-#: Bound of what is learned from: examples of each label, those of smallest hash.
+#: Bound of what is learned from: twice as many examples, those of smallest hash whatever their label.
 EXAMPLES = 6000
 #: A term in one of so many examples is common: its weights stand in a table, those of the others in lists.
 COMMON = 12
+REMEMBERED = 50_000
 NEAREST, BLOCK, PRIOR, SMALL = 15, 64, 0.25, 0.01
 #: More than twice what single precision can lose of a cosine.
 MARGIN = np.float32(2e-4)
@@ -39,6 +42,19 @@ def terms_of(words: list[bytes]) -> Counter[bytes]:
     return c
 
 
+class Numbers(dict):
+    """The numbers of the terms of a word, remembered for at most REMEMBERED words."""
+
+    def __init__(self, number: dict[bytes, int]):
+        self.number = number
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[word] = [self.number[t] for t in terms_of([word]) if t in self.number]
+        return out
+
+
 class Index:
     """Examples as TF-IDF vectors over all their terms: a table of blocks of BLOCK examples with the largest weight of each
     common term in each block, and inverted lists of the other terms. telling, if given, scales each term's weight."""
@@ -48,6 +64,7 @@ class Index:
         self.idf = np.log((1 + n) / (1 + df)) + 1
         if telling is not None:
             self.idf = self.idf * telling
+        self.numbers, self.table = Numbers(self.number), None
         ids, ks, cs, norms = [], [], [], []
         for i, tf in rows:
             ids.append(i)
@@ -59,9 +76,28 @@ class Index:
         self.blocks = max(1, math.ceil(len(ids) / BLOCK))
         self.start = np.cumsum([0] + [len(k) for k in ks])
         self.term, self.tf = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (ks, cs))
-        count = np.bincount(self.term, minlength=len(terms))
+
+    def __getstate__(self):
+        """What examples hold, deflated: every executor keeps a copy. The table and lists are made where they are used."""
+        lost = {"number", "numbers", "table", "most", "lists", "cuts", "place", "term", "tf"}
+        step = np.diff(self.term, prepend=np.int32(0)).astype("<i4")
+        packed = [zlib.compress(x.tobytes(), 1) for x in (step.view(np.uint8).reshape(-1, 4).T, self.tf.astype("<i4").view(np.uint8).reshape(-1, 4).T)]
+        terms = zlib.compress(b" ".join(self.number), 1)
+        return {k: v for k, v in self.__dict__.items() if k not in lost} | {"packed": packed, "terms": terms}
+
+    def __setstate__(self, d):
+        step, tf = (np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<i4").ravel() for x in d.pop("packed"))
+        terms = zlib.decompress(d.pop("terms"))
+        self.number = {t: i for i, t in enumerate(terms.split(b" "))} if terms else {}
+        self.__dict__.update(d)
+        self.term, self.tf = np.cumsum(step, dtype=np.int32), tf.astype(np.min_scalar_type(tf.max(initial=0)))
+        self.table, self.numbers = None, Numbers(self.number)
+
+    def _build(self) -> None:
+        ids = self.ids
+        count = np.bincount(self.term, minlength=len(self.idf))
         common = np.flatnonzero(count * COMMON >= max(1, len(ids)))
-        self.place = np.full(len(terms), -1, np.int32)
+        self.place = np.full(len(self.idf), -1, np.int32)
         self.place[common] = np.arange(len(common))
         at = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.start))
         weight = np.zeros(len(at), np.float32)
@@ -87,8 +123,11 @@ class Index:
         return dict(zip(k.tolist(), w.tolist(), strict=True))
 
     def counts(self, text: str | None) -> dict[int, int]:
-        number = self.number
-        return {number[t]: n for t, n in terms_of(words_of(text)).items() if t in number}
+        out: dict[int, int] = {}
+        for x, n in Counter(words_of(text)).items():
+            for t in self.numbers[x]:
+                out[t] = out.get(t, 0) + n
+        return out
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
         """For each query the exact NEAREST examples of positive cosine, by falling cosine and then place.
@@ -99,6 +138,8 @@ class Index:
         n = len(self.ids)
         if not n:
             return [[] for _ in queries]
+        if self.table is None:
+            self._build()
         q = np.zeros((len(queries), len(self.table)), np.float32)
         s = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
         for x, (k, w) in enumerate(queries):
@@ -107,7 +148,7 @@ class Index:
             parts = [(self.cuts[t], self.cuts[t + 1], v) for t, v in zip(k[p < 0].tolist(), w[p < 0].tolist(), strict=True)]
             if parts:
                 at = np.concatenate([self.lists[0][i:j] for i, j, _ in parts])
-                s[x] = np.bincount(at, np.concatenate([self.lists[1][i:j] * np.float32(v) for i, j, v in parts]), s.shape[1])
+                s[x] = np.bincount(at, np.concatenate([self.lists[1][i:j] * v for i, j, v in parts]), s.shape[1])
         last = max(0, s.shape[1] - NEAREST)
         bound = s.reshape(len(s), self.blocks, BLOCK).max(axis=2) + q @ self.most
         opened = np.zeros(bound.shape, bool)
@@ -161,11 +202,10 @@ def _term_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray,
     def run(batches):
         import pyarrow as pa
 
-        total, seen = 0, np.zeros(len(number), np.int64)
+        total, seen, numbers = 0, np.zeros(len(number), np.int64), Numbers(number)
         for batch in batches:
             for text in batch.column("text"):
-                found = [number[t] for t in terms_of(words_of(text.as_py())) if t in number]
-                seen[found] += 1
+                seen[[t for x in set(words_of(text.as_py())) for t in numbers[x]]] += 1
                 total += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], total))], schema=arrow)
@@ -180,14 +220,13 @@ def _term_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray,
 def learn(labelled: DataFrame, docs: DataFrame | None = None) -> Index:
     """An index over at most twice EXAMPLES rows of labelled (doc_id, text, toxic 0 or 1); null labels are left out.
 
-    Rows of each label are taken by a hash of doc_id, so the sample is the same at every run. All terms of the examples are indexed; document frequencies are counted over docs (text), or over labelled where
+    Rows are taken by a hash of doc_id alone, so the sample is the same at every run and labels keep their shares at every
+    size. All terms of the examples are indexed; document frequencies are counted over docs (text), or over labelled where
     none are given. A term weighs the more the more its shares of toxic and other examples differ, by the logarithm of their
     ratio shrunk by one row at the common share; no term weighs nothing. Without examples every score is 0.
     """
     rows = labelled.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    ids = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    few = ids.where("toxic = 1").orderBy(*order).limit(EXAMPLES).unionByName(ids.where("toxic = 0").orderBy(*order).limit(EXAMPLES))
+    few = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * EXAMPLES)
     texts = materialize(rows.drop("toxic").join(few, "doc_id"), "examples").select("doc_id", "toxic", "text")
     schema = T._parse_datatype_string("term binary, toxic int")
     arrow = to_arrow_schema(schema)
@@ -201,7 +240,7 @@ def learn(labelled: DataFrame, docs: DataFrame | None = None) -> Index:
                 found = [(t, y) for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True) for t in terms_of(words_of(text))]
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], schema=arrow)
 
-    seen = texts.mapInArrow(run, schema).groupBy("term").agg(F.sum("toxic").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("df")).orderBy("term").toArrow()
+    seen = texts.mapInArrow(run, schema).groupBy("term").agg(F.sum("toxic").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("df")).orderBy(F.desc("df"), "term").toArrow()
     terms = seen["term"].to_pylist()
     p, q = seen["p"].to_numpy(), seen["df"].to_numpy() - seen["p"].to_numpy()
     number = {t: i for i, t in enumerate(terms)}
@@ -209,7 +248,8 @@ def learn(labelled: DataFrame, docs: DataFrame | None = None) -> Index:
     def body():
         def work(texts: list[str | None]):
             out = [terms_of(words_of(t)) for t in texts]
-            return [np.array([number[x] for x in c], "<i4").tobytes() for c in out], [np.array(list(c.values()), "<i4").tobytes() for c in out]
+            out = [sorted((number[x], n) for x, n in c.items()) for c in out]
+            return tuple([np.array([x[side] for x in c], "<i4").tobytes() for c in out] for side in (0, 1))
 
         return work
 
@@ -228,6 +268,17 @@ def learn(labelled: DataFrame, docs: DataFrame | None = None) -> Index:
     return Index(terms, df, n, rows_, label, base, telling)
 
 
+_LOADED: dict[tuple[int, int], Index] = {}
+
+
+def _load(key: tuple[int, int], packed: bytes) -> Index:
+    """The unpacked index, made once a Python worker."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = pickle.loads(packed)
+    return _LOADED[key]
+
+
 def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     """docs' columns but text, then score (0 to 1), predicted (1 from threshold) and evidence (doc_ids of the examples that voted, nearest first).
 
@@ -235,9 +286,14 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     example, has no evidence and as score the share of toxic examples.
     """
 
+    packed = pickle.dumps(index)
+    key = zlib.crc32(packed), len(packed)
+
     def body():
+        own = _load(key, packed)
+
         def work(texts: list[str | None]):
-            found = index.score(texts)
+            found = own.score(texts)
             return [f[0] for f in found], [int(f[0] >= threshold) for f in found], [f[1] for f in found]
 
         return work

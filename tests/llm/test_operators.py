@@ -273,6 +273,15 @@ def test_toxicity_of_rare_words(spark):
     assert index.idf[at] > 0 and len(index.number) > len(WORDS)
 
 
+def test_toxicity_keeps_label_shares(spark, monkeypatch):
+    """Above the bound the examples are as often toxic as the labelled rows, so votes mean the same at every size."""
+    monkeypatch.setattr(toxicity, "EXAMPLES", 50)
+    rng = random.Random(13)
+    rows = [(i, prose(20, rng), int(i % 10 == 0)) for i in range(600)]
+    index = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert len(index.ids) == 100 and index.label.mean() < 0.25 and index.base == index.label.mean()
+
+
 def test_site_quality(spark, none):
     good, bad = "the of and to is that " * 5, "x%% y$$ z** !! " * 8
     rows = [(i, (bad if i % 3 == 0 else good) + str(i), f"h{i % 4}" if i % 5 else None, "p") for i in range(240)] + [(900, None, "h0", None)]

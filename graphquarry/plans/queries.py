@@ -216,6 +216,13 @@ def class_edges_unresolved(v):
     return Y.unresolved_edges(v.symbols, e)
 
 
+@query("SELECT source, edge_type, target, line FROM (SELECT source, edge_type, CASE WHEN source % 10 = 0 THEN target + 1000000 ELSE target END AS target, line FROM class_edges) WHERE target NOT IN (SELECT id FROM symbols)")
+def class_edges_unresolved_whole(v):
+    """All edges, those of a tenth of the sources led astray."""
+    e = v.class_edges.withColumn("target", F.when(F.col("source") % 10 == 0, F.col("target") + 1000000).otherwise(F.col("target")))
+    return Y.unresolved_edges(v.symbols, e)
+
+
 @query("SELECT symbol, name, value, ordinal, row_number() OVER (ORDER BY ordinal NULLS LAST, name, symbol) AS place FROM members WHERE symbol < 40")
 def members_nulls_last(v):
     m = Y.members_of(v.members, list(range(40)))

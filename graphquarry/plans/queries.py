@@ -389,6 +389,22 @@ def resolve_calls_ranked(v):
     return out.select(F.split("site", "\u001f")[0].cast("long").alias("site"), "file", "name", "target", "step")
 
 
+@query("""WITH s AS (SELECT id AS target, file AS f, name AS n, line_start FROM symbols WHERE symbol_type IN ('function', 'method', 'class')), site AS (SELECT DISTINCT c.caller * 100 + c.line AS site, a.file, b.name FROM calls c JOIN symbols a ON a.id = c.caller JOIN symbols b ON b.id = c.callee),
+hit AS (SELECT site.site, site.file, site.name, 1 AS step, s.line_start, s.target FROM site JOIN s ON s.f = site.file AND s.n = site.name
+UNION ALL SELECT site.site, site.file, site.name, 3, o.line_start, o.target FROM site JOIN (SELECT n, min(target) AS target, min(line_start) AS line_start FROM s GROUP BY n HAVING count(*) = 1) o ON o.n = site.name),
+best AS (SELECT site, file, name, target, step FROM hit QUALIFY row_number() OVER (PARTITION BY site, file, name ORDER BY step, line_start, target) = 1)
+SELECT site.site, site.file, site.name, best.target, best.step FROM site LEFT JOIN best USING (site, file, name)""")
+def resolve_calls_ranked_whole(v):
+    """Plain calls on all lines; receivers and imports are not in the tables (README, known gaps)."""
+    a = v.symbols.select(F.col("id").alias("caller"), "file")
+    b = v.symbols.select(F.col("id").alias("callee"), "name")
+    sites = v.calls.join(a, "caller").join(b, "callee").select((F.col("caller") * 100 + F.col("line")).alias("site"), "file", "name").distinct()
+    sites = sites.withColumn("k", F.concat_ws("\u001f", F.col("site").cast("string"), "file", "name"))
+    imports = v.spark.createDataFrame([], "file string, local string, module_file string")
+    out = R.resolve_calls(sites.select(F.col("k").alias("site"), "file", F.lit(None).cast("string").alias("receiver"), "name"), v.symbols, imports)
+    return out.select(F.split("site", "\u001f")[0].cast("long").alias("site"), "file", "name", "target", "step")
+
+
 @query()
 def did_you_mean(v):
     return T.suggestions(v.symbols.select("name"), "red wigdet")

@@ -229,6 +229,12 @@ def members_nulls_last(v):
     return m.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("ordinal"), "name", "symbol")).cast("long"))  # forty rows
 
 
+@query("SELECT symbol, name, value, ordinal, row_number() OVER (PARTITION BY symbol ORDER BY ordinal NULLS LAST, name) AS place FROM members")
+def members_nulls_last_whole(v):
+    """All members, each placed within its symbol."""
+    return v.members.withColumn("place", F.row_number().over(W.partitionBy("symbol").orderBy(F.asc_nulls_last("ordinal"), "name")).cast("long")).select("symbol", "name", "value", "ordinal", "place")
+
+
 @query("""WITH a AS (SELECT id, name, 0.0 AS score FROM symbols WHERE lower(name) LIKE '%ring%' OR lower(qualified_name) LIKE '%ring%' UNION ALL SELECT id, name, 0.5 FROM symbols WHERE id IN (SELECT symbol FROM members WHERE lower(value) LIKE '%ring%'))
 SELECT id, name, CAST(min(score) AS DOUBLE) AS score FROM a GROUP BY id, name ORDER BY score, name, id LIMIT 20""")
 def symbol_search_two_pass(v):
@@ -320,8 +326,8 @@ def fts_bm25_phrase_or_and(v):
 
 @query()
 def fts_bm25_stemmed(v):
-    p = T.postings(v.texts.where("lang = 'en'"), "doc_id", "title", "body", stem=stem)
-    return T.bm25(p, v.texts.where("lang = 'en'"), "doc_id", [["disgust"]]).select("doc_id", F.round("rank", 6).alias("rank"))
+    p = T.postings(v.texts, "doc_id", "title", "body", stem=stem)
+    return T.bm25(p, v.texts, "doc_id", [["disgust"]]).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query(r"""SELECT p_partkey AS id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_\-./\s]+'), lambda t: lower(t)), lambda t: t <> ''), '|') AS tokens FROM (SELECT p_partkey, p_type || 'OfHTTPServer_' || replace(p_name, ' ', '-') || '.v' || p_size AS x FROM part)""")
@@ -431,6 +437,15 @@ def rules_by_scope_limited(v):
     return p.join(found, "path").select(F.col("page_id").alias("doc_id"), F.col("rule").alias("page_id"), F.col("rank").cast("long").alias("rank"), "total")
 
 
+@query("""WITH p AS (SELECT doc_id, directory FROM (SELECT page_id AS doc_id, directory FROM rules)), r AS (SELECT page_id, directory, priority, printf('%05d', CAST(page_id AS INT)) AS title FROM rules), a AS (SELECT p.doc_id, '.' AS anc, 0 AS depth FROM p UNION ALL SELECT p.doc_id, array_to_string(string_split(p.directory, '/')[1:i], '/'), i FROM p, unnest(range(1, len(string_split(p.directory, '/')) + 1)) AS u(i)),
+m AS (SELECT a.doc_id, r.page_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.depth, r.priority DESC, r.title) AS rank, count(*) OVER (PARTITION BY a.doc_id) AS total FROM a JOIN r ON r.directory = a.anc) SELECT doc_id, page_id, rank, total FROM m WHERE rank > total - 3""")
+def rules_by_scope_limited_whole(v):
+    p = v.rules.select(F.col("directory").alias("path"), "page_id")
+    r = v.rules.select(F.col("page_id").alias("rule"), "directory", "priority", F.format_string("%05d", F.col("page_id").cast("int")).alias("title"))
+    found = X.rules_for(p.select("path").distinct(), r, 3)
+    return p.join(found, "path").select(F.col("page_id").alias("doc_id"), F.col("rule").alias("page_id"), F.col("rank").cast("long").alias("rank"), "total")
+
+
 # checks
 
 _ISSUES = """WITH i AS (SELECT 'error' AS severity, 'file_existence' AS check_name, source AS artifact, target AS message FROM links WHERE link_type = 'stack_file_ref' AND CAST(split_part(target, '/', 2) AS INT) % 50 = 0

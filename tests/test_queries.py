@@ -34,3 +34,16 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 70
+
+
+def test_stemmed_search_takes_all_languages(spark):
+    """Ranks are those of BM25 over every text, whose number and lengths enter."""
+    from graphquarry.functions.text_udf import stem
+    from graphquarry.operators import text as T
+    from graphquarry.sources.views import Views
+
+    v = Views(spark, SF)
+    assert v.texts.select("lang").distinct().count() > 1
+    p = T.postings(v.texts, "doc_id", "title", "body", stem=stem)
+    want = {r["doc_id"]: round(r["rank"], 6) for r in T.bm25(p, v.texts, "doc_id", [["disgust"]]).collect()}
+    assert want and {r["doc_id"]: r["rank"] for r in QUERIES["fts_bm25_stemmed"](spark, SF).collect()} == want

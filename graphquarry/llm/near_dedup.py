@@ -208,8 +208,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     a = materialize(map_texts(texts, lambda: _sketch(k, rows, bands), "n_shingles long, h1 long, h2 long, bands array<bigint>, sketch array<bigint>"), "sketch")
     full = a.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(full.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["n_shingles", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "copies")
-    nodes = full.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    copies = materialize(full.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["n_shingles", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "n_shingles", "h1", "h2").where("a <> b").distinct(), "copies")
+    # a row goes for its own set only: another text of the same doc_id stays
+    nodes = full.join(copies.select(F.col("a").alias("doc_id"), "n_shingles", "h1", "h2"), ["doc_id", "n_shingles", "h1", "h2"], "left_anti")
     rows_ = nodes.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("band"))
     shared = rows_.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     member = rows_.join(shared, "band")
@@ -228,7 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     apart = m.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").join(lead, "band")
     m = materialize(m.join(apart.select("band", "leader"), "band").select("node", "part", "leader", "n_shingles").distinct(), "apart")
     more = _rest(m, nodes, sets, percent, int(rows * bands * (percent / 100 - SLACK)))
-    edges = copies.unionByName(links).unionByName(more)
+    edges = copies.select("a", "b").unionByName(links).unionByName(more)
     comp = connected_components(full.select(F.col("doc_id").alias("id")), edges)
     out = a.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -84,6 +84,16 @@ def test_near_duplicates_of_one_template(spark):
     assert sum(r["component_id"] != want[r["doc_id"]] for r in out) == 0
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    """Doc 5 has a copy of doc 1's text and another text, which doc 7 nearly has and doc 8 has."""
+    a, b = prose(60, random.Random(21)), prose(200, random.Random(22)).split()
+    near = [*b[:100], "other", *b[101:]]
+    rows = [(1, a), (5, a), (5, " ".join(b)), (7, " ".join(near)), (8, " ".join(b)), (9, prose(90, random.Random(23)))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    want = groups(rows, 4, 80)
+    assert len(out) == len(rows) and {r["doc_id"]: r["component_id"] for r in out} == want == {1: 1, 5: 1, 7: 1, 8: 1, 9: 9}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (70, 70)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in [*range(1, 41), 50, 60, 70, 80]], "id long")

@@ -30,9 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8) stays: that of the smallest doc_id, one row of it."""
+    """One document of each group of near copies (five words, 0.8) stays: that of the smallest doc_id, each of its texts once: of equal texts the row of the least lang, source and n_chars."""
     kept = near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept.where("doc_id IS NOT NULL").hint("merge"), "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    named = docs.select(*COLUMNS).join(kept.where("doc_id IS NOT NULL").hint("merge"), "doc_id", "left_semi")
+    named = named.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r")).select("doc_id", "text", "r.lang", "r.source", "r.n_chars")
     return named.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 

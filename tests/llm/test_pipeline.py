@@ -33,3 +33,12 @@ def test_stages(spark, tmp_path):
     assert set(ids("mixing")) == kept - {50} and len(ids("mixing")) >= len(kept) - 1
     last = out["byte-level BPE"].collect()
     assert len(last) == len(ids("mixing")) and all(r["exact"] and len(r["ids"]) == 4 * r["n_tokens"] for r in last)
+
+
+def test_near_dedup_keeps_texts_of_a_repeated_id(spark, tmp_path):
+    rng = random.Random(6)
+    a, b, c = (" ".join(str(rng.randrange(1000)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "de", "s", 1), (2, a, "en", "s", 1), (3, c, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in out) == sorted([(1, a, "en"), (1, b, "de"), (3, c, "en")])

@@ -83,14 +83,21 @@ def cascade(links: DataFrame, start: str, depth: int = 3) -> DataFrame:
     return far.select(F.col("node").alias("path"), F.when(F.col("d") == 1, "direct").otherwise("transitive").alias("reach"))
 
 
-def resolve_in_bases(inherits: DataFrame, methods: DataFrame, classes: DataFrame, depth: int = 8) -> DataFrame:
-    """(cls, name, owner): for each class the nearest class by inherits (cls, base, line) that owns each method (owner, name); ties by line, then base."""
+def resolve_in_bases(inherits: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, name, owner): for each class the nearest class by inherits (cls, base, line) that owns each method (owner, name); ties by line, then base.
+
+    Bases are walked until no class gains one; each level is cut by a checkpoint and keeps the first way to each base.
+    """
     at = classes.select("cls", F.col("cls").alias("owner"), F.array(F.struct(F.lit(0).cast("long").alias("line"), F.col("cls").alias("id"))).alias("way"))
-    all_, now = at, at
-    for _ in range(depth):
+    all_ = now = at = cut(at.distinct())
+    while True:
         step = now.join(inherits.select(F.col("cls").alias("owner"), "base", "line"), "owner")
-        step = step.where(~F.exists("way", lambda x: x["id"] == F.col("base")))
-        now = step.select("cls", F.col("base").alias("owner"), F.array_append("way", F.struct(F.col("line").cast("long").alias("line"), F.col("base").alias("id"))).alias("way"))
+        step = step.select("cls", F.col("base").alias("owner"), F.array_append("way", F.struct(F.col("line").cast("long").alias("line"), F.col("base").alias("id"))).alias("way"))
+        # a base met before was met by a shorter way, which all ways beyond it share
+        first = step.groupBy("cls", "owner").agg(F.min("way").alias("way"))
+        now = cut(first.join(all_.select("cls", "owner"), ["cls", "owner"], "left_anti"))
+        if now.isEmpty():
+            break
         all_ = all_.union(now)
     rank = F.struct(F.size("way").alias("n"), F.col("way"))
     return all_.join(methods, "owner").groupBy("cls", "name").agg(F.min_by("owner", rank).alias("owner"))

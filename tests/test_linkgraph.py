@@ -64,3 +64,10 @@ def test_base_class_methods(spark):
     c = spark.createDataFrame([(1,), (2,), (3,)], "cls long")
     out = {(r["cls"], r["name"]): r["owner"] for r in V.resolve_in_bases(inh, m, c).collect()}
     assert out[(2, "foo")] == 1 and out[(3, "foo")] == 3 and out[(3, "bar")] == 2
+
+
+def test_bases_are_walked_to_the_end(spark):
+    inh = spark.createDataFrame([(i, i + 1, 1) for i in range(12)] + [(12, 3, 1), (0, 5, 2)], "cls long, base long, line long")
+    m = spark.createDataFrame([(12, "far"), (5, "near"), (6, "near")], "owner long, name string")
+    out = {(r["cls"], r["name"]): r["owner"] for r in V.resolve_in_bases(inh, m, spark.range(13).withColumnRenamed("id", "cls")).collect()}
+    assert all(out[c, "far"] == 12 for c in range(13)) and out[0, "near"] == 5 and out[6, "near"] == 6

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; one of this machine only where it is unset."""
+    """The folder named by spark.checkpoint.dir, which all executors share. Where it is unset: a new one if Spark runs in this process alone, else an error."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="graphquarry-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/graphquarry-{spark.sparkContext.applicationId}"
@@ -58,21 +61,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a materialised table that no later plan reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graphquarry-" in path:
-            _delete(df.sparkSession, path)
+def text_slices(column, most: int = 2 << 20, rows: int = 4096):
+    """(first row, rows) of slices of an Arrow text column that hold at most `most` bytes and `rows` rows, or one row."""
+    import pyarrow.compute as pc
 
+    end = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(end):
+        b = int(np.searchsorted(end, (end[a - 1] if a else 0) + most, "right"))
+        b = min(max(b, a + 1), a + rows)
+        yield a, min(b, len(end)) - a
+        a = b
 
-def map_texts(df: DataFrame, body, fields: str, chunk: int = 256) -> DataFrame:
+
+def map_texts(df: DataFrame, body, fields: str, most: int = 2 << 20) -> DataFrame:
     """df's columns but `text`, then `fields`, which body makes from a list of whole texts (None: null).
 
-    body is made once a task by body(); it returns a list of values for each field. Other columns pass through Arrow
-    unchanged, so ids keep their type and nulls.
+    body is made once a task by body(); it returns a list of values for each field. A list holds at most `most` bytes, or one
+    text. Other columns pass through Arrow unchanged, so ids keep their type and nulls; those named like a field are replaced.
     """
-    keep = [c for c in df.columns if c != "text"]
-    schema = T.StructType([df.schema[c] for c in keep] + list(T._parse_datatype_string(fields).fields))
+    made = T._parse_datatype_string(fields).fields
+    new = {f.name.lower() for f in made}
+    keep = [c for c in df.columns if c != "text" and c.lower() not in new]
+    schema = T.StructType([df.schema[c] for c in keep] + list(made))
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -80,14 +91,15 @@ def map_texts(df: DataFrame, body, fields: str, chunk: int = 256) -> DataFrame:
 
         work = body()
         for batch in batches:
-            for a in range(0, batch.num_rows, chunk):
-                part = batch.slice(a, chunk)
-                got = work(part.column("text").to_pylist())
-                cols = [part.column(c).cast(arrow.field(c).type) for c in keep]
-                cols += [pa.array(v, arrow.field(len(keep) + i).type) for i, v in enumerate(got)]
+            text = len(keep)
+            for a, n in text_slices(batch.column(text), most):
+                part = batch.slice(a, n)
+                got = work(part.column(text).to_pylist())
+                cols = [part.column(i).cast(arrow.field(i).type) for i in range(text)]
+                cols += [pa.array(v, arrow.field(text + i).type) for i, v in enumerate(got)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return df.select(*keep, "text").mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, schema)
 
 
 def id_crc_mod3(col: str = "doc_id"):

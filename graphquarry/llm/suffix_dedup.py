@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes covered by long strings that start earlier, by a logarithmic family of suffix arrays.
 
 A string of `least` bytes is found through its anchor, the smallest 32-byte hash in it. Neighbouring strings with one
-anchor form a segment. Segments whose anchor is nowhere else are settled by grouped counts, and equal segments by the first
-of them; only what is left goes, segment by segment in document order, to index families keyed by anchor.
+anchor form a segment. Two strings can only be equal if their anchors are, so segments whose anchor is nowhere else drop
+out, and of segments with equal anchor and bytes the first stands for all. What is left goes, in document order, to index
+families, each of which has whole anchors; their suffix arrays find the strings that an earlier segment has.
 """
 
 from __future__ import annotations
@@ -10,15 +11,20 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, mix64, prefix_hash, range_hash, window_hash
+from .common import materialize, mix64, prefix_hash, range_hash, text_slices, window_hash
 
-#: Bytes of an anchor; bytes scanned at once (below 2**24); segments of an index batch; occurrences from which an anchor's strings are dealt out singly.
-ANCHOR, PIECE, BATCH, HOT = 32, 4 << 20, 20_000, 50_000
+#: Bytes of an anchor; bytes scanned at once (below 2**24); bytes of an index batch; suffixes of a family, about; suffixes compared at once.
+ANCHOR, PIECE, BATCH, FAMILY, STEP = 32, 512 << 10, 1 << 20, 2_000_000, 1 << 16
+#: Different segments from which an anchor is hot: its strings are dealt out by content, so that it loads no single task.
+HOT = 50_000
+#: Texts of a task whose copies are left out of the count, those met last; a copy of an earlier text is settled as a whole.
+REMEMBERED = 1 << 15
 
 
 def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -64,32 +70,77 @@ def segments(raw: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
+class Level:
+    """A suffix array: starts of suffixes of text, in the order of their first `least` bytes, each such prefix once."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, least: int):
+        self.text, self.at, self.least = text, at, least
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def prefixes(self, a: int, b: int) -> np.ndarray:
+        """The first `least` bytes of the suffixes a to b; numpy compares such strings byte by byte over their whole width."""
+        every = np.ndarray(max(0, len(self.text) - self.least + 1), f"S{self.least}", self.text, strides=(1,))
+        return every[self.at[a:b]]
+
+
+def merge_scan(level: Level, other: Level) -> tuple[np.ndarray, np.ndarray]:
+    """(place, equal): where in level each suffix of other belongs, and whether the one there has as long a match.
+
+    Both arrays are read once, in order, STEP suffixes at a time.
+    """
+    place, equal = np.full(len(other), len(level), np.int64), np.zeros(len(other), bool)
+    start, mine = 0, level.prefixes(0, STEP)
+    for j in range(0, len(other), STEP):
+        theirs, done = other.prefixes(j, j + STEP), 0
+        while done < len(theirs) and len(mine):
+            at = np.searchsorted(mine, theirs[done:])
+            n = int(np.searchsorted(at, len(mine)))  # suffixes beyond this stretch of level wait for the next
+            place[j + done : j + done + n] = start + at[:n]
+            equal[j + done : j + done + n] = mine[at[:n]] == theirs[done : done + n]
+            done += n
+            if done < len(theirs):
+                start += len(mine)
+                mine = level.prefixes(start, start + STEP)
+    return place, equal
+
+
 class Family:
     """Suffix arrays of sizes that at least halve from one to the next.
 
-    A suffix counts by its first `least` bytes, so an array keeps suffixes in the order of that prefix's 64-bit hash: equal
-    prefixes are neighbours, which is all that a scan for long matches needs. A batch is sorted, scanned against every level
-    by merging, and what it adds becomes a level; levels of like size are merged.
+    A batch gets its suffix array, which is scanned against every level by merging; matches of `least` bytes are equal
+    neighbours there. What the batch adds becomes a level, and levels of like size merge.
     """
 
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
-
-    def add(self, keys: np.ndarray) -> np.ndarray:
-        """Which of keys, in text order, were there before: in an earlier batch or earlier in this one."""
-        array, first = np.unique(keys, return_index=True)
-        known = np.zeros(len(array), bool)
+    def __init__(self, least: int):
+        self.least, self.levels = least, []
+
+    def add(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the suffixes of text at `at`, in text order, match one before: in an earlier batch or earlier in this one."""
+        whole = Level(text, at, self.least)
+        keys = whole.prefixes(0, len(at))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = order[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(order) else order
+        del keys
+        batch = Level(text, at[first], self.least)
+        known = np.zeros(len(batch), bool)
         for level in self.levels:
-            at = np.searchsorted(level, array)
-            known |= level[np.minimum(at, len(level) - 1)] == array
-        new = np.zeros(len(keys), bool)
+            known |= merge_scan(level, batch)[1]
+        new = np.zeros(len(at), bool)
         new[first[~known]] = True
-        if len(level := array[~known]):
-            while self.levels and len(self.levels[-1]) <= 2 * len(level):
-                level = np.sort(np.concatenate((self.levels.pop(), level)), kind="stable")
-            self.levels.append(level)
+        batch.at = batch.at[~known]
+        if len(batch):
+            while self.levels and len(self.levels[-1]) <= 2 * len(batch):
+                batch = self._merge(self.levels.pop(), batch)
+            self.levels.append(batch)
         return ~new
 
+    def _merge(self, a: Level, b: Level) -> Level:
+        place, _ = merge_scan(a, b)
+        return Level(np.concatenate((a.text, b.text)), np.insert(a.at, place, b.at + len(a.text)), self.least)
+
 
 def _runs(flag: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of true flags that stay in one row."""
@@ -107,7 +158,9 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     asked, kept_text is the rest as text, where a character that a cut leaves in part goes too. Columns named in carry come
     along as the struct `carried`.
     Rows with a null doc_id match nothing and stay whole. Rows that share a doc_id but not a text are ordered by a hash of
-    the text; rows that repeat both are one document with one result. An empty table gives an empty result.
+    the text; rows that repeat both are one document with one result. An empty table gives an empty result. Long texts are
+    scanned PIECE bytes at a time. Other columns are not read, whatever their names, and the result has only those named
+    here. Equal segments and whole copies are known by 128 bits of hash; all other matches are compared byte by byte.
     """
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("carried"))
     # th tells rows of one doc_id apart; where ids are unique it is 0 and costs nothing in what is shuffled
@@ -123,10 +176,10 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     common = seg.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     again = materialize(seg.join(common, "h").select("doc_id", "th", "h", "f", "c", F.shiftright("pn", 16).cast("int").alias("p"), F.col("pn").bitwiseAND(F.lit(65535)).cast("int").alias("n")), "again")
     place = F.struct("doc_id", "th", "p").alias("place")
-    head = again.groupBy("f").agg(F.min(place).alias("head"))
+    head = again.groupBy("h", "f").agg(F.min(place).alias("head"))
     mixed = again.groupBy("h").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("h")
     at = F.struct(F.col("doc_id"), F.col("th"), F.col("p"))
-    marked = again.join(head, "f").withColumn("is_head", at == F.col("head"))
+    marked = again.join(head, ["h", "f"]).withColumn("is_head", at == F.col("head"))
     equal = marked.where("NOT is_head").select("doc_id", "th", "p", "n")
     open_ = marked.where("is_head").join(mixed, "h", "left_semi").select("doc_id", "th", "h", "p", "n", (F.col("c") > hot).alias("hot"))
     # rows that repeat both doc_id and text are one document here
@@ -136,7 +189,8 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     want = open_.groupBy("doc_id", "th").agg(F.collect_list(F.struct("p", "n", "h", "hot")).alias("segs"))
     strings = materialize(_strings(source.join(want.hint("merge"), ["doc_id", "th"]), least), "strings")
     usual = strings.where("NOT hot").select("doc_id", "th", "h", "p", "bytes")
-    found = _indexed(usual, least)
+    windows = strings.where("NOT hot").agg(F.sum(F.octet_length("bytes") - (least - 1))).first()[0] or 0
+    found = _indexed(usual, least, int(windows // FAMILY) + 1)
     # strings of anchors that very many segments share: each alone, by a grouped minimum
     single = strings.where("hot").select("doc_id", "th", "p", "h")
     earliest = single.groupBy("h").agg(F.min(place).alias("head"))
@@ -154,17 +208,19 @@ def _all_segments(t: DataFrame, least: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        seen: dict[bytes, int] = {}  # texts of this task: a copy of an earlier row says nothing new
+        seen: dict[bytes, int] = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a, rows in text_slices(batch.column("text")):
+                part = batch.slice(a, rows)
                 ids, th = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("th").to_numpy(zero_copy_only=False)
                 raw = []
                 for i, text in zip(ids.tolist(), part.column("text").to_pylist(), strict=True):
                     b = text.encode("utf-8", "surrogatepass")
                     k = hashlib.blake2b(b, digest_size=16).digest()
                     raw.append(b"" if seen.get(k, i) < i else b)
-                    seen[k] = min(i, seen.get(k, i))
+                    seen[k] = min(i, seen.pop(k, i))
+                    if len(seen) > REMEMBERED:
+                        del seen[next(iter(seen))]
                 own, p, n, h, f = segments(raw, least)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(th[own]), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(p.astype(np.int64) << 16 | n.astype(np.int64))], schema=arrow)
 
@@ -180,8 +236,8 @@ def _strings(t: DataFrame, least: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
+            for a, n in text_slices(batch.column("text"), 256 << 10):
+                part = batch.slice(a, n)
                 rows = []
                 for i, th, text, segs in zip(*(part.column(c).to_pylist() for c in ("doc_id", "th", "text", "segs")), strict=True):
                     b = text.encode("utf-8", "surrogatepass")
@@ -199,33 +255,35 @@ def _strings(t: DataFrame, least: int) -> DataFrame:
     return t.select("doc_id", "th", "text", "segs").mapInArrow(run, schema)
 
 
-def _indexed(strings: DataFrame, least: int) -> DataFrame:
-    """Runs of strings that an earlier segment has, found in one family for each partition of anchors, in document order."""
+def _indexed(strings: DataFrame, least: int, families: int) -> DataFrame:
+    """Runs of strings that an earlier segment has, found in one family for each partition of anchors, in document order.
+
+    There are at least as many partitions as families, so that none holds much more than FAMILY suffixes and a hot anchor's.
+    """
     schema = T._parse_datatype_string("doc_id long, th long, p int, n int")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
-        family = Family()
+        family = Family(least)
         for batch in batches:
-            for a in range(0, batch.num_rows, BATCH):
-                part = batch.slice(a, BATCH)
-                raw = part.column("bytes").to_pylist()
-                size = np.array([len(x) for x in raw], np.int64)
-                begin, n = np.cumsum(size) - size, size - (least - 1)
-                row = np.repeat(np.arange(len(raw)), n)
+            for a, rows in text_slices(batch.column("bytes"), BATCH, 1 << 20):
+                part = batch.slice(a, rows)
+                raw = part.column("bytes")
+                size = pc.binary_length(raw).to_numpy().astype(np.int64)
+                text = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+                n = size - (least - 1)
+                row = np.repeat(np.arange(rows), n)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                pre = prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
-                start = begin[row] + step
-                anchor = part.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-                known = family.add(mix64(range_hash(pre, start, start + least) ^ anchor[row]))
+                known = family.add(text, (np.cumsum(size) - size)[row] + step)
                 s, e = _runs(known, row)
                 own = row[s]
                 ids, th, p = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "p"))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(th[own]), pa.array((p[own] + step[s]).astype(np.int32)), pa.array((e - s).astype(np.int32))], schema=arrow)
 
-    return strings.repartition("h").sortWithinPartitions("doc_id", "th", "p").mapInArrow(run, schema)
+    least_parts = max(families, int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return strings.repartition(least_parts, "h").sortWithinPartitions("doc_id", "th", "p").mapInArrow(run, schema)
 
 
 def _cut(t: DataFrame, least: int, texts: bool) -> DataFrame:
@@ -237,8 +295,8 @@ def _cut(t: DataFrame, least: int, texts: bool) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, n in text_slices(batch.column("text")):
+                part = batch.slice(a, n)
                 size, spans, kept = [], [], []
                 for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True):
                     b = text.encode("utf-8", "surrogatepass")

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from graphquarry.llm import bpe, language_id, mixing, quality_rules, site_quality, token_files, toxicity
+from graphquarry.llm import bpe, language_id, mixing, quality_rules, site_quality, suffix_dedup, token_files, toxicity
 from graphquarry.llm.common import connected_components
 from graphquarry.llm.embedding_dedup import near_duplicate_vectors
 from graphquarry.llm.near_dedup import near_duplicates
@@ -135,20 +135,51 @@ def test_spans_carry_and_cut_characters(spark):
     assert out[2]["carried"]["lang"] == "y" and out[2]["kept_text"] == "zw"
 
 
-def test_family_keeps_geometric_levels():
-    rng, f, seen = np.random.default_rng(1), Family(), set()
-    for _ in range(60):
-        keys = rng.integers(0, 4000, 100).astype(np.uint64)
+def test_family_keeps_geometric_levels(monkeypatch):
+    """Suffixes in order, matches found by bytes, levels that at least halve; stretches of every level are crossed."""
+    monkeypatch.setattr(suffix_dedup, "STEP", 16)
+    rng, f, seen = np.random.default_rng(1), Family(6), set()
+    for _ in range(40):
+        text = rng.integers(97, 100, 200).astype(np.uint8)
+        text[rng.integers(0, 200, 9)] = 0
+        at = np.flatnonzero(rng.random(195) < 0.8)
         want = []
-        for k in keys.tolist():
+        for k in (text[i : i + 6].tobytes() for i in at):
             want.append(k in seen)
             seen.add(k)
-        assert f.add(keys).tolist() == want
+        assert f.add(text, at).tolist() == want
         sizes = [len(x) for x in f.levels]
         assert all(a > b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
+        for x in f.levels:
+            own = [x.text[i : i + 6].tobytes() for i in x.at]
+            assert own == sorted(own)
 
 
-ODD = ["", "a", " a  b\n\n c\t", "it's he'll 12,3.4..., !!", "中文　é​x", "a" * 3000, "\0\1\2\3 x, y", "<|endoftext|> x", "x ,y .z", "\x1c\x85y"]
+def test_segments_are_the_same_in_any_pieces(monkeypatch):
+    raw = [prose(400, random.Random(i)).encode() for i in range(3)] + [b"", b"ab" * 300]
+    whole = sorted(zip(*(x.tolist() for x in suffix_dedup.segments(raw, 100)), strict=True))
+    starts = lambda s: sorted((t, a + i, h) for t, a, n, h, _ in s for i in range(n))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    assert starts(zip(*(x.tolist() for x in suffix_dedup.segments(raw, 100)), strict=True)) == starts(whole)
+
+
+def test_spans_across_pieces_and_batches(spark, monkeypatch):
+    """Texts over every bound: pieces scanned at once, index batches, stretches of a merge, texts remembered."""
+    for name, n in {"PIECE": 700, "BATCH": 3000, "STEP": 50, "FAMILY": 4000, "REMEMBERED": 3}.items():
+        monkeypatch.setattr(suffix_dedup, name, n)
+    rng = random.Random(31)
+    base = [prose(300, rng) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        w = (base[i % 4] + " " + prose(60, rng)).split()
+        for _ in range(i % 9):
+            w[rng.randrange(len(w))] = prose(1, rng) + "q"
+        rows.append((i, " ".join(w[rng.randrange(20) :])))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(brute_spans([(i, t.encode()) for i, t in rows], 100))
+
+
+ODD = ["", "a", " a  b\n\n c\t", "it's he'll 12,3.4..., !!", "中文　é​x", "a" * 3000, "\0\1\2\3 x, y", "<|endoftext|> x", "x ,y .z", "\x1c\x85y", "a\n b", "a \nb", "été\nÉté,x.y z\nab"]
 
 
 def test_bpe_equals_tiktoken(spark, docs, none):
@@ -174,7 +205,7 @@ def test_token_files(spark, docs, none):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert t.encode(ODD[7], add_special_tokens=False).ids[0] == 50256
     more = spark.createDataFrame([(100 + i, x, 1, 2, 3, "x") for i, x in enumerate(ODD)], BASE)
     folder = token_files.write_tokens(docs.union(more), path, partitions=3)
     got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["start"]), bytes(r["ids"])) for r in token_files.read_tokens(spark, folder).collect())

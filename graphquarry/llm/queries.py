@@ -29,7 +29,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").where(id_crc_mod3() != 1)
-    index = toxicity.learn(docs.join(labels, "doc_id"), docs)
+    index = toxicity.learn(docs, labels)
     out = toxicity.score(docs, index)
     return out.select("doc_id", F.coalesce(id_crc_mod3() == 1, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 

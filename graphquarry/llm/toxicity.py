@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_texts, materialize
+from .common import map_texts, materialize, text_slices
 
 #: Bound of what is learned from: twice as many examples, those of smallest hash whatever their label.
 EXAMPLES = 6000
-#: A term in one of so many examples is common: its weights stand in a table, those of the others in lists.
+#: Examples that are scored without themselves to calibrate votes; clusters of examples and common terms they are told apart by.
+CALIBRATION, CLUSTERS, SIGNS = 1500, 8, 512
+#: A term in one of so many examples of a cluster is common there: its weights stand in a table, those of the others in lists.
 COMMON = 12
-REMEMBERED = 50_000
-NEAREST, BLOCK, PRIOR, SMALL = 15, 64, 0.25, 0.01
+REMEMBERED = 100_000
+#: Neighbours, examples of a block, queries at once; weight that draws votes to the common share; least weight of a term.
+NEAREST, BLOCK, QUERIES, PRIOR, SMALL = 15, 64, 128, 0.06, 0.01
 #: More than twice what single precision can lose of a cosine.
 MARGIN = np.float32(2e-4)
 _FOLD = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
@@ -31,14 +34,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_FOLD).split()
 
 
+def terms_of_word(word: bytes) -> list[bytes]:
+    """The word and, marked by a caret, its first four and five bytes: inflected forms share those."""
+    n = len(word)
+    return [word, b"^" + word[:4], b"^" + word[:5]] if n > 5 else [word, b"^" + word[:4]] if n > 4 else [word]
+
+
 def terms_of(words: list[bytes]) -> Counter[bytes]:
-    """How often words and, marked by a caret, their first four and five bytes occur: inflected forms share those."""
-    c = Counter(words)
-    for x, n in list(c.items()):
-        if len(x) > 4:
-            c[b"^" + x[:4]] += n
-            if len(x) > 5:
-                c[b"^" + x[:5]] += n
+    """How often the terms of words occur."""
+    c: Counter[bytes] = Counter()
+    for x, n in Counter(words).items():
+        for t in terms_of_word(x):
+            c[t] += n
     return c
 
 
@@ -48,23 +55,48 @@ class Numbers(dict):
     def __init__(self, number: dict[bytes, int]):
         self.number = number
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, word: bytes) -> np.ndarray:
         if len(self) >= REMEMBERED:
             self.clear()
-        out = self[word] = [self.number[t] for t in terms_of([word]) if t in self.number]
+        get = self.number.get
+        out = self[word] = np.array([i for t in terms_of_word(word) if (i := get(t)) is not None], np.int32)
         return out
 
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbered terms of a text, ascending, and how often each occurs."""
+        words = words_of(text)
+        return np.unique(np.concatenate([self[w] for w in words]), return_counts=True) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def clusters(x: np.ndarray, k: int, steps: int = 6) -> np.ndarray:
+    """The cluster of each row of unit vectors: spherical k-means from rows that are each farthest from those before."""
+    seeds = [0]
+    near = x @ x[0]
+    for _ in range(k - 1):
+        seeds.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[seeds[-1]])
+    centre = x[seeds]
+    for _ in range(steps):
+        own = (x @ centre.T).argmax(axis=1)
+        total = np.zeros_like(centre)
+        np.add.at(total, own, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centre = np.where(size > 0, total / np.maximum(size, 1e-12), centre)
+    return (x @ centre.T).argmax(axis=1)
+
 
 class Index:
-    """Examples as TF-IDF vectors over all their terms: a table of blocks of BLOCK examples with the largest weight of each
-    common term in each block, and inverted lists of the other terms. telling, if given, scales each term's weight."""
+    """Examples as TF-IDF vectors over all their terms, in clusters and those in blocks of BLOCK: a table for each cluster has
+    its common terms with the largest weight of each in each block, inverted lists have the others. telling, if given, scales
+    each term's weight."""
 
     def __init__(self, terms: list[bytes], df: np.ndarray, n: int, rows: Iterable[tuple[int, dict[int, int]]], label: np.ndarray, base: float, telling: np.ndarray | None = None):
         self.number = {t: i for i, t in enumerate(terms)}
         self.idf = np.log((1 + n) / (1 + df)) + 1
+        plain = self.idf
         if telling is not None:
             self.idf = self.idf * telling
-        self.numbers, self.table = Numbers(self.number), None
+        self.numbers, self.tables = Numbers(self.number), None
         ids, ks, cs, norms = [], [], [], []
         for i, tf in rows:
             ids.append(i)
@@ -73,13 +105,23 @@ class Index:
             w = (1 + np.log(cs[-1])) * self.idf[ks[-1]]
             norms.append(math.sqrt(float(w @ w)))
         self.ids, self.label, self.base, self.norm = np.array(ids, np.int64), label, base, np.array(norms)
-        self.blocks = max(1, math.ceil(len(ids) / BLOCK))
         self.start = np.cumsum([0] + [len(k) for k in ks])
         self.term, self.tf = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (ks, cs))
+        self.scale = None
+        self.cluster = np.zeros(len(ids), np.int32)
+        if len(ids) > CLUSTERS * BLOCK:
+            sign = np.full(len(self.idf), -1)
+            top = np.argsort(-np.bincount(self.term, minlength=len(self.idf)), kind="stable")[:SIGNS]
+            sign[top] = np.arange(len(top))
+            x = np.zeros((len(ids), len(top)), np.float32)
+            at = np.repeat(np.arange(len(ids)), np.diff(self.start))
+            some = sign[self.term] >= 0
+            x[at[some], sign[self.term[some]]] = (1 + np.log(self.tf[some])) * plain[self.term[some]]
+            self.cluster = clusters(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6), CLUSTERS).astype(np.int32)
 
     def __getstate__(self):
-        """What examples hold, deflated: every executor keeps a copy. The table and lists are made where they are used."""
-        lost = {"number", "numbers", "table", "most", "lists", "cuts", "place", "term", "tf"}
+        """What examples hold, deflated: every executor keeps a copy. Tables and lists are made where they are used."""
+        lost = {"number", "numbers", "tables", "lists", "cuts", "column", "example", "blocks", "term", "tf"}
         step = np.diff(self.term, prepend=np.int32(0)).astype("<i4")
         packed = [zlib.compress(x.tobytes(), 1) for x in (step.view(np.uint8).reshape(-1, 4).T, self.tf.astype("<i4").view(np.uint8).reshape(-1, 4).T)]
         terms = zlib.compress(b" ".join(self.number), 1)
@@ -91,109 +133,156 @@ class Index:
         self.number = {t: i for i, t in enumerate(terms.split(b" "))} if terms else {}
         self.__dict__.update(d)
         self.term, self.tf = np.cumsum(step, dtype=np.int32), tf.astype(np.min_scalar_type(tf.max(initial=0)))
-        self.table, self.numbers = None, Numbers(self.number)
+        self.tables, self.numbers = None, Numbers(self.number)
 
     def _build(self) -> None:
-        ids = self.ids
-        count = np.bincount(self.term, minlength=len(self.idf))
-        common = np.flatnonzero(count * COMMON >= max(1, len(ids)))
-        self.place = np.full(len(self.idf), -1, np.int32)
-        self.place[common] = np.arange(len(common))
-        at = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.start))
+        n, width = len(self.ids), len(self.idf)
+        at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
         weight = np.zeros(len(at), np.float32)
         for a in range(0, len(at), 1 << 20):
             e = slice(a, a + (1 << 20))
             weight[e] = (1 + np.log(self.tf[e])) * self.idf[self.term[e]] / self.norm[at[e]]
-        place = self.place[self.term]
-        self.table = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        self.table[place[place >= 0], at[place >= 0]] = weight[place >= 0]
-        self.most = self.table.reshape(len(common), self.blocks, BLOCK).max(axis=2)
-        rest = np.flatnonzero(place < 0)
+        # a column for each example; clusters begin at whole blocks
+        self.column, example, self.tables = np.zeros(n, np.int32), [], []
+        listed = np.ones(len(at), bool)
+        for c in range(int(self.cluster.max(initial=0)) + 1):
+            own = np.flatnonzero(self.cluster == c)
+            if not len(own):
+                continue
+            first = len(example)
+            self.column[own] = first + np.arange(len(own))
+            example += own.tolist() + [-1] * (-len(own) % BLOCK)
+            post = np.flatnonzero(self.cluster[at] == c)
+            common = np.flatnonzero(np.bincount(self.term[post], minlength=width) * COMMON >= len(own))
+            place = np.full(width, -1, np.int32)
+            place[common] = np.arange(len(common))
+            dense = post[place[self.term[post]] >= 0]
+            listed[dense] = False
+            table = np.zeros(((len(example) - first) // BLOCK, len(common), BLOCK), np.float32)
+            column = self.column[at[dense]] - first
+            table[column // BLOCK, place[self.term[dense]], column % BLOCK] = weight[dense]
+            self.tables.append((first // BLOCK, common, table, np.ascontiguousarray(table.max(axis=2).T)))
+        self.example, self.blocks = np.array(example, np.int64), len(example) // BLOCK
+        rest = np.flatnonzero(listed)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.lists = at[rest], weight[rest]
-        self.cuts = np.append(0, np.cumsum(np.where(self.place < 0, count, 0)))
+        self.lists = self.column[at[rest]], weight[rest]
+        self.cuts = np.concatenate(([0], np.cumsum(np.bincount(self.term[rest], minlength=width))))
 
-    def _vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        k = np.array(sorted(tf), np.int64)
-        w = (1 + np.log([tf[t] for t in k.tolist()])) * self.idf[k]
+    def _vector(self, k: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.idf[k]
         return k, w / math.sqrt(float(w @ w))
 
     def weigh(self, tf: dict[int, int]) -> dict[int, float]:
-        k, w = self._vector(tf)
+        k, w = self._vector(np.array(sorted(tf), np.int64), np.array([tf[t] for t in sorted(tf)]))
         return dict(zip(k.tolist(), w.tolist(), strict=True))
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for x, n in Counter(words_of(text)).items():
-            for t in self.numbers[x]:
-                out[t] = out.get(t, 0) + n
-        return out
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
-        """For each query the exact NEAREST examples of positive cosine, by falling cosine and then place.
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], nearest: int | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the exact NEAREST examples of positive cosine, by falling cosine and then place."""
+        if not len(self.ids):
+            return [[] for _ in queries]
+        if self.tables is None:
+            self._build()
+        return [x for a in range(0, len(queries), QUERIES) for x in self._search(queries[a : a + QUERIES], nearest or NEAREST)]
 
-        Lists are summed first. What they give bounds the last nearest cosine from below, and a block is opened for the
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], nearest: int) -> list[list[tuple[float, int]]]:
+        """Lists are summed first. What they give bounds the last nearest cosine from below, and a block is opened for the
         queries whose largest sum in it can reach that. Examples that single precision leaves in question are summed again.
         """
-        n = len(self.ids)
-        if not n:
-            return [[] for _ in queries]
-        if self.table is None:
-            self._build()
-        q = np.zeros((len(queries), len(self.table)), np.float32)
-        s = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
-        for x, (k, w) in enumerate(queries):
-            p = self.place[k]
-            q[x, p[p >= 0]] = w[p >= 0]
-            parts = [(self.cuts[t], self.cuts[t + 1], v) for t, v in zip(k[p < 0].tolist(), w[p < 0].tolist(), strict=True)]
-            if parts:
-                at = np.concatenate([self.lists[0][i:j] for i, j, _ in parts])
-                s[x] = np.bincount(at, np.concatenate([self.lists[1][i:j] * v for i, j, v in parts]), s.shape[1])
-        last = max(0, s.shape[1] - NEAREST)
-        bound = s.reshape(len(s), self.blocks, BLOCK).max(axis=2) + q @ self.most
+        m, wide = len(queries), self.blocks * BLOCK
+        k, w = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        row = np.repeat(np.arange(m), [len(q[0]) for q in queries])
+        s = np.empty((m, wide), np.float32)
+        for x, (t, v) in enumerate(queries):
+            start = self.cuts[t]
+            size = self.cuts[t + 1] - start
+            some = size > 0
+            start, size, v = start[some], size[some], v[some].astype(np.float32)
+            end = np.cumsum(size)
+            post = np.arange(int(end[-1]) if len(end) else 0)
+            post += np.repeat(start - end + size, size)
+            s[x] = np.bincount(self.lists[0][post], np.repeat(v, size) * self.lists[1][post], wide)
+        s = s.reshape(m, self.blocks, BLOCK)
+        bound = s.max(axis=2)
+        given = []
+        for first, common, table, most in self.tables:
+            at = np.searchsorted(common, k)
+            hit = common[np.minimum(at, len(common) - 1)] == k if len(common) else np.zeros(len(k), bool)
+            q = np.zeros((m, len(common)), np.float32)
+            q[row[hit], at[hit]] = w[hit]
+            given.append(q)
+            bound[:, first : first + len(table)] += q @ most
+        flat, last = s.reshape(m, wide), max(0, wide - nearest)
         opened = np.zeros(bound.shape, bool)
-        first = np.argsort(-bound, axis=1)[:, : max(1, self.blocks // 16)]  # the best blocks of each query raise what others must reach
-        np.put_along_axis(opened, first, True, axis=1)
-        self._open(opened, q, s)
-        least = np.partition(s, last, axis=1)[:, last, None]
-        more = (bound >= least - MARGIN) & ~opened
-        self._open(more, q, s)
-        least = np.partition(s, last, axis=1)[:, last]
-        out, dense = [], np.zeros(len(self.idf))
+        best = np.argsort(-bound, axis=1)[:, : max(1, self.blocks // 16)]  # the best blocks of each query raise what others must reach
+        np.put_along_axis(opened, best, True, axis=1)
+        self._open(opened, given, s)
+        least = np.partition(flat, last, axis=1)[:, last, None]
+        self._open((bound >= least - MARGIN) & ~opened, given, s)
+        least = np.partition(flat, last, axis=1)[:, last, None]
+        rows, cols = np.nonzero((flat > 0) & (flat >= least - MARGIN) & (self.example >= 0))
+        out, dense, cut = [], np.zeros(len(self.idf)), np.searchsorted(rows, np.arange(m + 1))
         for x, (k, w) in enumerate(queries):
-            dense[k] = w
+            dense[k] = w * self.idf[k]
             found = []
-            for a in np.flatnonzero((s[x, :n] > 0) & (s[x, :n] >= least[x] - MARGIN)).tolist():
+            for a in self.example[cols[cut[x] : cut[x + 1]]].tolist():
                 e = slice(self.start[a], self.start[a + 1])
-                t = self.term[e]
-                v = float((dense[t] * self.idf[t]) @ (1 + np.log(self.tf[e]))) / self.norm[a]
+                v = float(dense[self.term[e]] @ (1 + np.log(self.tf[e].astype(float)))) / self.norm[a]
                 found.append((-round(v, 12), a))
             dense[k] = 0
-            out.append([(-v, a) for v, a in sorted(found)[:NEAREST]])
+            out.append([(-v, a) for v, a in sorted(found)[:nearest]])
         return out
 
-    def _open(self, wanted: np.ndarray, q: np.ndarray, s: np.ndarray) -> None:
-        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
-            x, e = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-            s[x, e] += q[x] @ self.table[:, e]
+    def _open(self, wanted: np.ndarray, given: list[np.ndarray], s: np.ndarray) -> None:
+        for q, (first, _, table, _) in zip(given, self.tables, strict=True):
+            for b in np.flatnonzero(wanted[:, first : first + len(table)].any(axis=0)).tolist():
+                x = np.flatnonzero(wanted[:, first + b])
+                s[x, first + b] += q[x] @ table[b]
 
     def nearest(self, query: dict[int, float]) -> list[tuple[float, int]]:
         return self.search([(np.array(list(query), np.int64), np.array(list(query.values())))])[0]
 
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        """The share of toxic ones among the nearest, each weighing its cosine to the fourth, drawn toward their common share."""
+        up = PRIOR * self.base + sum(c**4 * self.label[a] for c, a in near)
+        return float(up / (PRIOR + sum(c**4 for c, _ in near)))
+
+    def calibrate(self) -> None:
+        """Fits the logistic map of votes to probabilities on examples whose own vote is left out."""
+        some = np.arange(0, len(self.ids), max(1, math.ceil(len(self.ids) / CALIBRATION)))
+        y = self.label[some]
+        if not len(y) or not 0 < y.mean() < 1:
+            return
+        cut = [slice(self.start[a], self.start[a + 1]) for a in some]
+        near = self.search([self._vector(self.term[e], self.tf[e]) for e in cut], NEAREST + 1)
+        x = np.array([_logit(self.vote([n for n in found if n[1] != a][:NEAREST])) for a, found in zip(some.tolist(), near, strict=True)])
+        goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+        f, t = np.stack([x, np.ones(len(x))], axis=1), np.array([1.0, 0.0])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(f @ t, -30, 30)))
+            step = np.linalg.solve(f.T @ (f * (p * (1 - p))[:, None]) + np.diag([1e-3, 1e-6]), f.T @ (p - goal) + np.array([1e-3 * (t[0] - 1), 0]))
+            t = t - step * min(1.0, 2.0 / max(2.0, float(np.abs(step).max())))
+        if np.isfinite(t).all() and t[0] > 0:
+            self.scale = float(t[0]), float(t[1])
+
     def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
-        """Votes of the nearest, each weighing its cosine squared, drawn toward the share of toxic examples; and their ids."""
-        tfs = [self.counts(t) for t in texts]
-        near = iter(self.search([self._vector(tf) for tf in tfs if tf]))
+        """Calibrated votes of the nearest, and the ids of those."""
+        tfs = [self.numbers.counts(t) for t in texts]
+        near = iter(self.search([self._vector(*tf) for tf in tfs if len(tf[0])]))
         out = []
         for tf in tfs:
-            up, down, ids = PRIOR * self.base, PRIOR, []
-            for c, a in next(near) if tf else []:
-                up, down = up + c * c * self.label[a], down + c * c
-                ids.append(int(self.ids[a]))
-            out.append((float(up / down), ids))
+            found = next(near) if len(tf[0]) else []
+            v = self.vote(found)
+            if self.scale:
+                v = 1 / (1 + math.exp(-(self.scale[0] * _logit(v) + self.scale[1])))
+            out.append((v, [int(self.ids[a]) for _, a in found]))
         return out
 
 
+def _logit(v: float) -> float:
+    v = min(max(v, 1e-4), 1 - 1e-4)
+    return math.log(v / (1 - v))
+
+
 def _term_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """In how many texts of docs each numbered term occurs, and how many texts there are. A task sends one row a term."""
     schema = T._parse_datatype_string("term int, n long")
@@ -205,7 +294,7 @@ def _term_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray,
         total, seen, numbers = 0, np.zeros(len(number), np.int64), Numbers(number)
         for batch in batches:
             for text in batch.column("text"):
-                seen[[t for x in set(words_of(text.as_py())) for t in numbers[x]]] += 1
+                seen[numbers.counts(text.as_py())[0]] += 1
                 total += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], total))], schema=arrow)
@@ -217,17 +306,19 @@ def _term_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray,
     return df, int(n[at < 0].sum())
 
 
-def learn(labelled: DataFrame, docs: DataFrame | None = None) -> Index:
-    """An index over at most twice EXAMPLES rows of labelled (doc_id, text, toxic 0 or 1); null labels are left out.
+def learn(docs: DataFrame, labels: DataFrame) -> Index:
+    """An index over at most twice EXAMPLES documents of docs (doc_id, text) with a label in labels (doc_id, toxic 0 or 1).
 
-    Rows are taken by a hash of doc_id alone, so the sample is the same at every run and labels keep their shares at every
-    size. All terms of the examples are indexed; document frequencies are counted over docs (text), or over labelled where
-    none are given. A term weighs the more the more its shares of toxic and other examples differ, by the logarithm of their
-    ratio shrunk by one row at the common share; no term weighs nothing. Without examples every score is 0.
+    Documents are taken by a hash of doc_id alone, so the sample is the same at every run and labels keep their shares at
+    every size; null labels and ids are left out, and of several labels of a document the highest counts. Only the ids that
+    were taken, at most twice EXAMPLES, are broadcast. All terms of the examples are indexed; document frequencies are counted
+    over all docs. A term weighs the more the surer its shares of toxic and other examples differ: by the logarithm of
+    their ratio (shrunk by one row at the common share) less its standard error; no term weighs nothing. Votes are calibrated
+    on examples that do not vote for themselves. Without examples every score is 0.
     """
-    rows = labelled.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    few = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * EXAMPLES)
-    texts = materialize(rows.drop("toxic").join(few, "doc_id"), "examples").select("doc_id", "toxic", "text")
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * EXAMPLES)
+    texts = materialize(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "examples").select("doc_id", "toxic", "text")
     schema = T._parse_datatype_string("term binary, toxic int")
     arrow = to_arrow_schema(schema)
 
@@ -235,8 +326,8 @@ def learn(labelled: DataFrame, docs: DataFrame | None = None) -> Index:
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
+            for a, n in text_slices(batch.column("text")):
+                part = batch.slice(a, n)
                 found = [(t, y) for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True) for t in terms_of(words_of(text))]
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], schema=arrow)
 
@@ -259,13 +350,17 @@ def learn(labelled: DataFrame, docs: DataFrame | None = None) -> Index:
     telling = np.ones(len(terms))
     if 0 < base < 1:
         ratio = (p + base) / (label.sum() + base) * (len(label) - label.sum() + 1 - base) / (q + 1 - base)
-        telling = np.maximum(np.abs(np.log(ratio)), SMALL)
+        error = np.sqrt(1 / (p + base) + 1 / (q + 1 - base))
+        telling = np.maximum(np.abs(np.log(ratio)) - error, SMALL)
     some = np.array([len(x) > 0 for x in vectors["at"].to_pylist()], bool)
     vectors, label = vectors.filter(some), label[some]
     # one example at a time is a dictionary: all at once would not fit the driver
     rows_ = ((i.as_py(), dict(zip(np.frombuffer(k.as_py(), "<i4").tolist(), np.frombuffer(c.as_py(), "<i4").tolist(), strict=True))) for i, k, c in zip(vectors["doc_id"], vectors["at"], vectors["tf"], strict=True))
-    df, n = _term_counts(labelled if docs is None else docs, number)
-    return Index(terms, df, n, rows_, label, base, telling)
+    df, n = _term_counts(docs, number)
+    index = Index(terms, df, n, rows_, label, base, telling)
+    index.calibrate()
+    index.tables = None
+    return index
 
 
 _LOADED: dict[tuple[int, int], Index] = {}
@@ -283,7 +378,8 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     """docs' columns but text, then score (0 to 1), predicted (1 from threshold) and evidence (doc_ids of the examples that voted, nearest first).
 
     The index is bounded (EXAMPLES) and goes to the tasks with the code. A null or empty text, or one without a term of any
-    example, has no evidence and as score the share of toxic examples.
+    example, has no evidence and the score of such a vote. Rows that repeat are scored alike, texts are read whole however
+    long, other columns pass through but for those named like a result, which it replaces; an empty table gives none.
     """
 
     packed = pickle.dumps(index)

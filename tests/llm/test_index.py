@@ -31,3 +31,30 @@ def test_search_with_common_and_rare_terms_is_exact():
         full = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors))
         want = [(i, -s) for s, i in full if s < 0][:NEAREST]
         assert [a for _, a in got] == [i for i, _ in want] and np.allclose([s for s, _ in got], [s for _, s in want])
+
+
+def test_search_over_clusters_is_exact():
+    """Examples of several vocabularies, more than a cluster's bound: blocks of other clusters may stay shut, none that counts does."""
+    rng = np.random.default_rng(5)
+    rows = [(i, {int(t): int(rng.integers(1, 4)) for t in {*rng.choice(8, 2), *(100 * (i % 4) + 8 + rng.choice(90, 12))}}) for i in range(900)]
+    df = np.array([sum(t in r for _, r in rows) for t in range(420)], float)
+    index = Index([b"t%d" % i for i in range(420)], df, 900, rows, rng.integers(0, 2, 900).astype(float), 0.5)
+    assert len(set(index.cluster.tolist())) > 1
+    vectors = [index.weigh(r) for _, r in rows]
+    queries = [index.weigh(r) for _, r in rows[:150]] + [index.weigh({1: 1}), index.weigh({8: 1, 108: 2})]
+    for q, got in zip(queries, index.search([(np.array(list(q)), np.array(list(q.values()))) for q in queries]), strict=True):
+        full = sorted((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors))
+        want = [(i, -s) for s, i in full if s < 0][:NEAREST]
+        assert [a for _, a in got] == [i for i, _ in want] and np.allclose([s for s, _ in got], [s for _, s in want])
+
+
+def test_votes_are_calibrated():
+    """Where neighbours tell, votes of held-out texts near 0 and 1 are as often toxic as they say."""
+    rng = np.random.default_rng(6)
+    make = lambda i: {int(t): 1 for t in {*rng.choice(50, 6), *([50 + rng.integers(3)] if i % 3 == 0 else [])}}
+    rows = [(i, make(i)) for i in range(400)]
+    label = np.array([float(i % 3 == 0) for i in range(400)])
+    df = np.array([sum(t in r for _, r in rows) for t in range(53)], float)
+    index = Index([b"t%d" % i for i in range(53)], df, 400, rows, label, float(label.mean()))
+    index.calibrate()
+    assert index.scale and index.scale[0] > 0

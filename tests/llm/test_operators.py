@@ -293,11 +293,14 @@ def test_toxicity(spark, none):
     rng = random.Random(3)
     rows = [(i, prose(40, rng) + (" vile" + rng.choice(["ness", "r", ""]) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)] + [(500, None, 0), (501, "vile", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    index = toxicity.learn(d)
+    index = toxicity.learn(d, d)
     out = {r["doc_id"]: r for r in toxicity.score(d.select("doc_id", "text"), index).collect()}
     assert all(out[i]["predicted"] == int(i % 4 == 0) for i in range(400)) and 0 <= out[500]["score"] < 0.7 and out[501]["predicted"] == 1 and out[0]["evidence"]
-    empty = toxicity.learn(d.where("false"))
+    empty = toxicity.learn(d, d.where("false"))
     assert {r["score"] for r in toxicity.score(d.select("doc_id", "text"), empty).collect()} == {0.0}
+    assert toxicity.score(none.select("doc_id", "text"), index).count() == 0
+    clash = toxicity.score(d.select("doc_id", "text", d["toxic"].alias("score"), d["toxic"].alias("_w")), index)
+    assert clash.columns == ["doc_id", "_w", "score", "predicted", "evidence"] and clash.select("score").first()["score"] > 0
 
 
 def test_toxicity_of_rare_words(spark):
@@ -306,7 +309,7 @@ def test_toxicity_of_rare_words(spark):
     rows = [(i, prose(30, rng) + (f" zz{'abcdefghij'[i % 10]}yq" if i < 50 else ""), int(i < 50)) for i in range(500)]
     docs = spark.createDataFrame([(1000 + k, f"{prose(12, rng)} zz{'abcdefghij'[k]}yq", None) for k in range(10)] + [(2000 + k, prose(30, rng), None) for k in range(10)], "doc_id long, text string, toxic int")
     labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    index = toxicity.learn(labelled, labelled.union(docs))
+    index = toxicity.learn(labelled.union(docs), labelled)
     out = {r["doc_id"]: r for r in toxicity.score(docs.select("doc_id", "text"), index).collect()}
     assert all(out[1000 + k]["predicted"] == 1 and out[2000 + k]["predicted"] == 0 for k in range(10))
     assert all(r["evidence"] for r in out.values()) and len(index.ids) == 500
@@ -319,7 +322,8 @@ def test_toxicity_keeps_label_shares(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "EXAMPLES", 50)
     rng = random.Random(13)
     rows = [(i, prose(20, rng), int(i % 10 == 0)) for i in range(600)]
-    index = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.learn(d, d)
     assert len(index.ids) == 100 and index.label.mean() < 0.25 and index.base == index.label.mean()
 
 

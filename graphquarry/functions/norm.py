@@ -11,9 +11,20 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CODE_KINDS = {"CN": "concept", "CV": "convention", "PB": "playbook", "DS": "design", "ST": "stack"}
 #: File extension and language.
 LANGUAGES = {
-    "py": "Python", "pyi": "Python", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "go": "Go", "rs": "Rust", "java": "Java",
-    "c": "C", "h": "C", "cpp": "C++", "rb": "Ruby", "sh": "Shell", "sql": "SQL", "md": "Markdown", "json": "JSON", "yaml": "YAML", "yml": "YAML", "toml": "TOML", "html": "HTML", "css": "CSS",
+    ".py": "Python", ".pyi": "Python Stub", ".js": "JavaScript", ".jsx": "JavaScript JSX", ".ts": "TypeScript", ".tsx": "TypeScript JSX",
+    ".java": "Java", ".kt": "Kotlin", ".kts": "Kotlin Script", ".go": "Go", ".rs": "Rust", ".c": "C", ".h": "C Header", ".cpp": "C++",
+    ".hpp": "C++ Header", ".cc": "C++", ".cxx": "C++", ".cs": "C#", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift", ".scala": "Scala",
+    ".r": "R", ".m": "Objective-C", ".mm": "Objective-C++", ".lua": "Lua", ".pl": "Perl", ".pm": "Perl", ".sh": "Shell", ".bash": "Bash",
+    ".zsh": "Zsh", ".fish": "Fish", ".ps1": "PowerShell", ".bat": "Batch", ".cmd": "Batch", ".sql": "SQL", ".html": "HTML", ".htm": "HTML",
+    ".css": "CSS", ".scss": "SCSS", ".sass": "Sass", ".less": "Less", ".xml": "XML", ".json": "JSON", ".yaml": "YAML", ".yml": "YAML",
+    ".toml": "TOML", ".ini": "INI", ".cfg": "Config", ".conf": "Config", ".md": "Markdown", ".rst": "reStructuredText", ".tex": "LaTeX",
+    ".txt": "Text", ".csv": "CSV", ".tsv": "TSV", ".proto": "Protocol Buffers", ".graphql": "GraphQL", ".gql": "GraphQL", ".vue": "Vue",
+    ".svelte": "Svelte", ".dart": "Dart", ".ex": "Elixir", ".exs": "Elixir", ".erl": "Erlang", ".hrl": "Erlang", ".hs": "Haskell",
+    ".ml": "OCaml", ".mli": "OCaml", ".fs": "F#", ".fsx": "F#", ".clj": "Clojure", ".cljs": "ClojureScript", ".tf": "Terraform",
+    ".dockerfile": "Dockerfile", ".baml": "BAML",
 }
+#: File name and language.
+FILE_NAMES = {"Dockerfile": "Dockerfile", "Makefile": "Makefile", "CMakeLists.txt": "CMake", "Rakefile": "Ruby", "Gemfile": "Ruby", "Vagrantfile": "Ruby", "Justfile": "Just", "Taskfile.yml": "Task"}
 
 
 def _c(x) -> Column:
@@ -40,7 +51,7 @@ def norm_concept(x) -> Column:
 
 def tokens(x) -> Column:
     """Lower-case parts of an identifier: cut at _ - . / white space and camel humps."""
-    cut = F.regexp_replace(F.regexp_replace(_c(x), r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    cut = F.regexp_replace(_c(x), r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
     return F.filter(F.transform(F.split(cut, r"[_\-./\s]+"), F.lower), lambda t: t != "")
 
 
@@ -100,8 +111,11 @@ def make_code(prefix, number) -> Column:
 
 
 def language_of(path) -> Column:
-    pairs = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.try_element_at(pairs, F.lower(F.regexp_extract(_c(path), r"\.([A-Za-z0-9]+)$", 1)))
+    """The language of a file by its name, else its extension; a hidden file without one is Config, all else Text."""
+    name = F.element_at(F.split(_c(path), "/"), -1)
+    ext = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
+    by = lambda pairs, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+    return F.coalesce(by(FILE_NAMES, name), F.when((ext == "") & name.startswith("."), "Config"), by(LANGUAGES, ext), F.lit("Text"))
 
 
 def summary(body) -> Column:

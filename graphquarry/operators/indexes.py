@@ -58,6 +58,54 @@ def by_trigger(files: DataFrame, playbooks: DataFrame) -> DataFrame:
     return hit.groupBy("file", "title").agg(F.max("s").alias("specificity")).orderBy("file", F.desc("specificity"), "title")
 
 
+def by_any_scope(paths: DataFrame, rules: DataFrame, roots: list[str]) -> DataFrame:
+    """(path, root, rule): rules (rule, scopes: array, status) that hold for paths below several roots (an ordered list that a caller names).
+
+    A path belongs to the first root that holds it; a scope "." always holds, others for paths at or below them, from the
+    top or from the path's root. Deprecated rules are left out.
+    """
+    below = lambda p, d: (d == ".") | (p == d) | p.startswith(F.concat(d, F.lit("/")))
+    owner = F.coalesce(*[F.when(below(F.col("path"), F.lit(r)), F.lit(r)) for r in roots]) if roots else F.lit(None).cast("string")
+    dirs = paths.select("path", owner.alias("root")).where("root IS NOT NULL")
+    inner = F.when(F.col("root") == ".", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
+    dirs = dirs.withColumn("dir", F.explode(F.array_distinct(F.concat(ancestors("path"), ancestors(inner)))))
+    r = rules.where("status <> 'deprecated'").select("rule", F.explode("scopes").alias("dir"))
+    r = r.withColumn("dir", F.when(F.col("dir") == "project", ".").otherwise(F.regexp_replace("dir", "/+$", "")))
+    return dirs.join(r, "dir").select("path", "root", "rule").distinct()
+
+
+def by_trigger_dir(dirs: DataFrame, playbooks: DataFrame) -> DataFrame:
+    """(directory, title, specificity) as by_trigger, for directories: what would match a file right below one."""
+    found = by_trigger(dirs.select(F.concat("directory", F.lit("/.d")).alias("file")), playbooks)
+    return found.select(F.regexp_replace("file", r"/\.d$", "").alias("directory"), "title", "specificity")
+
+
+def posts_by(posts: DataFrame, tag: str | None = None, status: str | None = None, concept: str | None = None, resolution: str | None = None, scope: str | None = None) -> DataFrame:
+    """Posts (tags, concepts, files: arrays; status, resolution_type) that have all that is asked; scope: a file that starts with it."""
+    hit = F.lit(True)
+    if tag is not None:
+        hit = hit & F.exists("tags", lambda t: norm_tag(t) == norm_tag(F.lit(tag)))
+    if status is not None:
+        hit = hit & (F.col("status") == status)
+    if concept is not None:
+        hit = hit & F.exists("concepts", lambda c: F.lower(c) == concept.lower())
+    if resolution is not None:
+        hit = hit & (F.col("resolution_type") == resolution)
+    if scope is not None:
+        hit = hit & F.exists("files", lambda f: f.startswith(scope))
+    return posts.where(hit).orderBy(F.desc("votes"), "post")
+
+
+def in_scope(conventions: DataFrame, scope: str) -> DataFrame:
+    """Conventions that a search below scope shows: those of the project, and those whose scope is a prefix of its text."""
+    return conventions.where((F.col("scope") == "project") | F.lit(scope).startswith(F.col("scope")))
+
+
+def details(conventions: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of conventions whose path is among ids (path), in one join."""
+    return conventions.join(ids.select("path").distinct(), "path", "left_semi")
+
+
 def search_posts(posts: DataFrame, text: str, *columns: str) -> DataFrame:
     """Posts that hold text, the most voted first, ties by id."""
     hit = F.lit(False)

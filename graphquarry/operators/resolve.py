@@ -26,20 +26,125 @@ def unresolved(names: DataFrame, key: str, candidates: DataFrame) -> DataFrame:
     return names.join(candidates.select(F.col("key").alias(key)).distinct(), key, "left_anti")
 
 
-def resolve_calls(sites: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Call sites (site, file, receiver, name) to symbols: the same file, then an imported file's, then the only one of that name.
+def last_part(name):
+    return F.regexp_extract(name, r"([^.]*)$", 1)
 
-    imports: (file, local, module_file). receiver is null for plain calls. Of several hits of a step the first by line counts;
-    the last step resolves only if exactly one symbol has the name.
+
+def _claims(sites: DataFrame, local: DataFrame, imports: DataFrame, whole) -> DataFrame:
+    """(site, step, target or module_file and names to look up): of each site the first step that applies to it.
+
+    local: (site, target) hits of the same file. whole: the Column that an import may bind as it is. An import that binds
+    the name ends the search, whether or not its file has the symbol.
     """
-    s = symbols.where("symbol_type IN ('function', 'method', 'class')").select(F.col("id").alias("target"), F.col("file").alias("f"), F.col("name").alias("n"), "line_start")
-    same = sites.where("receiver IS NULL").join(s, (F.col("file") == F.col("f")) & (F.col("name") == F.col("n"))).select("site", F.lit(1).alias("step"), "line_start", "target")
-    i = sites.join(imports.withColumnRenamed("file", "importer"), (F.col("file") == F.col("importer")) & (F.coalesce("receiver", "name") == F.col("local")))
-    imported = i.join(s, (F.col("module_file") == F.col("f")) & (F.col("name") == F.col("n"))).select("site", F.lit(2).alias("step"), "line_start", "target")
-    only = s.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.min("target").alias("target"), F.min("line_start").alias("line_start")).where("c = 1")
-    alone = sites.join(only, F.col("name") == F.col("n")).select("site", F.lit(3).alias("step"), "line_start", "target")
-    best = same.union(imported).union(alone).groupBy("site").agg(F.min_by(F.struct("target", "step"), F.struct("step", "line_start", "target")).alias("b"))
-    return sites.join(best, "site", "left").select("site", "file", "name", F.col("b.target").alias("target"), F.col("b.step").alias("step"))
+    none = F.array().cast("array<string>")
+    i = imports.select(F.col("file").alias("importer"), "local", "module_file", "original").dropDuplicates(["importer", "local"])
+    hit = local.select("site", F.struct(F.lit(3).alias("step"), F.lit(0).alias("less")).alias("rank"), "target", F.lit(None).cast("string").alias("module_file"), none.alias("names"))
+
+    def bound(d: DataFrame, key, step, names) -> DataFrame:
+        d = d.join(i, (F.col("file") == F.col("importer")) & (key == F.col("local")))
+        return d.select("site", F.struct(step.alias("step"), F.col("less")).alias("rank"), F.lit(None).cast("long").alias("target"), "module_file", names.alias("names"))
+
+    s = sites.withColumn("less", F.lit(0))
+    original = F.array(F.coalesce("original", "bare"))
+    direct = bound(s.where(whole.isNotNull()), whole, F.lit(4), original)
+    parts = F.split("receiver", r"\.")
+    dotted = s.where(F.col("receiver").contains(".")).withColumn("parts", parts)
+    dotted = dotted.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("parts")))).withColumn("less", -F.col("n"))
+    rest = F.slice("parts", F.col("n") + 1, F.size("parts"))
+    prefix = F.array_join(F.slice("parts", F.lit(1), F.col("n")), ".")
+    walked = bound(dotted, prefix, F.lit(5), F.array(F.array_join(F.concat(rest, F.array("bare")), "."), F.col("bare")))
+    named = bound(s, F.col("bare"), F.lit(6), original)
+    every = hit.union(direct).union(walked).union(named)
+    return every.groupBy("site").agg(F.min_by(F.struct("rank", "target", "module_file", "names"), "rank").alias("c")).select("site", "c.rank.step", "c.target", "c.module_file", "c.names")
+
+
+def _looked_up(claims: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(site, step, target) of claims: the first of the names that the module's file has; ties by line, then id."""
+    s = symbols.select(F.col("id").alias("found"), F.col("file").alias("module_file"), F.col("name").alias("want"), "line_start")
+    each = claims.where("module_file IS NOT NULL").select("site", "step", "module_file", F.posexplode("names").alias("k", "want"))
+    best = each.join(s, ["module_file", "want"]).groupBy("site", "step").agg(F.min_by("found", F.struct("k", "line_start", "found")).alias("target"))
+    return best.select("site", "step", "target").union(claims.where("target IS NOT NULL").select("site", "step", "target"))
+
+
+def _in_file(sites: DataFrame, symbols: DataFrame, kinds: list[str]) -> DataFrame:
+    s = symbols.where(F.col("symbol_type").isin(kinds)).select(F.col("id").alias("target"), F.col("file").alias("f"), F.col("name").alias("n"), "line_start")
+    hit = sites.join(s, (F.col("file") == F.col("f")) & (F.col("bare") == F.col("n")))
+    return hit.groupBy("site").agg(F.min_by("target", F.struct("line_start", "target")).alias("target"))
+
+
+def resolve_calls(sites: DataFrame, symbols: DataFrame, imports: DataFrame, inherits: DataFrame) -> DataFrame:
+    """Python call sites (site, file, caller, receiver, name) to symbols: site, file, name, target, step (nulls: none).
+
+    1: super is never resolved. 2: self.x is a method of the caller's class, else of the nearest base. 3: a function or class
+    of the same file. 4: the receiver is imported. 5: its longest dotted prefix is. 6: the name itself is. Each step but the
+    third ends the search. imports: (file, local, module_file, original: the name in that file, null for modules).
+    inherits: (cls, base, line). What an import names may be a symbol of any kind. Receivers are null for plain calls.
+    """
+    from .symbols import enclosing_class
+    from .traverse import resolve_in_bases
+
+    s = sites.withColumn("bare", last_part("name")).where("NOT coalesce(receiver, '') = 'super' AND NOT startswith(name, 'super.')")
+    own = enclosing_class(symbols)
+    methods = own.join(symbols.select("id", "name", "line_start"), "id").select(F.col("cls").alias("owner"), "name", "line_start", "id")
+    mine = s.where("receiver = 'self'").join(own.withColumnsRenamed({"id": "caller", "cls": "at"}), "caller").select("site", "at", "bare")
+    found = resolve_in_bases(inherits, methods.select("owner", "name").distinct(), mine.select(F.col("at").alias("cls")).distinct())
+    first = methods.groupBy("owner", "name").agg(F.min_by("id", F.struct("line_start", "id")).alias("target"))
+    found = found.join(first, ["owner", "name"]).select(F.col("cls").alias("at"), F.col("name").alias("bare"), "target")
+    selves = mine.join(found, ["at", "bare"]).select("site", F.lit(2).alias("step"), "target")
+    others = s.where("receiver IS NULL OR receiver <> 'self'")
+    rest = _looked_up(_claims(others, _in_file(others, symbols, ["function", "class"]), imports, F.col("receiver")), symbols)
+    return sites.join(selves.union(rest), "site", "left").select("site", "file", "name", "target", "step")
+
+
+def resolve_classes(sites: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """Class names (site, file, name) to classes: site, target, step: of the same file (3), by an imported name (6) or the longest imported prefix (5).
+
+    An imported name whose file has no such class leaves the prefix to try; a prefix ends the search.
+    """
+    classes = symbols.where("symbol_type = 'class'")
+    s = sites.withColumn("bare", last_part("name")).withColumn("receiver", F.when(F.col("name").contains("."), F.regexp_replace("name", r"\.[^.]*$", "")))
+    local = _in_file(s, symbols, ["class"]).select("site", F.lit(3).alias("step"), "target")
+    i = imports.select(F.col("file").alias("importer"), F.col("local").alias("bare"), "module_file", F.coalesce("original", "local").alias("want")).dropDuplicates(["importer", "bare"])
+    c = classes.select(F.col("id").alias("target"), F.col("file").alias("module_file"), F.col("name").alias("want"), "line_start")
+    named = s.join(i, (F.col("file") == F.col("importer")) & (s["bare"] == i["bare"])).join(c, ["module_file", "want"])
+    named = named.groupBy("site").agg(F.min_by("target", F.struct("line_start", "target")).alias("target")).select("site", F.lit(4).alias("step"), "target")
+    none = s.where("receiver IS NOT NULL")
+    empty = local.select("site", "target").limit(0)
+    walked = _looked_up(_claims(none, empty, imports, F.lit(None).cast("string")).where("step = 5"), classes).select("site", "step", "target")
+    return local.union(named).union(walked).groupBy("site").agg(F.min_by(F.struct("target", "step"), "step").alias("b")).select("site", "b.target", "b.step")
+
+
+def same_file_only(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Call sites (site, file, name) of languages without imports at hand: the only function, method or class of that name in the file, else null."""
+    s = symbols.where("symbol_type IN ('function', 'method', 'class')").groupBy(F.col("file").alias("f"), F.col("name").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("target")).where("c = 1")
+    return sites.join(s, (F.col("file") == F.col("f")) & (last_part("name") == F.col("n")), "left").select("site", "target")
+
+
+def promoted(unresolved_calls: DataFrame, new: DataFrame) -> DataFrame:
+    """Unresolved calls (caller, callee_name, line) that the symbols of a refreshed file (id, name) resolve: by the whole name or its last part.
+
+    Of several symbols of a name the smallest id counts.
+    """
+    n = new.groupBy(F.col("name").alias("n")).agg(F.min("id").alias("callee"))
+    return unresolved_calls.join(n, last_part("callee_name") == F.col("n")).select("caller", "callee", "line", "callee_name")
+
+
+def concept_refs(names: DataFrame, key: str, concepts: DataFrame, aliases: DataFrame, top: str = ".kb/concepts") -> DataFrame:
+    """names with path and is_stub: the concept of that title or alias, case folded, else of that code, else a stub's path.
+
+    concepts: (path, title, code); aliases: (path, alias).
+    """
+    by = concepts.select(F.lower("title").alias("k"), "path", F.lit(0).alias("p")).union(aliases.select(F.lower("alias"), "path", F.lit(1))).union(concepts.where("code IS NOT NULL").select(F.lower("code"), "path", F.lit(2)))
+    best = by.groupBy("k").agg(F.min_by("path", F.struct("p", "path")).alias("path"))
+    out = names.join(best, F.lower(key) == F.col("k"), "left").drop("k")
+    return out.withColumn("is_stub", F.col("path").isNull()).withColumn("path", F.coalesce("path", F.concat(F.lit(f"{top}/"), F.col(key), F.lit(".md"))))
+
+
+def playbook_names(names: DataFrame, key: str, playbooks: DataFrame) -> DataFrame:
+    """names behind the prefix `playbook:` (any case) with the playbook (path, title) of the rest; null where there is none."""
+    k = F.lower(F.trim(F.regexp_replace(key, r"(?i)^playbook:", "")))
+    p = playbooks.groupBy(F.lower("title").alias("k")).agg(F.min("path").alias("path"))
+    return names.where(F.lower(key).startswith("playbook:")).join(p, k == F.col("k"), "left").drop("k")
 
 
 def module_files(modules: DataFrame, files: DataFrame) -> DataFrame:

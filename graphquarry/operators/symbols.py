@@ -51,6 +51,48 @@ def unresolved_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(symbols.select(F.col("id").alias("target")), "target", "left_anti").select("source", "edge_type", "target", "line")
 
 
+def class_edges_to(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    return edges.join(_side(symbols, "source"), "source").select("target", "edge_type", "source", "source_file", "line").orderBy("edge_type", "source_file", "line")
+
+
+def unresolved_callees(symbols: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """(caller, caller_name, caller_file, callee_name, line) of unresolved calls (caller, callee_name, line), by line and name."""
+    return unresolved.join(_side(symbols, "caller"), "caller").select("caller", "caller_name", "caller_file", "callee_name", "line").orderBy("line", "callee_name")
+
+
+def branch_parameters(parameters: DataFrame, symbol: int) -> DataFrame:
+    return parameters.where(F.col("symbol") == symbol).select("name").orderBy("name")
+
+
+def branching_files(symbols: DataFrame, parameters: DataFrame) -> DataFrame:
+    """The files in which some symbol branches on a parameter."""
+    return symbols.join(parameters.select(F.col("symbol").alias("id")), "id", "left_semi").select("file").distinct()
+
+
+def query_raw(spark, sql: str, args: list | dict | None = None, **tables: DataFrame) -> DataFrame:
+    """Any SELECT over the given tables, its marks filled from args."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(sql, args)
+
+
+def graph_health(**tables: DataFrame) -> DataFrame:
+    """(name, rows) of each given table, one pass a table; a table that is absent is not given."""
+    out = None
+    for name, df in tables.items():
+        n = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = n if out is None else out.union(n)
+    return out
+
+
+def members_from(enums: DataFrame, constants: DataFrame) -> DataFrame:
+    """(symbol, name, value, ordinal): variants of enums (symbol, variants: array of name and value) by their place, and constants
+    (symbol, name, value) with place 0, those without a value left out. Of one name in a symbol the first counts."""
+    e = enums.select("symbol", F.posexplode("variants").alias("ordinal", "v")).select("symbol", "v.name", "v.value", "ordinal")
+    both = e.union(constants.where("value IS NOT NULL").select("symbol", "name", "value", F.lit(0)))
+    return both.groupBy("symbol", "name").agg(F.min_by(F.struct("value", "ordinal"), "ordinal").alias("m")).select("symbol", "name", "m.value", "m.ordinal")
+
+
 def members_of(members: DataFrame, symbols: list[int]) -> DataFrame:
     return members.where(F.col("symbol").isin(symbols)).orderBy("symbol", F.asc_nulls_last("ordinal"), "name")
 

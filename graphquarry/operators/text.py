@@ -24,9 +24,9 @@ def postings(docs: DataFrame, key: str, *columns: str, stem=None) -> DataFrame:
     return p.withColumn("term", stem(F.col("term"))) if stem else p
 
 
-def lengths(posts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    n = posts.groupBy(key).agg(F.count(F.lit(1)).alias("len"))
-    return docs.select(key).join(n, key, "left").select(key, F.coalesce("len", F.lit(0)).alias("len"))
+def lengths(docs: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, len): words of each document, counted in the scan."""
+    return docs.select(key, F.size(words(F.concat_ws(" ", *columns))).cast("long").alias("len"))
 
 
 def phrase_hits(posts: DataFrame, key: str, phrase: list[str]) -> DataFrame:
@@ -37,13 +37,14 @@ def phrase_hits(posts: DataFrame, key: str, phrase: list[str]) -> DataFrame:
     return hit.groupBy(key).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(posts: DataFrame, docs: DataFrame, key: str, phrases: list[list[str]], match=None, limit: int = 20) -> DataFrame:
+def bm25(posts: DataFrame, docs: DataFrame, key: str, phrases: list[list[str]], match=None, limit: int = 20, columns: tuple[str, ...] = ("title", "body")) -> DataFrame:
     """(key, rank): the limit best documents, best first (rank is negative), ties by key.
 
     phrases are lists of words that each count as one term. match is a condition on the columns h0, h1, ... (occurrences
-    of each phrase); by default any of them has to occur.
+    of each phrase); by default any of them has to occur. columns are those that the postings are made of.
     """
-    size = lengths(posts, docs, key)
+    size = lengths(docs, key, *columns)
+    posts = posts.where(F.col("term").isin(sorted({t for p in phrases for t in p})))
     total = size.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg"))
     hits = None
     for i, p in enumerate(phrases):
@@ -62,7 +63,7 @@ def bm25(posts: DataFrame, docs: DataFrame, key: str, phrases: list[list[str]],
 def compound(query: str) -> list[str]:
     import re
 
-    q = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", query))
+    q = re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", query)
     return [t for t in re.split(r"[_\-./\s]+", q.lower()) if t]
 
 
@@ -73,11 +74,11 @@ def search_texts(docs: DataFrame, key: str, query: str, *columns: str, limit: in
     if not t:
         return docs.select(key, F.lit(0.0).alias("rank")).limit(0)
     if t == [query.lower()]:
-        return bm25(posts, docs, key, [t], limit=limit)
+        return bm25(posts, docs, key, [t], limit=limit, columns=columns)
     every = F.lit(True)
     for i in range(1, len(t) + 1):
         every = every & (F.col(f"h{i}") > 0)
-    return bm25(posts, docs, key, [t, *[[x] for x in t]], match=(F.col("h0") > 0) | every, limit=limit)
+    return bm25(posts, docs, key, [t, *[[x] for x in t]], match=(F.col("h0") > 0) | every, limit=limit, columns=columns)
 
 
 def scan(docs: DataFrame, query: str, *columns: str) -> DataFrame:
@@ -93,10 +94,16 @@ def scan(docs: DataFrame, query: str, *columns: str) -> DataFrame:
     return docs.where(hit)
 
 
-def included(status: str | None = None, default: str = "active") -> object:
-    """Which hits show: those of the asked status (none counts as default), deprecated and stale ones hidden otherwise."""
+def included(status: str | None = None, kind: str | None = None, deprecated: bool = False, stale: bool = False, default: str = "active") -> object:
+    """Which hits show: those of the asked kind and status (none counts as default, or open for a post).
+
+    Deprecated concepts and conventions stay hidden unless `deprecated`; stale posts unless `stale` or asked for by status.
+    """
     s = F.coalesce(F.col("status"), F.when(F.col("kind") == "stack", "open").otherwise(default))
-    shown = ~((s == "deprecated") & F.col("kind").isin("concept", "convention")) & ~((s == "stale") & (F.col("kind") == "stack"))
+    shown = F.lit(True) if deprecated else ~((s == "deprecated") & F.col("kind").isin("concept", "convention"))
+    if not stale and status != "stale":
+        shown = shown & ~((s == "stale") & (F.col("kind") == "stack"))
+    shown = shown if kind is None else shown & (F.col("kind") == kind)
     return shown if status is None else shown & (s == status)
 
 

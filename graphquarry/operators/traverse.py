@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,11 +12,14 @@ MOST_HOPS = 10
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint, in the folder that spark.checkpoint.dir names; in a temporary one only where none is set."""
+    """df behind a checkpoint, in the folder that spark.checkpoint.dir names; where it is unset, in a new one if Spark runs in this process alone, else an error."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphquarry-"))
+        top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="graphquarry-"))
     return df.checkpoint()
 
 
@@ -23,15 +27,20 @@ def walk(edges: DataFrame, start: DataFrame, depth: int = 3, inbound: bool = Fal
     """(start, node, depth, link_type), distinct: the ends of all paths from start that visit no node twice.
 
     The start itself counts as visited from the second hop on, so only a self-loop leads back to it; a depth below 1 still
-    gives the first hop; depth is at most MOST_HOPS. Each hop is one join, so the plan has as many joins as hops.
+    gives the first hop; depth is at most MOST_HOPS. Each hop is one join of the paths before it, which a checkpoint keeps:
+    no hop is computed twice. Paths, unlike nodes, may grow exponentially with depth; first_visits is the way to reachability.
     """
     e = edges if types is None else edges.where(F.col("link_type").isin(types))
     e = e.select(F.col("target" if inbound else "source").alias("from"), F.col("source" if inbound else "target").alias("to"), "link_type")
     now = start.select("start").distinct().join(e, F.col("start") == F.col("from")).select("start", F.col("to").alias("node"), "link_type", F.array("from", "to").alias("seen"))
+    last = min(depth, MOST_HOPS)
+    now = cut(now) if last > 1 else now
     out = now.select("start", "node", F.lit(1).alias("depth"), "link_type")
-    for d in range(2, min(depth, MOST_HOPS) + 1):
-        now = now.drop("link_type").join(e, F.col("node") == F.col("from")).where(~F.array_contains("seen", F.col("to")))
+    for d in range(2, last + 1):
+        # paths that differ in a link's type alone go on as one
+        now = now.drop("link_type").distinct().join(e, F.col("node") == F.col("from")).where(~F.array_contains("seen", F.col("to")))
         now = now.select("start", F.col("to").alias("node"), "link_type", F.array_append("seen", F.col("to")).alias("seen"))
+        now = cut(now) if d < last else now
         out = out.union(now.select("start", "node", F.lit(d).alias("depth"), "link_type"))
     return out.distinct()
 

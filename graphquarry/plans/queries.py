@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import norm as N
 from ..functions.text_udf import stem
+from ..operators import build as B
 from ..operators import checks as K
 from ..operators import incremental as I
 from ..operators import indexes as X
@@ -210,27 +211,15 @@ def class_edges_out(v):
     return Y.class_edges_from(v.symbols, v.class_edges)
 
 
-@query("SELECT source, edge_type, target + 1000000 AS target, line FROM class_edges WHERE source % 10 = 0")
-def class_edges_unresolved(v):
-    e = v.class_edges.where("source % 10 = 0").withColumn("target", F.col("target") + 1000000)
-    return Y.unresolved_edges(v.symbols, e)
-
-
 @query("SELECT source, edge_type, target, line FROM (SELECT source, edge_type, CASE WHEN source % 10 = 0 THEN target + 1000000 ELSE target END AS target, line FROM class_edges) WHERE target NOT IN (SELECT id FROM symbols)")
-def class_edges_unresolved_whole(v):
+def class_edges_unresolved(v):
     """All edges, those of a tenth of the sources led astray."""
     e = v.class_edges.withColumn("target", F.when(F.col("source") % 10 == 0, F.col("target") + 1000000).otherwise(F.col("target")))
     return Y.unresolved_edges(v.symbols, e)
 
 
-@query("SELECT symbol, name, value, ordinal, row_number() OVER (ORDER BY ordinal NULLS LAST, name, symbol) AS place FROM members WHERE symbol < 40")
-def members_nulls_last(v):
-    m = Y.members_of(v.members, list(range(40)))
-    return m.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("ordinal"), "name", "symbol")).cast("long"))  # forty rows
-
-
 @query("SELECT symbol, name, value, ordinal, row_number() OVER (PARTITION BY symbol ORDER BY ordinal NULLS LAST, name) AS place FROM members")
-def members_nulls_last_whole(v):
+def members_nulls_last(v):
     """All members, each placed within its symbol."""
     return v.members.withColumn("place", F.row_number().over(W.partitionBy("symbol").orderBy(F.asc_nulls_last("ordinal"), "name")).cast("long")).select("symbol", "name", "value", "ordinal", "place")
 
@@ -330,9 +319,9 @@ def fts_bm25_stemmed(v):
     return T.bm25(p, v.texts, "doc_id", [["disgust"]]).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-@query(r"""SELECT p_partkey AS id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[_\-./\s]+'), lambda t: lower(t)), lambda t: t <> ''), '|') AS tokens FROM (SELECT p_partkey, p_type || 'OfHTTPServer_' || replace(p_name, ' ', '-') || '.v' || p_size AS x FROM part)""")
+@query(r"""SELECT p_partkey AS id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(x, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[_\-./\s]+'), lambda t: lower(t)), lambda t: t <> ''), '|') AS tokens FROM (SELECT p_partkey, p_type || 'OfHTTPServer_' || replace(p_name, ' ', '-') || '.utf8Decoder' || p_size AS x FROM part)""")
 def normalize_query_tokens(v):
-    x = F.concat("p_type", F.lit("OfHTTPServer_"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".v"), F.col("p_size").cast("string"))
+    x = F.concat("p_type", F.lit("OfHTTPServer_"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".utf8Decoder"), F.col("p_size").cast("string"))
     return v.table("part").select(F.col("p_partkey").alias("id"), F.array_join(N.tokens(x), "|").alias("tokens"))
 
 
@@ -346,6 +335,11 @@ def search_visible_hits(v):
     return v.artifacts.where(F.col("kind").isin("concept", "convention", "stack")).where(T.included()).select("path", "kind", "status")
 
 
+@query("SELECT path, kind, coalesce(status, 'open') AS status FROM artifacts WHERE kind = 'stack' AND status = 'stale'")
+def search_stale_posts(v):
+    return v.artifacts.where(T.included("stale", kind="stack")).select("path", "kind", "status")
+
+
 @query("SELECT doc_id FROM doc_tags WHERE tag = 'fr' INTERSECT SELECT doc_id FROM doc_tags WHERE tag = 'src3'")
 def tag_route_with_scope(v):
     a = v.tags.where("tag = 'fr'").select("doc_id")
@@ -380,37 +374,6 @@ def resolve_priority_chain(v):
     return R.by_priority(names, "name", R.wikilink_targets(v.artifacts, v.aliases, ["convention", "concept", "playbook"])).select("name", "kind", "target")
 
 
-@query("""WITH s AS (SELECT id AS target, file AS f, name AS n, line_start FROM symbols WHERE symbol_type IN ('function', 'method', 'class')), site AS (SELECT DISTINCT c.caller * 100 + c.line AS site, a.file, b.name FROM calls c JOIN symbols a ON a.id = c.caller JOIN symbols b ON b.id = c.callee WHERE c.line = 1),
-hit AS (SELECT site.site, site.file, site.name, 1 AS step, s.line_start, s.target FROM site JOIN s ON s.f = site.file AND s.n = site.name
-UNION ALL SELECT site.site, site.file, site.name, 3, o.line_start, o.target FROM site JOIN (SELECT n, min(target) AS target, min(line_start) AS line_start FROM s GROUP BY n HAVING count(*) = 1) o ON o.n = site.name),
-best AS (SELECT site, file, name, target, step FROM hit QUALIFY row_number() OVER (PARTITION BY site, file, name ORDER BY step, line_start, target) = 1)
-SELECT site.site, site.file, site.name, best.target, best.step FROM site LEFT JOIN best USING (site, file, name)""")
-def resolve_calls_ranked(v):
-    a = v.symbols.select(F.col("id").alias("caller"), "file")
-    b = v.symbols.select(F.col("id").alias("callee"), "name")
-    sites = v.calls.where("line = 1").join(a, "caller").join(b, "callee").select((F.col("caller") * 100 + F.col("line")).alias("site"), "file", "name").distinct()
-    sites = sites.withColumn("k", F.concat_ws("\u001f", F.col("site").cast("string"), "file", "name"))
-    imports = v.spark.createDataFrame([], "file string, local string, module_file string")
-    out = R.resolve_calls(sites.select(F.col("k").alias("site"), "file", F.lit(None).cast("string").alias("receiver"), "name"), v.symbols, imports)
-    return out.select(F.split("site", "\u001f")[0].cast("long").alias("site"), "file", "name", "target", "step")
-
-
-@query("""WITH s AS (SELECT id AS target, file AS f, name AS n, line_start FROM symbols WHERE symbol_type IN ('function', 'method', 'class')), site AS (SELECT DISTINCT c.caller * 100 + c.line AS site, a.file, b.name FROM calls c JOIN symbols a ON a.id = c.caller JOIN symbols b ON b.id = c.callee),
-hit AS (SELECT site.site, site.file, site.name, 1 AS step, s.line_start, s.target FROM site JOIN s ON s.f = site.file AND s.n = site.name
-UNION ALL SELECT site.site, site.file, site.name, 3, o.line_start, o.target FROM site JOIN (SELECT n, min(target) AS target, min(line_start) AS line_start FROM s GROUP BY n HAVING count(*) = 1) o ON o.n = site.name),
-best AS (SELECT site, file, name, target, step FROM hit QUALIFY row_number() OVER (PARTITION BY site, file, name ORDER BY step, line_start, target) = 1)
-SELECT site.site, site.file, site.name, best.target, best.step FROM site LEFT JOIN best USING (site, file, name)""")
-def resolve_calls_ranked_whole(v):
-    """Plain calls on all lines; receivers and imports are not in the tables (README, known gaps)."""
-    a = v.symbols.select(F.col("id").alias("caller"), "file")
-    b = v.symbols.select(F.col("id").alias("callee"), "name")
-    sites = v.calls.join(a, "caller").join(b, "callee").select((F.col("caller") * 100 + F.col("line")).alias("site"), "file", "name").distinct()
-    sites = sites.withColumn("k", F.concat_ws("\u001f", F.col("site").cast("string"), "file", "name"))
-    imports = v.spark.createDataFrame([], "file string, local string, module_file string")
-    out = R.resolve_calls(sites.select(F.col("k").alias("site"), "file", F.lit(None).cast("string").alias("receiver"), "name"), v.symbols, imports)
-    return out.select(F.split("site", "\u001f")[0].cast("long").alias("site"), "file", "name", "target", "step")
-
-
 @query()
 def did_you_mean(v):
     return T.suggestions(v.symbols.select("name"), "red wigdet")
@@ -428,18 +391,9 @@ def stack_search_votes(v):
     return X.search_posts(v.posts, "the", "problem", "last").select("post", "votes")
 
 
-@query("""WITH p AS (SELECT doc_id, directory FROM (SELECT page_id AS doc_id, directory FROM rules WHERE page_id % 5 = 0)), r AS (SELECT page_id, directory, priority, printf('%05d', CAST(page_id AS INT)) AS title FROM rules), a AS (SELECT p.doc_id, '.' AS anc, 0 AS depth FROM p UNION ALL SELECT p.doc_id, array_to_string(string_split(p.directory, '/')[1:i], '/'), i FROM p, unnest(range(1, len(string_split(p.directory, '/')) + 1)) AS u(i)),
-m AS (SELECT a.doc_id, r.page_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.depth, r.priority DESC, r.title) AS rank, count(*) OVER (PARTITION BY a.doc_id) AS total FROM a JOIN r ON r.directory = a.anc) SELECT doc_id, page_id, rank, total FROM m WHERE rank > total - 3""")
-def rules_by_scope_limited(v):
-    p = v.rules.where("page_id % 5 = 0").select(F.col("directory").alias("path"), "page_id")
-    r = v.rules.select(F.col("page_id").alias("rule"), "directory", "priority", F.format_string("%05d", F.col("page_id").cast("int")).alias("title"))
-    found = X.rules_for(p.select("path").distinct(), r, 3)
-    return p.join(found, "path").select(F.col("page_id").alias("doc_id"), F.col("rule").alias("page_id"), F.col("rank").cast("long").alias("rank"), "total")
-
-
 @query("""WITH p AS (SELECT doc_id, directory FROM (SELECT page_id AS doc_id, directory FROM rules)), r AS (SELECT page_id, directory, priority, printf('%05d', CAST(page_id AS INT)) AS title FROM rules), a AS (SELECT p.doc_id, '.' AS anc, 0 AS depth FROM p UNION ALL SELECT p.doc_id, array_to_string(string_split(p.directory, '/')[1:i], '/'), i FROM p, unnest(range(1, len(string_split(p.directory, '/')) + 1)) AS u(i)),
 m AS (SELECT a.doc_id, r.page_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.depth, r.priority DESC, r.title) AS rank, count(*) OVER (PARTITION BY a.doc_id) AS total FROM a JOIN r ON r.directory = a.anc) SELECT doc_id, page_id, rank, total FROM m WHERE rank > total - 3""")
-def rules_by_scope_limited_whole(v):
+def rules_by_scope_limited(v):
     p = v.rules.select(F.col("directory").alias("path"), "page_id")
     r = v.rules.select(F.col("page_id").alias("rule"), "directory", "priority", F.format_string("%05d", F.col("page_id").cast("int")).alias("title"))
     found = X.rules_for(p.select("path").distinct(), r, 3)
@@ -488,12 +442,6 @@ def allowed_values(v):
     return K.allowed(v.posts, "post", "status", ["open", "resolved", "outdated", "duplicate"], "stack_frontmatter")
 
 
-@query("SELECT 'warning' AS severity, 'orphan_concepts' AS check_name, path AS artifact, 'no link names it' AS message FROM artifacts WHERE kind IN ('customer', 'design', 'source') AND path NOT IN (SELECT target FROM links)")
-def orphan_concepts(v):
-    a = v.artifacts.where("kind IN ('design', 'source')")
-    return K.orphans(a.select("path", "title"), v.links, v.aliases.where("false"))
-
-
 @query("""WITH d AS (SELECT DISTINCT o_custkey AS src, CAST(o_orderkey % 40 AS BIGINT) AS dep FROM orders WHERE o_orderkey % 3 <> 0), g AS (SELECT DISTINCT o_custkey AS src, CAST(o_orderkey % 40 AS BIGINT) AS dep FROM orders WHERE o_orderkey % 5 <> 0)
 SELECT 'warning' AS severity, 'bidirectional_deps' AS check_name, CAST(src AS VARCHAR) AS artifact, 'not in graph: ' || dep AS message FROM (SELECT * FROM d EXCEPT SELECT * FROM g) UNION ALL SELECT 'info', 'bidirectional_deps', CAST(src AS VARCHAR), 'not declared: ' || dep FROM (SELECT * FROM g EXCEPT SELECT * FROM d)""")
 def bidirectional_drift(v):
@@ -522,9 +470,9 @@ def deprecated_ttl(v):
 
 
 @query("""WITH d AS (SELECT directory, count(*) AS n FROM rules GROUP BY directory HAVING count(*) >= 2) SELECT 'info' AS severity, 'convention_gap' AS check_name, directory AS artifact, CAST(n AS VARCHAR) AS message FROM d
-WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.status = 'active' AND r.page_id % 4 = 0 AND (r.directory = d.directory OR starts_with(d.directory, r.directory || '/')))""")
+WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.status = 'active' AND r.priority = 0 AND (r.directory = d.directory OR starts_with(d.directory, r.directory || '/')))""")
 def convention_gap(v):
-    return K.uncovered(v.rules.select("directory"), v.rules.where("page_id % 4 = 0"), 2)
+    return K.uncovered(v.rules.select("directory"), v.rules.where("priority = 0"), 2)
 
 
 # maintenance and triage
@@ -552,18 +500,13 @@ def directory_hashes(v):
     return I.directory_hash(v.table("part").select(F.col("p_brand").alias("directory"), F.concat_ws(".", "p_name", F.col("p_partkey").cast("string")).alias("name")))
 
 
-@query()
-def billboard_synthesis(v):
-    return I.billboards(v.table("part").select(F.col("p_brand").alias("directory"), F.col("p_name").alias("description")))
-
-
-_CASES = """SELECT o_orderkey AS path, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 2 END AS ss, o_orderkey % 3 AS sd, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 5 END AS si, o_custkey % 2 AS ns, CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE o_custkey % 3 END AS nd, o_custkey % 5 AS ni FROM orders"""
+_CASES = """SELECT o_orderkey AS path, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 2 END AS ss, o_orderkey % 3 AS sd, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 5 END AS si, o_custkey % 2 AS ns, CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE o_custkey % 3 END AS nd, CASE WHEN o_custkey % 19 <> 0 THEN o_custkey % 5 END AS ni, CASE WHEN o_orderkey % 2 = 0 THEN 'skeleton-fallback' ELSE 'agent' END AS who FROM orders"""
 
 
-@query(f"""WITH c AS ({_CASES}) SELECT path, CASE WHEN ss IS NULL THEN 'new_file' WHEN nd IS NULL THEN 'missing_design' WHEN sd <> nd THEN 'agent_updated' WHEN ss = ns THEN 'unchanged' WHEN si IS NULL THEN 'content_changed' WHEN si = ni THEN 'content_only' ELSE 'interface_changed' END AS level FROM c""")
+@query(f"""WITH c AS ({_CASES}) SELECT path, CASE WHEN nd IS NULL THEN 'new_file' WHEN ss IS NULL THEN 'agent_updated' WHEN ss = ns AND who = 'skeleton-fallback' THEN 'skeleton_only' WHEN ss = ns THEN 'unchanged' WHEN sd <> nd THEN 'agent_updated' WHEN ni IS NULL THEN 'content_changed' WHEN si IS NOT DISTINCT FROM ni THEN 'content_only' ELSE 'interface_changed' END AS level FROM c""")
 def change_level_case(v):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    d = v.table("orders").select(k.alias("path"), F.when(k % 11 != 0, k % 2).alias("stored_source"), (k % 3).alias("stored_design"), F.when(k % 13 != 0, k % 5).alias("stored_interface"), (c % 2).alias("now_source"), F.when(c % 17 != 0, c % 3).alias("now_design"), (c % 5).alias("now_interface"))
+    d = v.table("orders").select(k.alias("path"), F.when(k % 11 != 0, k % 2).alias("stored_source"), (k % 3).alias("stored_design"), F.when(k % 13 != 0, k % 5).alias("stored_interface"), (c % 2).alias("now_source"), F.when(c % 17 != 0, c % 3).alias("now_design"), F.when(c % 19 != 0, c % 5).alias("now_interface"), F.when(k % 2 == 0, "skeleton-fallback").otherwise("agent").alias("updated_by"))
     return I.change_level(d).select("path", "level")
 
 
@@ -603,3 +546,222 @@ def event_windows(v):
     from ..streaming.refresh import event_windows as windows
 
     return windows(v.table("events")).withColumn("total", F.round("total", 4))
+
+
+def _sites(v):
+    """Calls with receivers of every kind, and imports for some of them."""
+    a = v.symbols.select(F.col("id").alias("caller"), "file")
+    b = v.symbols.select(F.col("id").alias("callee"), "name", F.col("file").alias("bf"))
+    c = v.calls.join(a, "caller").join(b, "callee").withColumn("r", F.col("callee") % 6)
+    receiver = F.when(F.col("r") == 1, "self").when(F.col("r") == 2, "super").when(F.col("r") == 3, F.concat(F.lit("m"), "bf")).when(F.col("r") == 4, F.concat(F.lit("p."), "bf", F.lit(".x"))).when(F.col("r") == 5, "obj")
+    sites = c.select(F.concat_ws("/", "caller", "callee", "line").alias("site"), "file", "caller", receiver.alias("receiver"), "name")
+    none = F.lit(None).cast("string").alias("original")
+    modules = c.where("r = 3 AND bf > file").select("file", F.concat(F.lit("m"), "bf").alias("local"), F.col("bf").alias("module_file"), none)
+    dotted = c.where("r = 4 AND bf < file").select("file", F.concat(F.lit("p."), "bf").alias("local"), F.col("bf").alias("module_file"), none)
+    names = c.where("r = 5 AND bf <> file").groupBy("file", F.col("name").alias("local")).agg(F.min("bf").alias("module_file")).select("file", "local", "module_file", F.col("local").alias("original"))
+    return sites, modules.distinct().union(dotted.distinct()).union(names)
+
+
+_SITES = """site AS (SELECT c.caller || '/' || c.callee || '/' || c.line AS site, c.caller, a.file, b.name, b.file AS bf, c.callee % 6 AS r FROM calls c JOIN symbols a ON a.id = c.caller JOIN symbols b ON b.id = c.callee),
+imp AS (SELECT DISTINCT file, 'm' || bf AS local, bf AS mf FROM site WHERE r = 3 AND bf > file UNION ALL SELECT DISTINCT file, 'p.' || bf, bf FROM site WHERE r = 4 AND bf < file UNION ALL SELECT file, name, min(bf) FROM site WHERE r = 5 AND bf <> file GROUP BY file, name)"""
+
+
+@query(f"""WITH RECURSIVE {_SITES}, rc AS (SELECT *, CASE r WHEN 3 THEN 'm' || bf WHEN 4 THEN 'p.' || bf || '.x' WHEN 5 THEN 'obj' END AS receiver FROM site),
+loc AS (SELECT file, name, min(id) AS id FROM symbols WHERE symbol_type IN ('function', 'class') GROUP BY 1, 2), own AS (SELECT m.id, arg_max(c.id, c.line_start) AS cls FROM symbols m JOIN symbols c ON c.symbol_type = 'class' AND c.file = m.file AND c.line_start < m.line_start AND m.line_start <= c.line_end WHERE m.symbol_type = 'method' GROUP BY m.id),
+meth AS (SELECT o.cls, s.name, min(s.id) AS id FROM own o JOIN symbols s ON s.id = o.id GROUP BY 1, 2), up AS (SELECT DISTINCT cls AS c0, cls AS c, 0 AS d FROM own UNION ALL SELECT c0, e.target, d + 1 FROM up JOIN class_edges e ON e.source = up.c AND e.edge_type = 'inherits' WHERE d < 60),
+selfhit AS (SELECT rc.site, arg_min(m.id, up.d) AS target FROM rc JOIN own ON own.id = rc.caller JOIN up ON up.c0 = own.cls JOIN meth m ON m.cls = up.c AND m.name = rc.name WHERE r = 1 GROUP BY rc.site),
+k AS (SELECT rc.site, rc.name, l.id AS t3, i4.mf AS m4, i5.mf AS m5, i6.mf AS m6 FROM rc LEFT JOIN loc l ON l.file = rc.file AND l.name = rc.name LEFT JOIN imp i4 ON i4.file = rc.file AND i4.local = rc.receiver LEFT JOIN imp i5 ON i5.file = rc.file AND rc.r = 4 AND i5.local = 'p.' || rc.bf LEFT JOIN imp i6 ON i6.file = rc.file AND i6.local = rc.name WHERE r NOT IN (1, 2)),
+x AS (SELECT *, CASE WHEN t3 IS NOT NULL THEN 3 WHEN m4 IS NOT NULL THEN 4 WHEN m5 IS NOT NULL THEN 5 WHEN m6 IS NOT NULL THEN 6 END AS step, coalesce(m4, m5, m6) AS mf FROM k), f AS (SELECT file, name, min(id) AS id FROM symbols GROUP BY 1, 2),
+y AS (SELECT x.site, coalesce(t3, f.id) AS target, step FROM x LEFT JOIN f ON t3 IS NULL AND f.file = x.mf AND f.name = x.name)
+SELECT s.site, s.file, s.name, coalesce(h.target, y.target) AS target, CASE WHEN h.target IS NOT NULL THEN 2 WHEN y.target IS NOT NULL THEN y.step END AS step FROM site s LEFT JOIN selfhit h ON h.site = s.site LEFT JOIN y ON y.site = s.site""")
+def resolve_calls_ranked(v):
+    sites, imports = _sites(v)
+    inherits = v.class_edges.where("edge_type = 'inherits'").select(F.col("source").alias("cls"), F.col("target").alias("base"), "line")
+    return R.resolve_calls(sites, v.symbols, imports, inherits)
+
+
+@query(f"""WITH {_SITES}, cs AS (SELECT DISTINCT site, file, CASE r WHEN 4 THEN 'p.' || bf || '.' || name ELSE name END AS full_, name, bf, r FROM site), loc AS (SELECT file, name, min(id) AS id FROM symbols WHERE symbol_type = 'class' GROUP BY 1, 2)
+SELECT cs.site, coalesce(l.id, n.id, w.id) AS target, CASE WHEN l.id IS NOT NULL THEN 3 WHEN n.id IS NOT NULL THEN 4 ELSE 5 END AS step FROM cs LEFT JOIN loc l ON l.file = cs.file AND l.name = cs.name LEFT JOIN imp i ON i.file = cs.file AND i.local = cs.name LEFT JOIN loc n ON n.file = i.mf AND n.name = cs.name
+LEFT JOIN imp p ON cs.r = 4 AND p.file = cs.file AND p.local = 'p.' || cs.bf LEFT JOIN loc w ON w.file = p.mf AND w.name = cs.name WHERE coalesce(l.id, n.id, w.id) IS NOT NULL""")
+def resolve_class_names(v):
+    sites, imports = _sites(v)
+    full = F.when(F.col("receiver").startswith("p."), F.concat(F.regexp_replace("receiver", r"\.x$", "."), "name")).otherwise(F.col("name"))
+    return R.resolve_classes(sites.select("site", "file", full.alias("name")), v.symbols, imports)
+
+
+@query(f"""WITH {_SITES} SELECT site.site, o.target FROM site LEFT JOIN (SELECT file, name, min(id) AS target FROM symbols WHERE symbol_type IN ('function', 'method', 'class') GROUP BY 1, 2 HAVING count(*) = 1) o ON o.file = site.file AND o.name = site.name""")
+def resolve_same_file_only(v):
+    return R.same_file_only(_sites(v)[0], v.symbols)
+
+
+@query("""SELECT c.caller, n.callee, c.line, 'mod.' || b.name AS callee_name FROM calls c JOIN symbols b ON b.id = c.callee JOIN (SELECT name, min(id) AS callee FROM symbols WHERE file = 'Brand#11' GROUP BY name) n ON n.name = b.name""")
+def promoted_calls(v):
+    b = v.symbols.select(F.col("id").alias("callee"), F.concat(F.lit("mod."), "name").alias("callee_name"))
+    return R.promoted(v.calls.join(b, "callee").select("caller", "callee_name", "line"), v.symbols.where("file = 'Brand#11'").select("id", "name"))
+
+
+@query("""WITH n AS (SELECT lower(r_name) AS name FROM region UNION ALL SELECT printf('cn-%03d', CAST(r_regionkey AS INT)) FROM region UNION ALL SELECT 'Nowhere') SELECT n.name, coalesce(a.path, '.kb/concepts/' || n.name || '.md') AS path, a.path IS NULL AS is_stub FROM n LEFT JOIN artifacts a ON a.kind = 'concept' AND (lower(a.title) = lower(n.name) OR lower(a.code) = lower(n.name))""")
+def concept_ref_resolution(v):
+    r = v.table("region")
+    names = r.select(F.lower("r_name").alias("name")).union(r.select(F.format_string("cn-%03d", F.col("r_regionkey").cast("int")))).union(v.spark.createDataFrame([("Nowhere",)], "name string"))
+    return R.concept_refs(names, "name", v.artifacts.where("kind = 'concept'").select("path", "title", "code"), v.aliases.where("false").select("path", "alias"))
+
+
+@query("""WITH n AS (SELECT 'Playbook: ' || upper(s_name) AS name FROM supplier UNION ALL SELECT s_name FROM supplier UNION ALL SELECT 'playbook:none') SELECT n.name, p.path FROM n LEFT JOIN (SELECT lower(title) AS k, min(path) AS path FROM artifacts WHERE kind = 'playbook' GROUP BY 1) p ON p.k = lower(trim(substr(n.name, 10))) WHERE lower(n.name) LIKE 'playbook:%'""")
+def playbook_prefix_names(v):
+    t = v.table("supplier")
+    names = t.select(F.concat(F.lit("Playbook: "), F.upper("s_name")).alias("name")).union(t.select("s_name")).union(v.spark.createDataFrame([("playbook:none",)], "name string"))
+    return R.playbook_names(names, "name", v.artifacts.where("kind = 'playbook'").select("path", "title"))
+
+
+# graph build
+
+
+def _parsed(v):
+    s, i = "array<string>", lambda c: F.col(c).cast("string")
+    none, no = F.lit(None).cast("string"), F.array().cast(s)
+    at = lambda a, c: F.concat(F.lit(a), c if not isinstance(c, str) else i(c))
+    row = lambda d, **k: d.select(*[k.get(c.split()[0], no if c.endswith(">") else none).cast(c.split()[1]).alias(c.split()[0]) for c in B.PARSED.split(", ")])
+    link = lambda *x: F.concat_ws(" ", *[F.concat(F.lit("[["), y, F.lit("]]")) for y in x])
+    code = lambda p, c: F.format_string(f"{p}-%03d", c.cast("int"))
+    n, c, o, p = F.col("n_nationkey"), F.col("c_custkey"), F.col("o_orderkey"), F.col("s_suppkey")
+    concept = row(v.table("nation"), path=at("c/", "n_nationkey"), kind=F.lit("concept"), title=F.col("n_name"), status=F.lit("active"), code=code("CN", n), body=link(at("Ghost ", (n % 3).cast("string"))), tags=F.array(at("t", (n % 4).cast("string"))), aliases=F.array(at("Alias ", (n % 20).cast("string"))), files=F.array(at("src/", "n_nationkey"), at("src/", (n + 100000000).cast("string"))), ok=n % 6 != 5)
+    design = row(v.table("customer"), path=at("d/", "c_custkey"), kind=F.lit("design"), title=F.col("c_name"), body=link(at("alias ", (F.col("c_nationkey") % 20).cast("string")), code("CV", c % 10)), tags=F.array(at("t", (c % 4).cast("string"))), source=at("src/", "c_custkey"), imports=F.array(at("src/", (c + 1).cast("string")), at("src/", (c + 2).cast("string"))), stack=F.array(at("s/", (c % 50).cast("string"))), ok=c % 9 != 0)
+    post = row(v.table("orders"), path=at("s/", "o_orderkey"), kind=F.lit("stack"), title=at("Order ", "o_orderkey"), status=F.lit("open"), concepts=F.array(code("CN", o % 30)), files=F.array(at("src/", (o % 100).cast("string"))), ok=F.lit(True))
+    rule = row(v.table("supplier"), path=at("v/", "s_suppkey"), kind=F.lit("convention"), title=F.col("s_name"), status=F.lit("active"), code=code("CV", p), body=link(code("CN", p % 30)), directory=at("src/", (p % 5).cast("string")), priority=(p % 3), ok=F.lit(True))
+    return concept.union(design).union(post).union(rule), v.table("part").select(at("src/", "p_partkey").alias("path"))
+
+
+_BUILD = """con AS (SELECT n_nationkey AS n, 'c/' || n_nationkey AS path, n_name AS title, printf('CN-%03d', CAST(n_nationkey AS INT)) AS code FROM nation WHERE n_nationkey % 6 <> 5),
+al AS (SELECT 'alias ' || (n % 20) AS k, min(path) AS path FROM con GROUP BY 1), des AS (SELECT c_custkey AS c, c_nationkey AS n FROM customer WHERE c_custkey % 9 <> 0),
+cand AS (SELECT lower(code) AS k, path, 0 AS p FROM con UNION ALL SELECT printf('cv-%03d', CAST(s_suppkey AS INT)), 'v/' || s_suppkey, 0 FROM supplier UNION ALL SELECT lower(s_name), 'v/' || s_suppkey, 1 FROM supplier UNION ALL SELECT lower(title), path, 3 FROM con UNION ALL SELECT k, path, 4 FROM al),
+best AS (SELECT k, arg_min(path, p) AS path FROM cand GROUP BY k),
+named AS (SELECT 'd/' || c AS source, 'alias ' || (n % 20) AS name, 'wikilink' AS link_type FROM des UNION ALL SELECT 'd/' || c, printf('CV-%03d', CAST(c % 10 AS INT)), 'wikilink' FROM des UNION ALL SELECT path, 'Ghost ' || (n % 3), 'wikilink' FROM con UNION ALL SELECT 'v/' || s_suppkey, printf('CN-%03d', CAST(s_suppkey % 30 AS INT)), 'convention_concept_ref' FROM supplier),
+built AS (SELECT DISTINCT * FROM (SELECT 'd/' || c AS source, 'src/' || c AS target, 'design_source' AS link_type FROM des UNION ALL SELECT 'src/' || c, 'src/' || (c + 1), 'ast_import' FROM des UNION ALL SELECT 'src/' || c, 'src/' || (c + 2), 'ast_import' FROM des
+UNION ALL SELECT 'd/' || c, 's/' || (c % 50), 'design_stack_ref' FROM des UNION ALL SELECT path, 'src/' || n, 'concept_file_ref' FROM con WHERE n IN (SELECT p_partkey FROM part) UNION ALL SELECT 's/' || o_orderkey, 'src/' || (o_orderkey % 100), 'stack_file_ref' FROM orders
+UNION ALL SELECT source, coalesce(b.path, '.kb/concepts/' || name || '.md'), link_type FROM named LEFT JOIN best b ON b.k = lower(name)
+UNION ALL SELECT 's/' || o_orderkey, coalesce(x.path, '.kb/concepts/' || printf('CN-%03d', CAST(o_orderkey % 30 AS INT)) || '.md'), 'stack_concept_ref' FROM orders LEFT JOIN con x ON x.n = o_orderkey % 30))"""
+
+
+@query(f"WITH {_BUILD} SELECT source, target, link_type FROM built")
+def link_graph_links(v):
+    return B.full_build(*_parsed(v))["links"]
+
+
+_OWN = """own AS (SELECT path, 'concept' AS kind FROM con UNION ALL SELECT 'd/' || c, 'design' FROM des UNION ALL SELECT 's/' || o_orderkey, 'stack' FROM orders UNION ALL SELECT 'v/' || s_suppkey, 'convention' FROM supplier),
+made AS (SELECT 'src/' || c AS path FROM des), tg AS (SELECT target AS path, min(CASE WHEN link_type IN ('wikilink', 'convention_concept_ref', 'stack_concept_ref') THEN 'concept' WHEN link_type = 'design_stack_ref' THEN 'stack' ELSE 'source' END) AS kind FROM built GROUP BY 1)"""
+
+
+@query(f"WITH {_BUILD}, {_OWN} SELECT path, kind, false AS is_stub FROM own UNION ALL SELECT path, 'source', false FROM made UNION ALL SELECT path, kind, true FROM tg WHERE path NOT IN (SELECT path FROM own) AND path NOT IN (SELECT path FROM made)")
+def link_graph_artifacts(v):
+    return B.full_build(*_parsed(v))["artifacts"].select("path", "kind", "is_stub")
+
+
+@query("SELECT kind, action, count(*) AS n FROM (SELECT 'concept' AS kind, CASE WHEN n_nationkey % 6 <> 5 THEN 'created' ELSE 'failed' END AS action FROM nation UNION ALL SELECT 'design', CASE WHEN c_custkey % 9 <> 0 THEN 'created' ELSE 'failed' END FROM customer UNION ALL SELECT 'stack', 'created' FROM orders UNION ALL SELECT 'convention', 'created' FROM supplier) GROUP BY 1, 2")
+def link_graph_log(v):
+    return B.full_build(*_parsed(v))["log"].groupBy("kind", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_BUILD.replace('FROM customer WHERE c_custkey % 9 <> 0', 'FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 10 <> 1')} SELECT source, target, link_type FROM built")
+def link_graph_updated(v):
+    """After the files of a tenth of the designs are deleted."""
+    parsed, present = _parsed(v)
+    gone = v.table("customer").where("c_custkey % 10 = 1").select(F.concat(F.lit("d/"), F.col("c_custkey").cast("string")).alias("path"))
+    return B.full_build(B.updated(parsed, parsed.limit(0), gone), present)["links"]
+
+
+# more of the symbol graph and the indexes
+
+
+@query("SELECT e.target, e.edge_type, e.source, s.file AS source_file, e.line FROM class_edges e JOIN symbols s ON s.id = e.source")
+def class_edges_in(v):
+    return Y.class_edges_to(v.symbols, v.class_edges)
+
+
+@query("SELECT c.caller, s.name AS caller_name, s.file AS caller_file, 'ext.' || c.callee AS callee_name, c.line FROM calls c JOIN symbols s ON s.id = c.caller")
+def unresolved_callees(v):
+    u = v.calls.select("caller", F.concat(F.lit("ext."), F.col("callee").cast("string")).alias("callee_name"), "line")
+    return Y.unresolved_callees(v.symbols, u)
+
+
+def _parameters(v):
+    return v.members.where("ordinal IS NOT NULL").select("symbol", F.concat(F.lit("flag"), F.col("ordinal").cast("string")).alias("name"))
+
+
+@query("SELECT 'flag' || ordinal AS name FROM members WHERE symbol = 7 AND ordinal IS NOT NULL")
+def branch_parameters(v):
+    return Y.branch_parameters(_parameters(v), 7)
+
+
+@query("SELECT DISTINCT file FROM symbols WHERE id IN (SELECT symbol FROM members WHERE ordinal IS NOT NULL)")
+def branching_files(v):
+    return Y.branching_files(v.symbols, _parameters(v))
+
+
+@query("SELECT file, count(*) AS n FROM symbols WHERE symbol_type = 'class' GROUP BY file")
+def symbols_query_raw(v):
+    return Y.query_raw(v.spark, "SELECT file, count(*) AS n FROM symbols_raw WHERE symbol_type = :kind GROUP BY file", {"kind": "class"}, symbols_raw=v.symbols)
+
+
+@query("SELECT 'symbols' AS name, count(*) AS rows FROM symbols UNION ALL SELECT 'calls', count(*) FROM calls UNION ALL SELECT 'class_edges', count(*) FROM class_edges UNION ALL SELECT 'members', count(*) FROM members")
+def symbol_graph_health(v):
+    return Y.graph_health(symbols=v.symbols, calls=v.calls, class_edges=v.class_edges, members=v.members)
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS symbol, CASE k WHEN 0 THEN 'A' ELSE 'B' END AS name, CASE k WHEN 0 THEN p_brand ELSE p_type END AS value, k AS ordinal FROM part, (VALUES (0), (1)) x(k) WHERE p_size % 2 = 0 UNION ALL SELECT CAST(p_partkey AS BIGINT), 'C', p_name, 0 FROM part WHERE p_size % 2 = 1 AND p_size % 3 <> 0")
+def members_from_definitions(v):
+    p = v.table("part").withColumn("symbol", F.col("p_partkey").cast("long"))
+    pair = lambda n, c: F.struct(F.lit(n).alias("name"), F.col(c).alias("value"))
+    enums = p.where("p_size % 2 = 0").select("symbol", F.array(pair("A", "p_brand"), pair("B", "p_type")).alias("variants"))
+    return Y.members_from(enums, p.where("p_size % 2 = 1").select("symbol", F.lit("C").alias("name"), F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("value")))
+
+
+@query("""WITH p AS (SELECT DISTINCT directory AS path FROM rules), r AS (SELECT page_id AS rule, directory AS dir FROM rules WHERE status <> 'deprecated' UNION SELECT page_id, '.' FROM rules WHERE status <> 'deprecated' AND priority = 6)
+SELECT DISTINCT p.path, '.' AS root, r.rule FROM p JOIN r ON r.dir = '.' OR p.path = r.dir OR starts_with(p.path, r.dir || '/')""")
+def rules_by_any_scope(v):
+    scopes = F.when(F.col("priority") == 6, F.array("directory", F.lit("."))).otherwise(F.array("directory"))
+    return X.by_any_scope(v.rules.select(F.col("directory").alias("path")).distinct(), v.rules.select(F.col("page_id").alias("rule"), scopes.alias("scopes"), "status"), ["none", "."])
+
+
+@query("SELECT DISTINCT file AS directory, 'any' AS title, 2 AS specificity FROM symbols WHERE file LIKE 'Brand#1%'")
+def playbook_trigger_dir(v):
+    p = v.spark.createDataFrame([("any", ["Brand#1*/*"])], "title string, globs array<string>")
+    return X.by_trigger_dir(v.symbols.select(F.col("file").alias("directory")).distinct(), p)
+
+
+@query("SELECT o_orderkey AS post, CAST(o_custkey AS BIGINT) AS votes FROM orders WHERE o_orderstatus = 'O' AND starts_with('src/' || o_custkey, 'src/1')")
+def posts_by_status_and_scope(v):
+    o = v.table("orders")
+    none = F.lit(None).cast("string")
+    posts = o.select(F.col("o_orderkey").alias("post"), F.col("o_custkey").cast("long").alias("votes"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("resolved").alias("status"), F.array(F.concat(F.lit("src/"), F.col("o_custkey").cast("string"))).alias("files"), F.array(none).alias("tags"), F.array(none).alias("concepts"), none.alias("resolution_type"))
+    return X.posts_by(posts, status="open", scope="src/1").select("post", "votes")
+
+
+@query("SELECT page_id FROM rules WHERE starts_with('site1.example/a/b', directory) OR priority = 0")
+def conventions_in_scope(v):
+    r = v.rules.select("page_id", F.when(F.col("priority") == 0, "project").otherwise(F.col("directory")).alias("scope"))
+    return X.in_scope(r, "site1.example/a/b").select("page_id")
+
+
+@query("SELECT path, title FROM artifacts WHERE kind = 'convention' AND path IN (SELECT target FROM links WHERE link_type = 'wikilink')")
+def convention_details(v):
+    ids = v.links.where("link_type = 'wikilink'").select(F.col("target").alias("path"))
+    return X.details(v.artifacts.where("kind = 'convention'"), ids).select("path", "title")
+
+
+@query("""WITH c AS (SELECT p_brand AS directory, '.' || lower(split_part(p_type, ' ', 1)) AS extension, count(*) AS n FROM part GROUP BY 1, 2) SELECT directory, arg_min(extension, (-n, extension)) AS extension, CAST(sum(n) AS BIGINT) AS files FROM c GROUP BY directory""")
+def directory_topology(v):
+    ext = F.lower(F.split("p_type", " ")[0])
+    return I.topology(v.table("part").select(F.col("p_brand").alias("directory"), F.concat(F.lit("x."), ext).alias("name")))
+
+
+@query()
+def billboard_synthesis(v):
+    return I.billboards(v.table("part").select(F.col("p_brand").alias("directory"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("description")))
+
+
+@query("SELECT 'warning' AS severity, 'orphan_concepts' AS check_name, CAST(id AS VARCHAR) AS artifact, 'no link names it' AS message FROM symbols WHERE symbol_type = 'class' AND id NOT IN (SELECT target FROM class_edges)")
+def orphan_concepts(v):
+    c = v.symbols.where("symbol_type = 'class'").select(F.col("id").cast("string").alias("path"), F.lit("no such name").alias("title"))
+    links = v.class_edges.select(F.col("target").cast("string").alias("target"))
+    return K.orphans(c, links, v.aliases.where("false"))

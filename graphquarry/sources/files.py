@@ -34,13 +34,24 @@ def ignore_regex(pattern: str) -> tuple[bool, re.Pattern] | None:
     return not keep, re.compile(("^" if anchored else "(?:^|.*/)") + out + ("/.*" if folder else "(?:$|/.*)"))
 
 
-def ignored(patterns: list[str]):
-    """A function of a path Column: whether the last pattern that matches it ignores it."""
-    rules = [r for p in patterns if (r := ignore_regex(p))]
+def ignored(config: list[str], folders: dict[str, list[str]] | None = None, own: list[str] | None = None):
+    """A function of a path Column: whether any list ignores it: the configured one, that of a folder above it, the tool's own.
+
+    folders: directory (empty: the top) and the lines of its ignore file, which match paths from the top.
+    """
+    lists = [("", config), *sorted((folders or {}).items(), key=lambda f: -len(f[0])), ("", own or [])]
+    rules = [(d and d.rstrip("/") + "/", [r for p in lines if (r := ignore_regex(p))]) for d, lines in lists]
 
     @F.pandas_udf("boolean")
     def run(path: pd.Series) -> pd.Series:
-        return path.map(lambda x: next((hides for hides, r in reversed(rules) if r.match(x)), False))
+        out = pd.Series(False, index=path.index)
+        for top, lines in rules:
+            left = path[~out & path.str.startswith(top)]
+            hit = pd.Series(False, index=left.index)
+            for is_hit, r in lines:
+                hit[left.str.match(r)] = is_hit
+            out[hit.index[hit]] = True
+        return out
 
     return run
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,24 +15,41 @@ SCHEMAS = {
 }
 
 
-def replace(df: DataFrame, folder: str) -> None:
-    """Writes df beside folder and then takes its place: readers see the old table or the new one, and a failed write neither."""
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions of a table, ascending: each is a folder v<number> that Spark's committer finished."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(hadoop.Path(folder, f"{n}/_SUCCESS")))
+
+
+def replace(df: DataFrame, folder: str, keep: int = 2) -> None:
+    """Writes df as the next version of the table in folder; older versions but the last `keep` go.
+
+    The version counts from the moment its commit marker exists, so readers see the old table or the new one, and a failed
+    write changes nothing. df may read the table that it replaces.
+    """
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = path(f"{folder}.new-{uuid.uuid4().hex}"), path(f"{folder}.old-{uuid.uuid4().hex}")
-    df.write.parquet(new.toString())
-    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(folder)):
-        fs.rename(path(folder), old)
-    fs.rename(new, path(folder))
-    fs.delete(old, True)
+    have = versions(spark, folder)
+    number = have[-1] + 1 if have else 0
+    df.write.mode("overwrite").parquet(f"{folder}/v{number}")
+    for old in [*have, number][:-keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{old}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def newest(spark: SparkSession, folder: str) -> str:
+    """The folder of the newest version; folder itself for a table without versions."""
+    have = versions(spark, folder)
+    return f"{folder}/v{have[-1]}" if have else folder
 
 
 def open_table(spark: SparkSession, folder: str, schema: str | StructType) -> DataFrame:
     """The table in folder; an empty one of that schema where it is missing, unreadable or of other columns."""
     empty = spark.createDataFrame([], schema)
     try:
-        df = spark.read.parquet(folder)
+        df = spark.read.parquet(newest(spark, folder))
     except AnalysisException:
         return empty
     return df.select(empty.columns) if {(f.name, f.dataType) for f in empty.schema} <= {(f.name, f.dataType) for f in df.schema} else empty

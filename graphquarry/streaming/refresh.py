@@ -7,34 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.incremental import merge
+from ..sources.store import newest, versions
 
 
 def current(spark: SparkSession, top: str) -> DataFrame:
     """The newest version of a table: each is a folder of its own, and the largest number that is complete counts."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    p = hadoop.Path(top)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [int(f.getPath().getName()[1:]) for f in fs.listStatus(p) if f.getPath().getName()[1:].isdigit() and fs.exists(hadoop.Path(f.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{top}/v{max(done)}")
+    return spark.read.parquet(newest(spark, top))
 
 
 def refresh(changes: DataFrame, top: str, key: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Merges each batch of changes (rows with `deleted`) into the table in top, as a new version.
 
-    Of several changes to a key in one batch the last by `changed_at` counts. A batch that is run again writes the same
-    version again, so a lost executor or driver repeats no change.
+    Of several changes to a key in one batch the last by `changed_at` counts. The first batch of a checkpoint finds the
+    newest version and notes it there; batch n writes the n-th version after that, an empty batch a copy. So a batch that is
+    run again writes the same version again, and a lost executor or driver repeats no change.
     """
 
+    def first(spark: SparkSession, number: int) -> int:
+        """The version that the checkpoint's first batch started from."""
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        note = hadoop.Path(f"{checkpoint}/first-version")
+        fs = note.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(note):
+            out = fs.create(note, True)
+            out.writeLong(versions(spark, top)[-1] - number)
+            out.close()
+        at = fs.open(note)
+        base = at.readLong()
+        at.close()
+        return base
+
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if batch.isEmpty():
-            return
+        at = first(spark, number) + number
         fields = [c for c in batch.columns if c != key]
         last = batch.groupBy(key).agg(F.max_by(F.struct(*fields), "changed_at").alias("r")).select(key, "r.*")
-        base = current(spark, top) if number == 0 else spark.read.parquet(f"{top}/v{number}")
+        base = spark.read.parquet(f"{top}/v{at}")
         gone = last.where("deleted").select(key)
         new = merge(base, last.where("NOT deleted").select(*base.columns), key, gone)
-        new.write.mode("overwrite").parquet(f"{top}/v{number + 1}")
+        new.write.mode("overwrite").parquet(f"{top}/v{at + 1}")
 
     w = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()

@@ -11,7 +11,7 @@ def value(spark, e, x="", **more):
     return spark.createDataFrame([(x,)], "x string").select(e.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize("x,want", [("getUserName", ["get", "user", "name"]), ("HTTPServer", ["http", "server"]), ("a_b-c.d/e", ["a", "b", "c", "d", "e"]), ("__", []), ("two words", ["two", "words"])])
+@pytest.mark.parametrize("x,want", [("getUserName", ["get", "user", "name"]), ("HTTPServer", ["http", "server"]), ("a_b-c.d/e", ["a", "b", "c", "d", "e"]), ("__", []), ("two words", ["two", "words"]), ("utf8Decoder", ["utf8decoder"])])
 def test_tokens(spark, x, want):
     assert value(spark, N.tokens("x"), x) == want
 

@@ -115,7 +115,6 @@ def load(path: str, pattern: str) -> tuple[Bpe, TextEncoder]:
     with open(path, "rb") as f:
         bpe = Bpe({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
-
     def matches(found: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (bpe.encode(m.encode("utf-8", "replace")) for m in found)]
 
@@ -125,8 +124,10 @@ def load(path: str, pattern: str) -> tuple[Bpe, TextEncoder]:
 def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
     """Every row of docs, its text replaced by `ids` (binary: little-endian unsigned 32-bit) and, if asked, `decoded` (binary).
 
-    docs needs a column `text`; other columns pass through. A null or empty text has no ids. path names the ranks on
-    every machine. Each match of pattern is encoded separately, without special tokens.
+    docs needs a column `text`; other columns pass through but for those named like a result, which it replaces. A null or
+    empty text has no ids; rows that repeat are encoded alike; an empty table gives none. Texts are encoded whole, a very
+    long one in slices that no match crosses. path names the ranks on every machine. Each match of pattern is encoded
+    separately, without special tokens.
     """
 
     def body():

@@ -91,7 +91,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFram
     cut into blocks and each pair of blocks is a task, so none holds over two blocks. Equal vectors are compared once.
 
     A vector that is null, empty, zero or has null or non-finite components, or no label, links with nothing. Rows that
-    repeat a vec_id are vectors of their own whose links count together. A null vec_id: component null, kept true.
+    repeat a vec_id are vectors of their own whose links count together. A null vec_id: component null, kept true. An empty
+    table gives an empty result; other columns are not read, whatever their names.
     """
     e = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     big = F.aggregate("embedding", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
@@ -113,19 +114,21 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFram
         return pd.DataFrame(out, columns=["x", "y"])
 
     placed = reps.withColumn("dim", F.size("embedding")).withColumn("c", cell("embedding"))
-    full = placed.groupBy("label", "dim", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("label", "dim").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(full, ["label", "dim"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # each cell against itself and four of its eight neighbours: as the left side here, as the right side there
-    own = F.struct("c.x", "c.y")
-    around = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = placed.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around]))).withColumn("other", F.explode(every))
-    left = left.where("o.i <> 0 OR o.j <> 0 OR other >= b")
-    left = left.select("label", "dim", own.alias("cell"), "o", F.col("b").alias("bl"), F.col("other").alias("br"), "rep", "times", "embedding", F.lit(True).alias("left"))
-    right = placed.withColumn("o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around]))).withColumn("other", F.explode(every))
-    right = right.where("o.i <> 0 OR o.j <> 0 OR other < b")
-    home = F.struct((F.col("c.x") - F.col("o.i")).alias("x"), (F.col("c.y") - F.col("o.j")).alias("y"))
-    right = right.select("label", "dim", home.alias("cell"), "o", F.col("other").alias("bl"), F.col("b").alias("br"), "rep", "times", "embedding", F.lit(False).alias("left"))
+    placed = placed.withColumn("cell", F.struct("c.x", "c.y")).drop("c")
+    full = materialize(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "cells")
+    placed = placed.join(full, ["label", "dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # each cell against itself and four of its eight neighbours: as the left side here, as the right side there; a row goes to
+    # as many blocks as the other cell has, and nowhere where that is empty
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))]))
+    beside = lambda sign: F.struct((F.col("cell.x") + sign * F.col("o.i")).alias("x"), (F.col("cell.y") + sign * F.col("o.j")).alias("y"))
+    there = full.select("label", "dim", F.col("cell").alias("there"), F.col("blocks").alias("others"))
+    dealt = placed.withColumn("o", around)
+    sides = []
+    for left, sign in ((True, 1), (False, -1)):
+        d = dealt.withColumn("there", beside(sign)).join(there, ["label", "dim", "there"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        d = d.where("o.i <> 0 OR o.j <> 0 OR " + ("other >= b" if left else "other < b"))
+        b, other = F.col("b"), F.col("other")
+        sides.append(d.select("label", "dim", F.col("cell" if left else "there").alias("cell"), "o", (b if left else other).alias("bl"), (other if left else b).alias("br"), "rep", "times", "embedding", F.lit(left).alias("left")))
     body = _compare(cosine)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,7 +137,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFram
             return pd.DataFrame({"vec_id": [], "n": [], "root": []}, dtype="int64")
         return body(pdf.rename(columns={"rep": "vec_id"}))
 
-    found = left.unionByName(right).groupBy("label", "dim", "cell", "o", "bl", "br").applyInPandas(run, "vec_id long, n long, root long")
+    found = sides[0].unionByName(sides[1]).groupBy("label", "dim", "cell", "o", "bl", "br").applyInPandas(run, "vec_id long, n long, root long")
     found = materialize(found.withColumnRenamed("vec_id", "rep"), "links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     member = good.join(reps, key).select("vec_id", "rep", "times")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_texts
+from .common import map_texts, text_slices
 
 #: Buckets of hashed trigrams; words that share one language in the mixture; steps of expectation-maximisation.
 BUCKETS, UNIT, STEPS = 1 << 14, 4, 12
@@ -42,8 +42,8 @@ def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, size in text_slices(batch.column("text"), 1 << 20):
+                part = batch.slice(a, size)
                 key, ok, at = _trigrams(part.column("text").to_pylist())
                 for lang, i, j in zip(part.column("lang").to_pylist(), at[:-1], at[1:], strict=True):
                     if lang not in total:
@@ -112,7 +112,8 @@ def identify(docs: DataFrame, langs: list[str], log_p: np.ndarray, threshold: fl
     """docs' columns but text, then lang_pred, score (its share of the mixture, 0 to 1) and languages (those of the chosen set).
 
     lang_pred is `und`, score 0 and languages empty where the text is null, has no letter, or no language was learned.
-    Equal likelihoods go to the first language by name.
+    Equal likelihoods go to the first language by name. Rows that repeat are judged alike, texts are read whole however long,
+    columns named like a result are replaced, and an empty table gives none.
     """
 
     def body():
@@ -125,4 +126,4 @@ def identify(docs: DataFrame, langs: list[str], log_p: np.ndarray, threshold: fl
 
         return work
 
-    return map_texts(docs, body, "lang_pred string, score double, languages array<string>")
+    return map_texts(docs, body, "lang_pred string, score double, languages array<string>", 1 << 20)

@@ -2,58 +2,78 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .quality_rules import SPACE
 
-#: Frequent function words of four languages, whose counts are features (any domain may use them).
-WORDS = {
-    "w_en": "the of and to in is that for with on as by at from this be it are was".split(),
-    "w_fr": "le la les de des du et en un une que qui dans par pour sur au aux est".split(),
-    "w_de": "der die das und in zu den mit von ist im für auf ein eine dem nicht sich".split(),
-    "w_es": "el la los las de del y en que un una por con para es se al su".split(),
-}
-LETTERS = {"c_e": "é", "c_a": "ä", "c_n": "ñ", "c_th": "th"}
-FEATURES = [*WORDS, *LETTERS, "wide"]
-#: Domains at most; steps of projected gradient; pull of rates towards 1.
-MOST_DOMAINS, STEPS, RIDGE = 64, 40, 1e-3
-
-
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens (words) and small whole numbers: how many different function words, and letters by the 64 characters."""
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    d = d.withColumn("w", F.filter(F.split("t", SPACE), lambda x: x != ""))
-    share = lambda n: F.least(F.lit(12), F.ceil(64.0 * n / F.greatest(F.length("t"), F.lit(1)))).cast("int")
-    cols = {k: F.least(F.lit(12), F.size(F.array_intersect("w", F.array(*map(F.lit, v))))) for k, v in WORDS.items()}
-    cols |= {k: share(F.length("t") - F.length(F.replace("t", F.lit(v), F.lit("")))) for k, v in LETTERS.items()}
-    cols["wide"] = share(F.octet_length("t") - F.length("t"))
-    return d.select("doc_id", F.size("w").cast("long").alias("n_tokens"), *[v.alias(k) for k, v in cols.items()])
+#: Labelled documents that words and letters are learned from, at most, those of smallest hash; words and letters learned for each domain.
+EXAMPLES, WORDS, LETTERS = 4000, 24, 6
+#: Steps of projected gradient at most; pull of rates towards 1; largest value of a feature.
+STEPS, RIDGE, TOP = 40, 1e-3, 12
+
+
+def _once(value: Column) -> Column:
+    """value, evaluated once a row: the optimizer copies no expression that names its partition."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def _words() -> Column:
+    return F.filter(F.split("t", SPACE), lambda x: x != "")
+
+
+def telling(docs: DataFrame, labelled: DataFrame) -> tuple[list[list[str]], list[list[str]]]:
+    """For each domain the words, and the letters beyond ASCII, whose share of its documents is most above that of others.
+
+    Learned from at most EXAMPLES labelled documents, whose ids alone are broadcast; WORDS and LETTERS rows a domain come here.
+    """
+    few = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("domain").cast("string")).alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).join(F.broadcast(few), "doc_id")
+    piece = lambda kind, x: F.transform(F.array_distinct(x), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("w")))
+    letters = F.filter(F.split(F.lower("t"), ""), lambda c: F.octet_length(c) > 1)
+    pieces = F.concat(piece("word", _words()), piece("letter", letters), F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("w"))))
+    seen = materialize(texts.select("domain", F.explode(pieces).alias("x")).groupBy("domain", "x.kind", "x.w").agg(F.count(F.lit(1)).alias("n")), "pieces")
+    size = seen.where("kind = 'all'").select("domain", F.col("n").alias("size"))
+    every = seen.groupBy("kind", "w").agg(F.sum("n").alias("all"))
+    total = size.agg(F.sum("size").alias("total"))
+    d = seen.where("kind <> 'all' AND n > 1").join(F.broadcast(size), "domain").join(every, ["kind", "w"]).crossJoin(F.broadcast(total))  # a row a domain; one row
+    gain = F.col("n") / F.col("size") - (F.col("all") - F.col("n")) / F.greatest(F.lit(1), F.col("total") - F.col("size"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("neg"), "w")))
+    best = d.withColumn("gain", gain).where("gain > 0").groupBy("domain", "kind").agg(F.slice(ranked, 1, max(WORDS, LETTERS)).alias("best")).orderBy("domain").collect()
+    pick = lambda kind, most: [[x["w"] for x in r["best"][:most]] for r in best if r["kind"] == kind]
+    return pick("word", WORDS), pick("letter", LETTERS)
+
+
+def features(docs: DataFrame, words: list[list[str]], letters: list[list[str]]) -> DataFrame:
+    """doc_id, n_tokens (words) and f, small whole numbers: how many different words of each list, and by the 64 characters letters of each list and wide ones."""
+    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("w", _once(_words()))
+    share = lambda n: F.least(F.lit(TOP), F.ceil(64.0 * n / F.greatest(F.length("t"), F.lit(1)))).cast("int")
+    own = [F.least(F.lit(TOP), F.size(F.array_intersect("w", F.array(*map(F.lit, v))))) for v in words]
+    own += [share(F.length("t") - F.length(F.translate("t", "".join(v), ""))) for v in letters]
+    return d.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array(*own, share(F.octet_length("t") - F.length("t"))).alias("f"))
 
 
 def posteriors(feats: DataFrame, labelled: DataFrame) -> tuple[list[str], DataFrame]:
     """(domains, feats with p: array of their probabilities), by a naive Bayes classifier counted from labelled (doc_id, domain).
 
-    Of more than MOST_DOMAINS domains the commonest count. What comes to the driver is a number for each domain, feature
-    and value. Where nothing is labelled there is one domain of weight 1.
+    What comes to the driver is a number for each domain, feature and value. Where nothing is labelled there is one domain of
+    weight 1.
     """
     rows = feats.join(labelled.where("domain IS NOT NULL").select("doc_id", F.col("domain").cast("string").alias("domain")).distinct(), "doc_id")
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in FEATURES])
-    cells = rows.select("domain", F.explode(F.array_append(pairs, F.struct(F.lit("all").alias("k"), F.lit(0).alias("v")))).alias("x"))
-    n = {(r["domain"], r["k"], r["v"]): r["n"] for r in cells.groupBy("domain", "x.k", "x.v").agg(F.count(F.lit(1)).alias("n")).collect()}
-    size = {d: c for (d, k, _), c in n.items() if k == "all"}
-    domains = sorted(sorted(size, key=lambda d: (-size[d], d))[:MOST_DOMAINS]) or ["all"]
+    cells = rows.select("domain", F.posexplode(F.array_append("f", F.lit(-1))).alias("k", "v"))
+    n = {(r["domain"], r["k"], r["v"]): r["n"] for r in cells.groupBy("domain", "k", "v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = {d: c for (d, k, v), c in n.items() if v == -1}
+    count = max((k for (_, k, v) in n if v == -1), default=0)
+    domains = sorted(size) or ["all"]
 
-    def table(d: str, k: str) -> Column:
-        from math import log
-
-        return F.get(F.array(*[F.lit(log((n.get((d, k, v), 0) + 0.1) / (size.get(d, 0) + 1.3))) for v in range(13)]), F.col(k))
+    def table(d: str, k: int) -> Column:
+        return F.get(F.array(*[F.lit(log((n.get((d, k, v), 0) + 0.1) / (size.get(d, 0) + 0.1 * (TOP + 1)))) for v in range(TOP + 1)]), F.get("f", F.lit(k)))
 
     total = sum(size.values()) or 1
-    from math import log
-
-    logs = F.array(*[sum((table(d, k) for k in FEATURES), F.lit(log((size.get(d, 0) + 1) / (total + len(domains))))) for d in domains])
+    logs = F.array(*[sum((table(d, k) for k in range(count)), F.lit(log((size.get(d, 0) + 1) / (total + len(domains))))) for d in domains])
     d = feats.withColumn("_l", logs).withColumn("_m", F.array_max("_l"))
     d = d.withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.col("_m")))).withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
     return domains, d.select("doc_id", "n_tokens", F.transform("_e", lambda x: x / F.col("_s")).alias("p"))
@@ -102,9 +122,11 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
     """doc_id, n_tokens, domains (array), p (their posteriors), rate and copies for every row of docs (doc_id, text).
 
     copies is the whole part of rate, and one more if a hash of doc_id falls below the rest: its sum follows the rates. A null
-    or empty text has no tokens and the domains' prior; rows that repeat a doc_id have equal copies; an empty table gives none.
+    or empty text has no tokens and the evidence of such texts; rows that repeat a doc_id have equal copies; an empty table gives
+    none. Texts are read whole; other columns are not read, whatever their names. Any labels may be domains: the words that
+    tell them apart are learned.
     """
-    domains, soft = posteriors(materialize(features(docs), "features"), labelled)
+    domains, soft = posteriors(materialize(features(docs, *telling(docs, labelled)), "features"), labelled)
     out = fit_rates(soft, domains, targets, total)
     u = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     whole = F.floor("rate")

@@ -49,32 +49,37 @@ def _once(value: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' columns and n_words, word_chars, n_symbols, n_exclaims, n_lines, n_dup_lines, n_stop_words, n_repeat_words.
 
-    A null text counts as empty. Names that docs has already are replaced.
+    A null text counts as empty; texts are read whole. Columns of docs that are named like a measure are replaced, in any case
+    of letters; all others stay, whatever their names. Rows that repeat are measured alike; an empty table gives none.
     """
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    words = F.filter(F.split(F.col("_t"), SPACE), lambda w: w != "")
-    lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumns({"_w": _once(words), "_l": _once(lines)})
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    _t, _w, _l, _g, _s, _p = (f"{mark}{x}" for x in "twlgsp")
+    words = F.filter(F.split(F.col(_t), SPACE), lambda w: w != "")
+    lines = F.filter(F.split(F.col(_t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    d = docs.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(_t)).withColumns({_w: _once(words), _l: _once(lines)})
     # a number for each window of words; equal windows have equal numbers
-    grams = F.when(F.size("_w") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    d = d.withColumn("_g", _once(grams))
-    twice = F.size(F.array_distinct("_g")) < F.size("_g")
-    sorted_ = F.when(twice, F.array_sort(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    d = d.withColumn("_s", _once(sorted_))
-    found = F.filter("_s", lambda x, i: (F.get("_s", i - 1)["h"] == x["h"]) | (F.get("_s", i + 1)["h"] == x["h"]))
-    d = d.withColumn("_p", _once(F.array_sort(F.transform(found, lambda x: x["i"]))))
-    steps = F.transform("_p", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", j + 1) - x, F.lit(WINDOW))))
+    grams = F.when(F.size(_w) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(_w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(_w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    d = d.withColumn(_g, _once(grams))
+    twice = F.size(F.array_distinct(_g)) < F.size(_g)
+    sorted_ = F.when(twice, F.array_sort(F.transform(_g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    d = d.withColumn(_s, _once(sorted_))
+    found = F.filter(_s, lambda x, i: (F.get(_s, i - 1)["h"] == x["h"]) | (F.get(_s, i + 1)["h"] == x["h"]))
+    d = d.withColumn(_p, _once(F.array_sort(F.transform(found, lambda x: x["i"]))))
+    steps = F.transform(_p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(_p, j + 1) - x, F.lit(WINDOW))))
     values = {
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": _count("_t", SYMBOLS),
-        "n_exclaims": _count("_t", "!"),
-        "n_lines": F.size("_l").cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_stop_words": F.size(F.array_intersect("_w", F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
+        "n_words": F.size(_w).cast("long"),
+        "word_chars": F.length(F.translate(_t, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_symbols": _count(_t, SYMBOLS),
+        "n_exclaims": _count(_t, "!"),
+        "n_lines": F.size(_l).cast("long"),
+        "n_dup_lines": (F.size(_l) - F.size(F.array_distinct(_l))).cast("long"),
+        "n_stop_words": F.size(F.array_intersect(_w, F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
         "n_repeat_words": F.coalesce(F.aggregate(steps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
     }
-    return d.select(*[c for c, n in zip(keep, docs.columns, strict=True) if n not in values], *[(_once(v) if n in ("n_stop_words", "n_repeat_words") else v).alias(n) for n, v in values.items()])
+    return d.select(*[c for c, n in zip(keep, docs.columns, strict=True) if n.lower() not in values], *[(_once(v) if n in ("n_stop_words", "n_repeat_words") else v).alias(n) for n, v in values.items()])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

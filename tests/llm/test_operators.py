@@ -342,3 +342,60 @@ def test_digest_columns(spark):
 
     r = op10_byte_bpe(spark, "/root/testdata/sf0.001").first()
     assert len(r["ids_sha256"]) == len(hashlib.sha256().hexdigest()) and r["n_tokens"] > 0
+
+
+def test_empty_tables(spark, none):
+    """An empty table gives an empty result of the usual columns."""
+    texts = none.select("doc_id", "text")
+    assert language_id.identify(texts, ["x"], np.zeros((1, language_id.BUCKETS))).count() == 0
+    sites = none.select("doc_id", "text", none["spans"].alias("host"), none["spans"].alias("path"))
+    out = site_quality.site_quality(sites, none.select("doc_id", none["bands"].alias("quality")))
+    assert out.count() == 0 and "score" in out.columns
+    assert toxicity.score(texts, toxicity.learn(texts, none.select("doc_id", none["bands"].alias("toxic")))).count() == 0
+    assert bpe.encode_documents(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, decode=True).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns named like a result are replaced, others stay, whatever they are called."""
+    d = spark.createDataFrame([(1, "the cat " * 30, "a", "b", "c", "d", "e", 5)], "doc_id long, text string, ids string, Decoded string, score string, _t string, _w string, N_WORDS int")
+    out = bpe.encode_documents(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, decode=True)
+    assert out.columns == ["doc_id", "score", "_t", "_w", "N_WORDS", "ids", "decoded"] and bytes(out.select("decoded").first()[0]) == b"the cat " * 30
+    found = language_id.identify(d, ["x"], np.zeros((1, language_id.BUCKETS)))
+    assert found.select("score", "_w", "ids").first() == (1.0, "e", "a")
+    m = quality_rules.measure(d).first().asDict()
+    assert m["n_words"] == 60 and m["_t"] == "d" and m["_w"] == "e" and m["ids"] == "a" and "N_WORDS" not in m
+    assert near_duplicates(d).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert mixing.mix_to_targets(d, d.select("doc_id", d["score"].alias("domain"))).first()["n_tokens"] == 60
+
+
+def test_very_long_texts(spark):
+    """Texts over every bound of what is handled at once give what shorter ones do."""
+    long = " ".join(prose(2000, random.Random(k)) for k in range(130))  # over a megabyte
+    assert len(long) > 1 << 20
+    d = spark.createDataFrame([(1, long), (2, long + " more"), (3, "a b c d e f")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in near_duplicates(d, k=4).collect()}
+    assert out[2]["component_id"] == 1 and out[1]["n_shingles"] == len(shingles(long, 4))
+    ids = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.encode_documents(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, decode=True).collect()}
+    assert ids[1] == long.encode() and ids[2].endswith(b" more")
+    folder = token_files.write_tokens(d, P.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_files.read_tokens(spark, folder).collect()}
+    assert got[1] == len(t.encode(long, add_special_tokens=False).ids) + 1
+    spans = {r["doc_id"]: bytes(r["kept"]) for r in repeated_spans(d, 100).collect()}
+    assert spans == dict(brute_spans([(1, long.encode()), (2, (long + " more").encode()), (3, b"a b c d e f")], 100))
+
+
+def test_mixing_learns_any_domains(spark):
+    """Invented domains that no list of words knows."""
+    rng = random.Random(17)
+    words = {k: ["".join(rng.choice(k) for _ in range(4)) for _ in range(15)] for k in ("abcd", "efgh", "ijkl")}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k) for i in range(300) for k in [("abcd", "efgh", "ijkl")[min(2, i % 5)]]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    want = {"abcd": 0.2, "efgh": 0.5, "ijkl": 0.3}
+    r = mixing.mix_to_targets(d, d.select("doc_id", "domain").where("doc_id % 2 = 0"), want).toPandas().sort_values("doc_id")
+    p = np.stack(r["p"])
+    assert [r["domains"].iloc[0][i] for i in p.argmax(1)] == [k for _, _, k in rows]
+    total = (p * (r["n_tokens"] * r["rate"]).to_numpy()[:, None]).sum(0)
+    assert np.allclose(total / total.sum(), [want[k] for k in r["domains"].iloc[0]], atol=0.01)

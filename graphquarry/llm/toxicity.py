@@ -9,7 +9,7 @@ from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,22 +50,32 @@ def terms_of(words: list[bytes]) -> Counter[bytes]:
 
 
 class Numbers(dict):
-    """The numbers of the terms of a word, remembered for at most REMEMBERED words."""
+    """Rows of a table of term numbers by word (-1: no number), remembered for about REMEMBERED words."""
 
     def __init__(self, number: dict[bytes, int]):
-        self.number = number
+        self.number, self.table = number, np.full((1 << 12, 3), -1, np.int32)
 
-    def __missing__(self, word: bytes) -> np.ndarray:
-        if len(self) >= REMEMBERED:
-            self.clear()
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate((self.table, np.full_like(self.table, -1)))
         get = self.number.get
-        out = self[word] = np.array([i for t in terms_of_word(word) if (i := get(t)) is not None], np.int32)
-        return out
+        for i, t in enumerate(terms_of_word(word)):
+            self.table[n, i] = get(t, -1)
+        self[word] = n
+        return n
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The numbered terms of a text, ascending, and how often each occurs."""
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.table.fill(-1)
         words = words_of(text)
-        return np.unique(np.concatenate([self[w] for w in words]), return_counts=True) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        rows = [self[w] for w in words]
+        found, n = np.unique(self.table[rows], return_counts=True)
+        return (found[1:], n[1:]) if found[0] < 0 else (found, n)
 
 
 def clusters(x: np.ndarray, k: int, steps: int = 6) -> np.ndarray:
@@ -121,7 +131,7 @@ class Index:
 
     def __getstate__(self):
         """What examples hold, deflated: every executor keeps a copy. Tables and lists are made where they are used."""
-        lost = {"number", "numbers", "tables", "lists", "cuts", "column", "example", "blocks", "term", "tf"}
+        lost = {"scale", "number", "numbers", "tables", "lists", "cuts", "column", "example", "blocks", "term", "tf"}
         step = np.diff(self.term, prepend=np.int32(0)).astype("<i4")
         packed = [zlib.compress(x.tobytes(), 1) for x in (step.view(np.uint8).reshape(-1, 4).T, self.tf.astype("<i4").view(np.uint8).reshape(-1, 4).T)]
         terms = zlib.compress(b" ".join(self.number), 1)
@@ -133,7 +143,7 @@ class Index:
         self.number = {t: i for i, t in enumerate(terms.split(b" "))} if terms else {}
         self.__dict__.update(d)
         self.term, self.tf = np.cumsum(step, dtype=np.int32), tf.astype(np.min_scalar_type(tf.max(initial=0)))
-        self.tables, self.numbers = None, Numbers(self.number)
+        self.tables, self.numbers, self.scale = None, Numbers(self.number), None
 
     def _build(self) -> None:
         n, width = len(self.ids), len(self.idf)
@@ -152,7 +162,7 @@ class Index:
             first = len(example)
             self.column[own] = first + np.arange(len(own))
             example += own.tolist() + [-1] * (-len(own) % BLOCK)
-            post = np.flatnonzero(self.cluster[at] == c)
+            post = np.flatnonzero(self.cluster[at] == c).astype(np.int32)
             common = np.flatnonzero(np.bincount(self.term[post], minlength=width) * COMMON >= len(own))
             place = np.full(width, -1, np.int32)
             place[common] = np.arange(len(common))
@@ -163,7 +173,7 @@ class Index:
             table[column // BLOCK, place[self.term[dense]], column % BLOCK] = weight[dense]
             self.tables.append((first // BLOCK, common, table, np.ascontiguousarray(table.max(axis=2).T)))
         self.example, self.blocks = np.array(example, np.int64), len(example) // BLOCK
-        rest = np.flatnonzero(listed)
+        rest = np.flatnonzero(listed).astype(np.int32)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
         self.lists = self.column[at[rest]], weight[rest]
         self.cuts = np.concatenate(([0], np.cumsum(np.bincount(self.term[rest], minlength=width))))
@@ -246,15 +256,23 @@ class Index:
         up = PRIOR * self.base + sum(c**4 * self.label[a] for c, a in near)
         return float(up / (PRIOR + sum(c**4 for c, _ in near)))
 
-    def calibrate(self) -> None:
-        """Fits the logistic map of votes to probabilities on examples whose own vote is left out."""
-        some = np.arange(0, len(self.ids), max(1, math.ceil(len(self.ids) / CALIBRATION)))
+    def samples(self) -> np.ndarray:
+        """Places of at most CALIBRATION examples."""
+        return np.arange(0, len(self.ids), max(1, math.ceil(len(self.ids) / CALIBRATION)))
+
+    def left_out(self, places: list[int]) -> list[float]:
+        """The votes on the examples at these places, none of which votes for itself."""
+        cut = [slice(self.start[a], self.start[a + 1]) for a in places]
+        near = self.search([self._vector(self.term[e], self.tf[e]) for e in cut], NEAREST + 1)
+        return [self.vote([n for n in found if n[1] != a][:NEAREST]) for a, found in zip(places, near, strict=True)]
+
+    def calibrate(self, votes: list[float] | None = None) -> None:
+        """Fits the logistic map of votes to probabilities on samples() whose own vote is left out; votes: theirs, if they are known."""
+        some = self.samples()
         y = self.label[some]
         if not len(y) or not 0 < y.mean() < 1:
             return
-        cut = [slice(self.start[a], self.start[a + 1]) for a in some]
-        near = self.search([self._vector(self.term[e], self.tf[e]) for e in cut], NEAREST + 1)
-        x = np.array([_logit(self.vote([n for n in found if n[1] != a][:NEAREST])) for a, found in zip(some.tolist(), near, strict=True)])
+        x = np.array([_logit(v) for v in (self.left_out(some.tolist()) if votes is None else votes)])
         goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         f, t = np.stack([x, np.ones(len(x))], axis=1), np.array([1.0, 0.0])
         for _ in range(40):
@@ -264,16 +282,17 @@ class Index:
         if np.isfinite(t).all() and t[0] > 0:
             self.scale = float(t[0]), float(t[1])
 
-    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+    def score(self, texts: list[str | None], scale: tuple[float, float] | None = None) -> list[tuple[float, list[int]]]:
         """Calibrated votes of the nearest, and the ids of those."""
+        scale = scale or self.scale
         tfs = [self.numbers.counts(t) for t in texts]
         near = iter(self.search([self._vector(*tf) for tf in tfs if len(tf[0])]))
         out = []
         for tf in tfs:
             found = next(near) if len(tf[0]) else []
             v = self.vote(found)
-            if self.scale:
-                v = 1 / (1 + math.exp(-(self.scale[0] * _logit(v) + self.scale[1])))
+            if scale:
+                v = 1 / (1 + math.exp(-(scale[0] * _logit(v) + scale[1])))
             out.append((v, [int(self.ids[a]) for _, a in found]))
         return out
 
@@ -358,11 +377,29 @@ def learn(docs: DataFrame, labels: DataFrame) -> Index:
     rows_ = ((i.as_py(), dict(zip(np.frombuffer(k.as_py(), "<i4").tolist(), np.frombuffer(c.as_py(), "<i4").tolist(), strict=True))) for i, k, c in zip(vectors["doc_id"], vectors["at"], vectors["tf"], strict=True))
     df, n = _term_counts(docs, number)
     index = Index(terms, df, n, rows_, label, base, telling)
-    index.calibrate()
-    index.tables = None
+    if len(index.ids):
+        index.calibrate(_left_out(docs.sparkSession, index))
     return index
 
 
+def _left_out(spark: SparkSession, index: Index) -> list[float]:
+    """Votes on index.samples(), made by tasks: a bounded number of rows comes back."""
+    packed = pickle.dumps(index)
+    key, some = (zlib.crc32(packed), len(packed)), index.samples().tolist()
+    schema = T._parse_datatype_string("id long, vote double")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(_load(key, packed).left_out([some[i] for i in ids]))], schema=arrow)
+
+    tasks = min(12, max(1, len(some) // QUERIES))
+    return [r["vote"] for r in spark.range(0, len(some), 1, tasks).mapInArrow(run, schema).orderBy("id").collect()]
+
+
 _LOADED: dict[tuple[int, int], Index] = {}
 
 
@@ -382,14 +419,14 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.7) -> DataFrame:
     long, other columns pass through but for those named like a result, which it replaces; an empty table gives none.
     """
 
-    packed = pickle.dumps(index)
+    packed, scale = pickle.dumps(index), index.scale
     key = zlib.crc32(packed), len(packed)
 
     def body():
         own = _load(key, packed)
 
         def work(texts: list[str | None]):
-            found = own.score(texts)
+            found = own.score(texts, scale)
             return [f[0] for f in found], [int(f[0] >= threshold) for f in found], [f[1] for f in found]
 
         return work

@@ -52,7 +52,9 @@ def features(docs: DataFrame, words: list[list[str]], letters: list[list[str]])
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("w", _once(_words()))
     share = lambda n: F.least(F.lit(TOP), F.ceil(64.0 * n / F.greatest(F.length("t"), F.lit(1)))).cast("int")
     own = [F.least(F.lit(TOP), F.size(F.array_intersect("w", F.array(*map(F.lit, v))))) for v in words]
-    own += [share(F.length("t") - F.length(F.translate("t", "".join(v), ""))) for v in letters]
+    # bytes that go with a letter, over its own: no pass over characters
+    often = lambda c: (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(c), F.lit("")))) / len(c.encode())
+    own += [share(sum(map(often, v), F.lit(0.0))) for v in letters]
     return d.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array(*own, share(F.octet_length("t") - F.length("t"))).alias("f"))
 
 

@@ -7,6 +7,7 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterable
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,6 @@ EXAMPLES = 6000
 CALIBRATION, CLUSTERS, SIGNS = 1500, 8, 512
 #: A term in one of so many examples of a cluster is common there: its weights stand in a table, those of the others in lists.
 COMMON = 12
-REMEMBERED = 100_000
 #: Neighbours, examples of a block, queries at once; weight that draws votes to the common share; least weight of a term.
 NEAREST, BLOCK, QUERIES, PRIOR, SMALL = 15, 64, 128, 0.06, 0.01
 #: More than twice what single precision can lose of a cosine.
@@ -49,33 +49,20 @@ def terms_of(words: list[bytes]) -> Counter[bytes]:
     return c
 
 
-class Numbers(dict):
-    """Rows of a table of term numbers by word (-1: no number), remembered for about REMEMBERED words."""
+class Numbers:
+    """Numbers of the terms of texts. Words and both kinds of beginnings are looked up apart, so no term is put together."""
 
     def __init__(self, number: dict[bytes, int]):
-        self.number, self.table = number, np.full((1 << 12, 3), -1, np.int32)
-
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.table):
-            self.table = np.concatenate((self.table, np.full_like(self.table, -1)))
-        get = self.number.get
-        for i, t in enumerate(terms_of_word(word)):
-            self.table[n, i] = get(t, -1)
-        self[word] = n
-        return n
+        begin = {n: {t[1:]: i for t, i in number.items() if len(t) == n + 1 and t[:1] == b"^"} for n in (4, 5)}
+        self.word, self.four, self.five = number.get, begin[4].get, begin[5].get
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The numbered terms of a text, ascending, and how often each occurs."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self.table.fill(-1)
         words = words_of(text)
-        if not words:
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        rows = [self[w] for w in words]
-        found, n = np.unique(self.table[rows], return_counts=True)
-        return (found[1:], n[1:]) if found[0] < 0 else (found, n)
+        four, five = [w[:4] for w in words if len(w) > 4], [w[:5] for w in words if len(w) > 5]
+        found = chain(map(self.word, words, repeat(-1)), map(self.four, four, repeat(-1)), map(self.five, five, repeat(-1)))
+        at = np.fromiter(found, np.int32, len(words) + len(four) + len(five))
+        return np.unique(at[at >= 0], return_counts=True)
 
 
 def clusters(x: np.ndarray, k: int, steps: int = 6) -> np.ndarray:
@@ -131,7 +118,7 @@ class Index:
 
     def __getstate__(self):
         """What examples hold, deflated: every executor keeps a copy. Tables and lists are made where they are used."""
-        lost = {"scale", "number", "numbers", "tables", "lists", "cuts", "column", "example", "blocks", "term", "tf"}
+        lost = {"scale", "number", "numbers", "tables", "lists", "cuts", "log", "column", "example", "blocks", "term", "tf"}
         step = np.diff(self.term, prepend=np.int32(0)).astype("<i4")
         packed = [zlib.compress(x.tobytes(), 1) for x in (step.view(np.uint8).reshape(-1, 4).T, self.tf.astype("<i4").view(np.uint8).reshape(-1, 4).T)]
         terms = zlib.compress(b" ".join(self.number), 1)
@@ -147,11 +134,12 @@ class Index:
 
     def _build(self) -> None:
         n, width = len(self.ids), len(self.idf)
+        self.log = 1 + np.log(np.maximum(np.arange(int(self.tf.max(initial=0)) + 1), 1))
         at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
         weight = np.zeros(len(at), np.float32)
         for a in range(0, len(at), 1 << 20):
             e = slice(a, a + (1 << 20))
-            weight[e] = (1 + np.log(self.tf[e])) * self.idf[self.term[e]] / self.norm[at[e]]
+            weight[e] = self.log[self.tf[e]] * self.idf[self.term[e]] / self.norm[at[e]]
         # a column for each example; clusters begin at whole blocks
         self.column, example, self.tables = np.zeros(n, np.int32), [], []
         listed = np.ones(len(at), bool)
@@ -221,25 +209,34 @@ class Index:
             q[row[hit], at[hit]] = w[hit]
             given.append(q)
             bound[:, first : first + len(table)] += q @ most
-        flat, last = s.reshape(m, wide), max(0, wide - nearest)
+        flat = s.reshape(m, wide)
         opened = np.zeros(bound.shape, bool)
-        best = np.argsort(-bound, axis=1)[:, : max(1, self.blocks // 16)]  # the best blocks of each query raise what others must reach
+        best = np.argsort(-bound, axis=1)[:, : max(1, self.blocks // 16, -(-nearest // BLOCK))]  # the best blocks of each query raise what others must reach
         np.put_along_axis(opened, best, True, axis=1)
         self._open(opened, given, s)
-        least = np.partition(flat, last, axis=1)[:, last, None]
+        # what the last nearest of those blocks has is a bound that examples of other blocks must reach
+        near = np.take_along_axis(s, best[:, :, None], axis=1).reshape(m, -1)
+        last = max(0, near.shape[1] - nearest)
+        least = np.partition(near, last, axis=1)[:, last, None]
         self._open((bound >= least - MARGIN) & ~opened, given, s)
-        least = np.partition(flat, last, axis=1)[:, last, None]
         rows, cols = np.nonzero((flat > 0) & (flat >= least - MARGIN) & (self.example >= 0))
         out, dense, cut = [], np.zeros(len(self.idf)), np.searchsorted(rows, np.arange(m + 1))
         for x, (k, w) in enumerate(queries):
+            c = cols[cut[x] : cut[x + 1]]
+            if len(c) > nearest:
+                v = flat[x, c]
+                c = c[v >= np.partition(v, len(v) - nearest)[len(v) - nearest] - MARGIN]
+            if not len(c):
+                out.append([])
+                continue
+            a = self.example[c]
+            size = self.start[a + 1] - self.start[a]
+            end = np.cumsum(size)
+            post = np.arange(int(end[-1])) + np.repeat(self.start[a] - end + size, size)
             dense[k] = w * self.idf[k]
-            found = []
-            for a in self.example[cols[cut[x] : cut[x + 1]]].tolist():
-                e = slice(self.start[a], self.start[a + 1])
-                v = float(dense[self.term[e]] @ (1 + np.log(self.tf[e].astype(float)))) / self.norm[a]
-                found.append((-round(v, 12), a))
+            v = np.add.reduceat(dense[self.term[post]] * self.log[self.tf[post]], end - size) / self.norm[a]
             dense[k] = 0
-            out.append([(-v, a) for v, a in sorted(found)[:nearest]])
+            out.append([(-v, a) for v, a in sorted(zip((-v.round(12)).tolist(), a.tolist(), strict=True))[:nearest]])
         return out
 
     def _open(self, wanted: np.ndarray, given: list[np.ndarray], s: np.ndarray) -> None:

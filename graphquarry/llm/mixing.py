@@ -14,6 +14,8 @@ from .quality_rules import SPACE
 EXAMPLES, WORDS, LETTERS = 4000, 24, 6
 #: Steps of projected gradient at most; pull of rates towards 1; largest value of a feature.
 STEPS, RIDGE, TOP = 40, 1e-3, 12
+#: Steps after which rates are written, so that a row repeats no more of them.
+KEPT = 10
 
 
 def _once(value: Column) -> Column:
@@ -22,7 +24,7 @@ def _once(value: Column) -> Column:
 
 
 def _words() -> Column:
-    return F.filter(F.split("t", SPACE), lambda x: x != "")
+    return F.array_remove(F.split("t", SPACE), "")
 
 
 def telling(docs: DataFrame, labelled: DataFrame) -> tuple[list[list[str]], list[list[str]]]:
@@ -51,7 +53,9 @@ def features(docs: DataFrame, words: list[list[str]], letters: list[list[str]])
     """doc_id, n_tokens (words) and f, small whole numbers: how many different words of each list, and by the 64 characters letters of each list and wide ones."""
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("w", _once(_words()))
     share = lambda n: F.least(F.lit(TOP), F.ceil(64.0 * n / F.greatest(F.length("t"), F.lit(1)))).cast("int")
-    own = [F.least(F.lit(TOP), F.size(F.array_intersect("w", F.array(*map(F.lit, v))))) for v in words]
+    # one pass over a text's words: each list looks at what is in any
+    d = d.withColumn("h", _once(F.array_intersect("w", F.array(*map(F.lit, sorted({x for v in words for x in v}))).cast("array<string>"))))
+    own = [F.least(F.lit(TOP), F.size(F.array_intersect("h", F.array(*map(F.lit, v))))) for v in words]
     # bytes that go with a letter, over its own: no pass over characters
     often = lambda c: (F.octet_length("t") - F.octet_length(F.replace("t", F.lit(c), F.lit("")))) / len(c.encode())
     own += [share(sum(map(often, v), F.lit(0.0))) for v in letters]
@@ -81,30 +85,30 @@ def posteriors(feats: DataFrame, labelled: DataFrame) -> tuple[list[str], DataFr
     return domains, d.select("doc_id", "n_tokens", F.transform("_e", lambda x: x / F.col("_s")).alias("p"))
 
 
-def _rate(residuals: list[list[float]], step: float, domains: int) -> Column:
-    """A document's rate after as many steps as there are residuals; it starts at 1 and never falls below 0."""
-    r = F.lit(1.0)
+def _rate(residuals: list[list[float]]) -> Column:
+    """A document's rate after as many more steps as there are residuals; it never falls below 0."""
+    r = F.col("rate")
     if not residuals:
         return r
     moves = F.array(*[F.array(*map(F.lit, e)) for e in residuals])
     pull = lambda e: F.aggregate(F.zip_with("p", e, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(moves, r, lambda a, e: F.greatest(F.lit(0.0), a - F.lit(step) * (pull(e) + F.lit(RIDGE) * (a - 1))))
+    return F.aggregate(moves, r, lambda a, e: F.greatest(F.lit(0.0), a - (pull(e) + F.lit(RIDGE) * (a - 1))))
 
 
 def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float] | None, total: float | None = None) -> DataFrame:
     """soft with rate: how often each document is wanted, so that expected domain totals of tokens are `total` times the target weights.
 
     Least squares over nonnegative rates with a small pull to 1, by projected gradient in the metric of the documents'
-    tokens. Rates after step k are an expression of the residuals before it, so a step is one grouped sum over soft (a number
-    a domain comes back) and no state is kept. Without targets the weights are the domains' shares to the power 0.7.
+    tokens. Rates are an expression of the residuals since they were last written, every KEPT steps; a step is one grouped
+    sum over soft, of which a number a domain comes back. Without targets the weights are the domains' shares to the power 0.7.
     Without a total, it is the least at which no domain shrinks, and 0.2 % more. A target without a document counts as 0.
     """
-    soft = materialize(soft, "soft")
+    soft = materialize(soft.withColumn("rate", F.lit(1.0)), "soft")
     sums = lambda rate: [float(x or 0.0) for x in soft.agg(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * rate) for i in range(len(domains))]).first()]
     have = sums(F.lit(1.0))
     all_ = sum(have)
     if not all_:
-        return soft.withColumn("rate", F.lit(1.0))
+        return soft
     want = [(targets or {}).get(d, 0.0) for d in domains] if targets else [(h / all_) ** 0.7 for h in have]
     want = [w if h > 0 else 0.0 for w, h in zip(want, have, strict=True)]
     weight = [w / (sum(want) or 1) for w in want]
@@ -112,12 +116,14 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: dict[str, float] | N
     # domains are the coordinates: residuals as shares of what each has now
     residuals: list[list[float]] = []
     for _ in range(STEPS):
-        now = sums(_rate(residuals, 1.0, len(domains)))
+        if len(residuals) == KEPT:
+            soft, residuals = materialize(soft.withColumn("rate", _rate(residuals)), "soft"), []
+        now = sums(_rate(residuals))
         e = [(x - total * w) / h if h > 0 else 0.0 for x, w, h in zip(now, weight, have, strict=True)]
         if max(map(abs, e)) < 1e-4:
             break
         residuals.append(e)
-    return soft.withColumn("rate", _rate(residuals, 1.0, len(domains)))
+    return soft.withColumn("rate", _rate(residuals))
 
 
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, total: float | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,11 @@ def _clean() -> None:
             pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again with its schema."""
+def materialize(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the shared folder, a folder for each value of `by`, read again with its schema."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     # Spark deletes the shuffle files of the step that ended when the driver finds its plan to be garbage
     gc.collect()
     spark.sparkContext._jvm.System.gc()

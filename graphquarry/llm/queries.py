@@ -11,6 +11,8 @@ from . import quality_rules as rules
 from .bpe import encode_documents
 from .common import id_crc_mod3, read_table
 from .embedding_dedup import near_duplicate_vectors
+from .line_dedup import dedup_lines
+from .line_dedup import oracle_sql as line_sql
 from .mixing import mix_to_targets
 from .near_dedup import near_duplicates
 from .site_quality import site_quality
@@ -80,5 +82,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *digest)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_token_files, op4_quality_rules, op5_site_quality, op6_suffix_dedup, op7_embedding_near_dedup, op8_mixing, op9_language_id, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle_sql()}
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read_table(spark, sf_dir, "documents"), least=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_token_files, op4_quality_rules, op5_site_quality, op6_suffix_dedup, op7_embedding_near_dedup, op8_mixing, op9_language_id, op10_byte_bpe, op13_line_dedup)}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle_sql(), "op13_line_dedup": line_sql()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, language_id, toxicity
+from . import divergence, filter_audit, language_id, toxicity
 from . import quality_rules as rules
 from .bpe import encode_documents
 from .common import id_crc_mod3, read_table
@@ -82,6 +82,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *digest)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -91,5 +95,5 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_token_files, op4_quality_rules, op5_site_quality, op6_suffix_dedup, op7_embedding_near_dedup, op8_mixing, op9_language_id, op10_byte_bpe, op12_filter_audit, op13_line_dedup)}
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle_sql(), "op12_filter_audit": filter_audit.oracle_sql(), "op13_line_dedup": line_sql()}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_token_files, op4_quality_rules, op5_site_quality, op6_suffix_dedup, op7_embedding_near_dedup, op8_mixing, op9_language_id, op10_byte_bpe, op11_source_divergence, op12_filter_audit, op13_line_dedup)}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle_sql(), "op11_source_divergence": divergence.oracle_sql(), "op12_filter_audit": filter_audit.oracle_sql(), "op13_line_dedup": line_sql()}

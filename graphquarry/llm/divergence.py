@@ -58,7 +58,7 @@ class RadixTrie:
                 todo.extend((node[1][b], path) for b in sorted(node[1], reverse=True))
 
 
-def _count(batches, number: dict):
+def _count(batches, number: dict, most: int):
     """Leaves (lang, term, docs, groups, counts) of this task's tries, a trie a language, in traversal order."""
     import pyarrow as pa
 
@@ -92,7 +92,7 @@ def _count(batches, number: dict):
                 own = (text or b"").translate(_TERMS).split()
                 words[lang, number[lang, source]].update(own)
                 docs[lang].update(set(own))
-            if sum(map(len, words.values())) >= HELD:
+            if sum(map(len, words.values())) >= most:
                 yield from leaves()
     yield from leaves()
 
@@ -143,7 +143,7 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def _compare(batches, langs: dict, stripe: int):
+def _compare(batches, langs: dict, stripe: int, cells: int):
     """Of this task's terms: sums of f for each pair of groups whose first is in the stripe; in stripe 0 each group's best terms.
 
     langs: lang -> (numbers of its groups, their N, V). Equal rows of counters are compared once.
@@ -156,7 +156,7 @@ def _compare(batches, langs: dict, stripe: int):
         names = np.array(batch.column(0).to_pylist(), object)
         for lang in set(names):
             numbers, n, v = langs[lang]
-            width = max(1, CELLS // len(numbers))
+            width = max(1, cells // len(numbers))
             mine = batch.take(pa.array(np.flatnonzero(names == lang)))
             for a in range(0, mine.num_rows, width):
                 part = mine.slice(a, width)
@@ -188,13 +188,13 @@ def _compare(batches, langs: dict, stripe: int):
     rows = [(g, None, term, -value) for g, held in best.items() for value, term in held]
     for lang, s in sums.items():
         numbers = langs[lang][0]
-        first = stripe * max(1, CELLS // len(numbers))
+        first = stripe * max(1, cells // len(numbers))
         rows += [(int(numbers[first + i]), int(o), None, int(x)) for i, line in enumerate(s) for o, x in zip(numbers, line, strict=True) if numbers[first + i] != o]
     for a in range(0, len(rows), 65_536):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 65_536], strict=True), schema, strict=True)], schema=schema)
 
 
-def source_divergence(docs: DataFrame) -> DataFrame:
+def source_divergence(docs: DataFrame, held: int = HELD, cells: int = CELLS) -> DataFrame:
     """lang, source, part, item, value, rank: how the terms of each source of a language differ from its other sources' and the language's.
 
     Terms are runs of ASCII letters and of characters beyond ASCII, A-Z in lower case. A language keeps those in at least 3 of
@@ -208,9 +208,9 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     0 where its language keeps none; an empty table gives an empty result. Whole texts are read; other columns are not,
     whatever their names.
 
-    A task counts into tries and writes their leaves; leaves are dealt by ranges of (lang, term), so that a frequent prefix is
+    A task counts into tries and writes their leaves once they hold `held` counters, then begins new ones; leaves are dealt by ranges of (lang, term), so that a frequent prefix is
     split, and merged in order. The result has a row for each two sources of a language, so a row for each source is small
-    beside it: those (name, N, V) come to the driver and go to all tasks. A task's matrices have at most CELLS numbers; where
+    beside it: those (name, N, V) come to the driver and go to all tasks. A task's matrices have at most `cells` numbers; where
     a language's pairs are more, they are taken in stripes.
     """
     spark = docs.sparkSession
@@ -220,7 +220,7 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     number = {k: i for i, k in enumerate(pairs)}
     groups = spark.createDataFrame([(i, *k) for i, k in enumerate(pairs)], "group int, lang string, source string")
     leaf = "lang string, term binary, docs long, groups array<int>, counts array<long>"
-    leaves = materialize(d.mapInArrow(lambda b: _count(b, number), leaf), "leaves")
+    leaves = materialize(d.mapInArrow(lambda b: _count(b, number, held), leaf), "leaves")
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = materialize(leaves.repartitionByRange(ways, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge, leaf), "terms")
     size = {r["lang"]: r["v"] for r in kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v")).collect()}
@@ -229,8 +229,8 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     langs = {x: (np.array(g), np.array([total.get(i, 0) for i in g], np.int64), size[x]) for x, g in langs.items()}
     most = max((len(g) for g, _, _ in langs.values()), default=1)
     found = None
-    for stripe in range(-(-most // max(1, CELLS // most))):
-        part = kept.mapInArrow(lambda b, s=stripe: _compare(b, langs, s), "group int, other int, term binary, value long")
+    for stripe in range(-(-most // max(1, cells // most))):
+        part = kept.mapInArrow(lambda b, s=stripe: _compare(b, langs, s, cells), "group int, other int, term binary, value long")
         found = part if found is None else found.unionByName(part)
     found = materialize(found, "found")
     sums = found.where("other IS NOT NULL").groupBy("group", "other").agg(F.sum("value").alias("value"))

@@ -5,21 +5,26 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_HOPS = 10
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint, in the folder that spark.checkpoint.dir names; where it is unset, in a new one if Spark runs in this process alone, else an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints: below that which spark.checkpoint.dir names; where it is unset, a new one if Spark runs in this process alone, else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not top and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="graphquarry-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df behind a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..functions import norm as N
 from ..functions.text_udf import stem
 from ..operators import build as B
 from ..operators import checks as K
+from ..operators import delta as D
 from ..operators import incremental as I
 from ..operators import indexes as X
 from ..operators import linkgraph as L
@@ -622,25 +624,35 @@ def _parsed(v):
     none, no = F.lit(None).cast("string"), F.array().cast(s)
     at = lambda a, c: F.concat(F.lit(a), c if not isinstance(c, str) else i(c))
     row = lambda d, **k: d.select(*[k.get(c.split()[0], no if c.endswith(">") else none).cast(c.split()[1]).alias(c.split()[0]) for c in B.PARSED.split(", ")])
-    link = lambda *x: F.concat_ws(" ", *[F.concat(F.lit("[["), y, F.lit("]]")) for y in x])
+    link = lambda *x: F.concat_ws(" ", *[F.concat(F.lit("[["), y, F.lit(" ]]")) for y in x])
     code = lambda p, c: F.format_string(f"{p}-%03d", c.cast("int"))
+    text = lambda c: c.cast("string")
     n, c, o, p = F.col("n_nationkey"), F.col("c_custkey"), F.col("o_orderkey"), F.col("s_suppkey")
-    concept = row(v.table("nation"), path=at("c/", "n_nationkey"), kind=F.lit("concept"), title=F.col("n_name"), status=F.lit("active"), code=code("CN", n), body=link(at("Ghost ", (n % 3).cast("string"))), tags=F.array(at("t", (n % 4).cast("string"))), aliases=F.array(at("Alias ", (n % 20).cast("string"))), files=F.array(at("src/", "n_nationkey"), at("src/", (n + 100000000).cast("string"))), ok=n % 6 != 5)
-    design = row(v.table("customer"), path=at("d/", "c_custkey"), kind=F.lit("design"), title=F.col("c_name"), body=link(at("alias ", (F.col("c_nationkey") % 20).cast("string")), code("CV", c % 10)), tags=F.array(at("t", (c % 4).cast("string"))), source=at("src/", "c_custkey"), imports=F.array(at("src/", (c + 1).cast("string")), at("src/", (c + 2).cast("string"))), stack=F.array(at("s/", (c % 50).cast("string"))), ok=c % 9 != 0)
-    post = row(v.table("orders"), path=at("s/", "o_orderkey"), kind=F.lit("stack"), title=at("Order ", "o_orderkey"), status=F.lit("open"), concepts=F.array(code("CN", o % 30)), files=F.array(at("src/", (o % 100).cast("string"))), ok=F.lit(True))
-    rule = row(v.table("supplier"), path=at("v/", "s_suppkey"), kind=F.lit("convention"), title=F.col("s_name"), status=F.lit("active"), code=code("CV", p), body=link(code("CN", p % 30)), directory=at("src/", (p % 5).cast("string")), priority=(p % 3), ok=F.lit(True))
-    return concept.union(design).union(post).union(rule), v.table("part").select(at("src/", "p_partkey").alias("path"))
-
-
-_BUILD = """con AS (SELECT n_nationkey AS n, 'c/' || n_nationkey AS path, n_name AS title, printf('CN-%03d', CAST(n_nationkey AS INT)) AS code FROM nation WHERE n_nationkey % 6 <> 5),
-al AS (SELECT 'alias ' || (n % 20) AS k, min(path) AS path FROM con GROUP BY 1), des AS (SELECT c_custkey AS c, c_nationkey AS n FROM customer WHERE c_custkey % 9 <> 0),
-cand AS (SELECT lower(code) AS k, path, 0 AS p FROM con UNION ALL SELECT printf('cv-%03d', CAST(s_suppkey AS INT)), 'v/' || s_suppkey, 0 FROM supplier UNION ALL SELECT lower(s_name), 'v/' || s_suppkey, 1 FROM supplier UNION ALL SELECT lower(title), path, 3 FROM con UNION ALL SELECT k, path, 4 FROM al),
-best AS (SELECT k, arg_min(path, p) AS path FROM cand GROUP BY k),
-named AS (SELECT 'd/' || c AS source, 'alias ' || (n % 20) AS name, 'wikilink' AS link_type FROM des UNION ALL SELECT 'd/' || c, printf('CV-%03d', CAST(c % 10 AS INT)), 'wikilink' FROM des UNION ALL SELECT path, 'Ghost ' || (n % 3), 'wikilink' FROM con UNION ALL SELECT 'v/' || s_suppkey, printf('CN-%03d', CAST(s_suppkey % 30 AS INT)), 'convention_concept_ref' FROM supplier),
+    concept = row(v.table("nation"), path=at("c/", "n_nationkey"), kind=F.lit("concept"), title=F.col("n_name"), status=F.lit("active"), code=code("CN", n), body=link(at("Ghost ", text(n % 3))), tags=F.array(at("t", text(n % 4))), aliases=F.array(at("Alias ", text(n % 20))), files=F.array(at("src/", "n_nationkey"), at("src/", text(n + 100000000))), ok=n % 6 != 5)
+    design = row(v.table("customer"), path=at("d/", "c_custkey"), kind=F.lit("design"), title=F.col("c_name"), body=link(at("alias-", text(F.col("c_nationkey") % 20)), code("CV", c % 10), at("PLAY ", text(c % 7))), tags=F.array(at("t", text(c % 4))), source=at("src/", "c_custkey"), imports=F.array(at("src/", text(c + 1)), at("src/", text(c + 2))), stack=F.array(at("s/", text(c % 50))), ok=c % 9 != 0, sections=F.array("c_name", "c_mktsegment"))
+    post = row(v.table("orders"), path=at("s/", "o_orderkey"), kind=F.lit("stack"), title=at("Order ", "o_orderkey"), status=F.lit("open"), concepts=F.array(code("CN", o % 30), at("alias ", text(o % 40))), files=F.array(at("src/", text(o % 100))), ok=F.lit(True), sections=F.array(i("o_orderstatus"), i("o_orderpriority")))
+    rule = row(v.table("supplier"), path=at("v/", "s_suppkey"), kind=F.lit("convention"), title=F.col("s_name"), status=F.lit("active"), code=code("CV", p), body=link(code("CN", p % 30), at("Alias ", text(p % 25))), aliases=F.array(at("alias ", text(p % 400 + 18))), directory=at("src/", text(p % 5)), priority=(p % 3), ok=F.lit(True))
+    play = row(v.table("region"), path=at("p/", "r_regionkey"), kind=F.lit("playbook"), title=F.col("r_name"), aliases=F.array(at("Play ", "r_regionkey")), tags=F.array(F.lit("play")), ok=F.lit(True))
+    return concept.union(design).union(post).union(rule).union(play), v.table("part").select(at("src/", "p_partkey").alias("path"))
+
+
+def _build_sql(des="true", alias="'alias' || (n % 20)", play="true", present="true"):
+    return f"""con AS (SELECT n_nationkey AS n, 'c/' || n_nationkey AS path, n_name AS title, printf('CN-%03d', CAST(n_nationkey AS INT)) AS code FROM nation WHERE n_nationkey % 6 <> 5),
+des AS (SELECT c_custkey AS c, c_nationkey AS n FROM customer WHERE c_custkey % 9 <> 0 AND {des}),
+ccand AS (SELECT replace(replace(replace(lower(title), '-', ''), '_', ''), ' ', '') AS k, path FROM con UNION ALL SELECT {alias}, path FROM con),
+cand AS (SELECT 'a:' || lower(s_name) AS k, 'v/' || s_suppkey AS path, 1 AS p FROM supplier UNION ALL SELECT 'a:alias ' || (s_suppkey % 400 + 18), 'v/' || s_suppkey, 2 FROM supplier UNION ALL SELECT 'c:' || k, path, 3 FROM ccand
+UNION ALL SELECT 'a:' || lower(r_name), 'p/' || r_regionkey, 4 FROM region UNION ALL SELECT 'a:play ' || r_regionkey, 'p/' || r_regionkey, 4 FROM region WHERE {play}),
+named AS (SELECT 'd/' || c AS source, 'alias-' || (n % 20) AS name, 'wikilink' AS link_type FROM des UNION ALL SELECT 'd/' || c, printf('CV-%03d', CAST(c % 10 AS INT)), 'wikilink' FROM des UNION ALL SELECT 'd/' || c, 'PLAY ' || (c % 7), 'wikilink' FROM des UNION ALL SELECT path, 'Ghost ' || (n % 3), 'wikilink' FROM con
+UNION ALL SELECT 'v/' || s_suppkey, printf('CN-%03d', CAST(s_suppkey % 30 AS INT)), 'convention_concept_ref' FROM supplier UNION ALL SELECT 'v/' || s_suppkey, 'Alias ' || (s_suppkey % 25), 'convention_concept_ref' FROM supplier),
+dn AS (SELECT name, unnest(['a:' || lower(name), 'c:' || replace(replace(replace(lower(name), '-', ''), '_', ''), ' ', '')]) AS k FROM (SELECT DISTINCT name FROM named)),
+best AS (SELECT name, arg_min(path, (p, path)) AS path FROM dn JOIN cand USING (k) GROUP BY name),
+cref AS (SELECT o_orderkey AS o, 'alias ' || (o_orderkey % 40) AS name, (SELECT min(path) FROM ccand WHERE k = 'alias' || (o_orderkey % 40)) AS path FROM orders UNION ALL SELECT o_orderkey, printf('CN-%03d', CAST(o_orderkey % 30 AS INT)), (SELECT path FROM con WHERE n = o_orderkey % 30) FROM orders),
 built AS (SELECT DISTINCT * FROM (SELECT 'd/' || c AS source, 'src/' || c AS target, 'design_source' AS link_type FROM des UNION ALL SELECT 'src/' || c, 'src/' || (c + 1), 'ast_import' FROM des UNION ALL SELECT 'src/' || c, 'src/' || (c + 2), 'ast_import' FROM des
-UNION ALL SELECT 'd/' || c, 's/' || (c % 50), 'design_stack_ref' FROM des UNION ALL SELECT path, 'src/' || n, 'concept_file_ref' FROM con WHERE n IN (SELECT p_partkey FROM part) UNION ALL SELECT 's/' || o_orderkey, 'src/' || (o_orderkey % 100), 'stack_file_ref' FROM orders
-UNION ALL SELECT source, coalesce(b.path, '.kb/concepts/' || name || '.md'), link_type FROM named LEFT JOIN best b ON b.k = lower(name)
-UNION ALL SELECT 's/' || o_orderkey, coalesce(x.path, '.kb/concepts/' || printf('CN-%03d', CAST(o_orderkey % 30 AS INT)) || '.md'), 'stack_concept_ref' FROM orders LEFT JOIN con x ON x.n = o_orderkey % 30))"""
+UNION ALL SELECT 'd/' || c, 's/' || (c % 50), 'design_stack_ref' FROM des UNION ALL SELECT path, 'src/' || n, 'concept_file_ref' FROM con WHERE n IN (SELECT p_partkey FROM part WHERE {present}) UNION ALL SELECT 's/' || o_orderkey, 'src/' || (o_orderkey % 100), 'stack_file_ref' FROM orders
+UNION ALL SELECT source, coalesce(b.path, '.kb/concepts/' || name || '.md'), link_type FROM named LEFT JOIN best b USING (name) UNION ALL SELECT 's/' || o, coalesce(path, '.kb/concepts/' || name || '.md'), 'stack_concept_ref' FROM cref))"""
+
+
+_BUILD = _build_sql()
 
 
 @query(f"WITH {_BUILD} SELECT source, target, link_type FROM built")
@@ -648,7 +660,7 @@ def link_graph_links(v):
     return B.full_build(*_parsed(v))["links"]
 
 
-_OWN = """own AS (SELECT path, 'concept' AS kind FROM con UNION ALL SELECT 'd/' || c, 'design' FROM des UNION ALL SELECT 's/' || o_orderkey, 'stack' FROM orders UNION ALL SELECT 'v/' || s_suppkey, 'convention' FROM supplier),
+_OWN = """own AS (SELECT path, 'concept' AS kind FROM con UNION ALL SELECT 'd/' || c, 'design' FROM des UNION ALL SELECT 's/' || o_orderkey, 'stack' FROM orders UNION ALL SELECT 'v/' || s_suppkey, 'convention' FROM supplier UNION ALL SELECT 'p/' || r_regionkey, 'playbook' FROM region),
 made AS (SELECT 'src/' || c AS path FROM des), tg AS (SELECT target AS path, min(CASE WHEN link_type IN ('wikilink', 'convention_concept_ref', 'stack_concept_ref') THEN 'concept' WHEN link_type = 'design_stack_ref' THEN 'stack' ELSE 'source' END) AS kind FROM built GROUP BY 1)"""
 
 
@@ -657,17 +669,44 @@ def link_graph_artifacts(v):
     return B.full_build(*_parsed(v))["artifacts"].select("path", "kind", "is_stub")
 
 
-@query("SELECT kind, action, count(*) AS n FROM (SELECT 'concept' AS kind, CASE WHEN n_nationkey % 6 <> 5 THEN 'created' ELSE 'failed' END AS action FROM nation UNION ALL SELECT 'design', CASE WHEN c_custkey % 9 <> 0 THEN 'created' ELSE 'failed' END FROM customer UNION ALL SELECT 'stack', 'created' FROM orders UNION ALL SELECT 'convention', 'created' FROM supplier) GROUP BY 1, 2")
+@query("SELECT kind, action, count(*) AS n FROM (SELECT 'concept' AS kind, CASE WHEN n_nationkey % 6 <> 5 THEN 'created' ELSE 'failed' END AS action FROM nation UNION ALL SELECT 'design', CASE WHEN c_custkey % 9 <> 0 THEN 'created' ELSE 'failed' END FROM customer UNION ALL SELECT 'stack', 'created' FROM orders UNION ALL SELECT 'convention', 'created' FROM supplier UNION ALL SELECT 'playbook', 'created' FROM region) GROUP BY 1, 2")
 def link_graph_log(v):
     return B.full_build(*_parsed(v))["log"].groupBy("kind", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_BUILD.replace('FROM customer WHERE c_custkey % 9 <> 0', 'FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 10 <> 1')} SELECT source, target, link_type FROM built")
-def link_graph_updated(v):
-    """After the files of a tenth of the designs are deleted."""
+_CHANGED = _build_sql(des="c_custkey % 10 <> 1", alias="CASE WHEN n % 5 = 0 THEN 'moved' || n ELSE 'alias' || (n % 20) END", play="r_regionkey <> 2", present="p_partkey % 7 <> 0")
+
+
+def _updated_store(v):
+    """A stored graph after a tenth of the designs went, a fifth of the concepts took other aliases, a playbook lost its own and source files went."""
     parsed, present = _parsed(v)
+    store = D.LinkStore(v.spark, f"{V.shared_folder(v.spark)}/links-{uuid.uuid4().hex}", buckets=16)
+    store.build(parsed, present)
     gone = v.table("customer").where("c_custkey % 10 = 1").select(F.concat(F.lit("d/"), F.col("c_custkey").cast("string")).alias("path"))
-    return B.full_build(B.updated(parsed, parsed.limit(0), gone), present)["links"]
+    number = F.regexp_extract("path", r"(\d+)$", 1).cast("int")
+    other = parsed.where((F.col("kind") == "concept") & (number % 5 == 0)).withColumn("aliases", F.array(F.concat(F.lit("Moved "), number.cast("string"))))
+    play = parsed.where("path = 'p/2'").withColumn("aliases", F.array().cast("array<string>"))
+    store.update(other.unionByName(play), gone, vanished=present.where(number % 7 == 0))
+    return store.tables()
+
+
+@query(f"WITH {_CHANGED} SELECT source, target, link_type FROM built")
+def link_graph_updated(v):
+    return _updated_store(v)["links"]
+
+
+@query(f"WITH {_CHANGED}, {_OWN} SELECT path, kind, false AS is_stub FROM own UNION ALL SELECT path, 'source', false FROM made UNION ALL SELECT path, kind, true FROM tg WHERE path NOT IN (SELECT path FROM own) AND path NOT IN (SELECT path FROM made)")
+def link_graph_updated_artifacts(v):
+    return _updated_store(v)["artifacts"].select("path", "kind", "is_stub")
+
+
+@query("""SELECT 'd/' || c_custkey AS path, c_name || chr(10) || c_mktsegment || chr(10) || 't' || (c_custkey % 4) AS body FROM customer WHERE c_custkey % 9 <> 0
+UNION ALL SELECT 's/' || o_orderkey, o_orderstatus || chr(10) || o_orderpriority FROM orders
+UNION ALL SELECT 'c/' || n_nationkey, '[[Ghost ' || (n_nationkey % 3) || ' ]]' || chr(10) || '[[Ghost ' || (n_nationkey % 3) || ' ]]' || chr(10) || 'Alias ' || (n_nationkey % 20) || chr(10) || 't' || (n_nationkey % 4) FROM nation WHERE n_nationkey % 6 <> 5
+UNION ALL SELECT 'v/' || s_suppkey, b || chr(10) || b || chr(10) || 'alias ' || (s_suppkey % 400 + 18) FROM (SELECT s_suppkey, printf('[[CN-%03d ]] [[Alias %d ]]', CAST(s_suppkey % 30 AS INT), CAST(s_suppkey % 25 AS INT)) AS b FROM supplier)
+UNION ALL SELECT 'p/' || r_regionkey, 'Play ' || r_regionkey || chr(10) || 'play' FROM region""")
+def link_graph_texts(v):
+    return B.full_build(*_parsed(v))["texts"].select("path", "body")
 
 
 # more of the symbol graph and the indexes

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -11,90 +11,113 @@ from pyspark.sql import functions as F
 from .common import materialize, text_slices
 
 SCALE, PSEUDO, LEAST_DOCS, TOP = 1_000_000_000, 1, 3, 200
-#: (group, term) counters that a task holds before it writes its tries and begins new ones.
-HELD = 250_000
+#: Bytes of text that a task counts before it writes its tries and begins new ones (or one text).
+HELD = 32 << 20
 #: Numbers in a matrix of terms by groups, or of pairs of groups, that a task holds.
 CELLS = 2_000_000
 _LETTER = set(range(65, 91)) | set(range(97, 123)) | set(range(128, 256))
 #: A byte of a term stays, A-Z in lower case; every other becomes a space.
-_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c in _LETTER else 32 for c in range(256))
+_TERMS = np.array([c + 32 if 65 <= c <= 90 else c if c in _LETTER else 32 for c in range(256)], np.uint8)
 
 
 class RadixTrie:
-    """Byte strings with a list at each leaf. A node is [label, children by first byte, leaf]; children and leaf may be None."""
+    """Byte strings with a value at each leaf. A node is [label, children by first byte, value]; children and value may be None."""
 
     def __init__(self):
         self.root = [b"", None, None]
 
-    def leaf(self, term: bytes) -> list:
-        """The list at term, a new one where there was none."""
+    def put(self, term: bytes, value) -> None:
         node, at = self.root, 0
         while at < len(term):
             if node[1] is None:
                 node[1] = {}
             child = node[1].get(term[at])
             if child is None:
-                child = node[1][term[at]] = [term[at:], None, None]
-            elif not term.startswith(child[0], at):
+                node[1][term[at]] = [term[at:], None, value]
+                return
+            if not term.startswith(child[0], at):
                 label, k = child[0], 1
                 while k < len(label) and at + k < len(term) and label[k] == term[at + k]:
                     k += 1
                 child[0] = label[k:]
                 child = node[1][term[at]] = [label[:k], {label[k]: child}, None]
             node, at = child, at + len(child[0])
-        if node[2] is None:
-            node[2] = []
-        return node[2]
+        node[2] = value
 
     def walk(self):
-        """(term, list) in the order of UTF-8 bytes."""
-        todo = [(self.root, b"")]
+        """The values in the order of their strings' bytes."""
+        todo = [self.root]
         while todo:
-            node, path = todo.pop()
-            path += node[0]
-            if node[2] is not None:
-                yield path, node[2]
-            if node[1]:
-                todo.extend((node[1][b], path) for b in sorted(node[1], reverse=True))
+            _, children, value = todo.pop()
+            if value is not None:
+                yield value
+            if children:
+                todo.extend([children[b] for b in sorted(children, reverse=True)] if len(children) > 1 else children.values())
+
+
+def _words(texts):
+    """(words, the text of each): an Arrow array of the terms of an Arrow array of texts, none of which is cut or joined with another's."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    letters = _TERMS[raw]
+    solid = letters != 32
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    begins = ends[:-1][ends[:-1] < len(raw)]
+    first[begins] = solid[begins]
+    starts = np.flatnonzero(first)
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    if len(starts):
+        np.cumsum(np.add.reduceat(solid, starts, dtype=np.int64), out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters[solid])])
+    return words, np.searchsorted(ends[1:], starts, "right")
 
 
 def _count(batches, number: dict, most: int):
-    """Leaves (lang, term, docs, groups, counts) of this task's tries, a trie a language, in traversal order."""
+    """Leaves (lang, term, docs, groups, counts) of this task's tries, a trie a language, in traversal order.
+
+    A leaf's value is the place of its counters: of documents, and of occurrences by group.
+    """
     import pyarrow as pa
 
     schema = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("groups", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-    words, docs = defaultdict(Counter), defaultdict(Counter)
-
-    def leaves():
-        for lang in sorted(docs):
-            trie = RadixTrie()
-            for term, n in docs[lang].items():
-                trie.leaf(term).append(n)
-            for (of, group), seen in words.items():
-                if of == lang:
-                    for term, n in seen.items():
-                        trie.leaf(term).extend((group, n))
-            part = []
-            for term, x in trie.walk():
-                part.append((lang, term, x[0], x[1::2], x[2::2]))
-                if len(part) == 16_384:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
-                    part = []
-            if part:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
-        words.clear()
-        docs.clear()
+    langs = sorted({k[0] for k in number})
+    tongue = np.zeros(max(number.values(), default=0) + 1, np.int64)
+    for (lang, _), i in number.items():
+        tongue[i] = langs.index(lang)
+    g = len(tongue)
 
     for batch in batches:
-        for a, n in text_slices(batch.column(2)):
+        for a, n in text_slices(batch.column(2), most, batch.num_rows):
             part = batch.slice(a, n)
-            for lang, source, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                own = (text or b"").translate(_TERMS).split()
-                words[lang, number[lang, source]].update(own)
-                docs[lang].update(set(own))
-            if sum(map(len, words.values())) >= most:
-                yield from leaves()
-    yield from leaves()
+            group = np.array([number[k] for k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], np.int64)
+            words, doc = _words(part.column(2))
+            if not len(words):
+                continue
+            coded = words.dictionary_encode()
+            code, d = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            pairs, times = np.unique((tongue[group[doc]] * d + code) * g + group[doc], return_counts=True)
+            once = np.unique(doc * d + code)
+            keys, docs = np.unique(tongue[group[once // d]] * d + once % d, return_counts=True)
+            at = np.searchsorted(pairs // g, np.append(keys, keys[-1] + 1))
+            terms = coded.dictionary.take(pa.array(keys % d)).cast(pa.binary())
+            ends = np.searchsorted(keys // d, np.arange(len(langs) + 1))
+            for i, lang in enumerate(langs):
+                trie, lo, hi = RadixTrie(), ends[i], ends[i + 1]
+                for k, term in enumerate(terms.slice(lo, hi - lo).to_pylist()):
+                    trie.put(term, k)
+                order = lo + np.fromiter(trie.walk(), np.int64)
+                for b in range(0, len(order), 65_536):
+                    o = order[b : b + 65_536]
+                    sizes = at[o + 1] - at[o]
+                    lists = np.append(0, np.cumsum(sizes))
+                    flat = np.repeat(at[o] - lists[:-1], sizes) + np.arange(lists[-1])
+                    counters = [pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(x)) for x in ((pairs[flat] % g).astype(np.int32), times[flat])]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(o), pa.string()), terms.take(pa.array(o)), pa.array(docs[o]), *counters], schema=schema)
 
 
 def _merge(batches):
@@ -208,7 +231,7 @@ def source_divergence(docs: DataFrame, held: int = HELD, cells: int = CELLS) ->
     0 where its language keeps none; an empty table gives an empty result. Whole texts are read; other columns are not,
     whatever their names.
 
-    A task counts into tries and writes their leaves once they hold `held` counters, then begins new ones; leaves are dealt by ranges of (lang, term), so that a frequent prefix is
+    A task counts into tries and writes their leaves after each `held` bytes of text; leaves are dealt by ranges of (lang, term), so that a frequent prefix is
     split, and merged in order. The result has a row for each two sources of a language, so a row for each source is small
     beside it: those (name, N, V) come to the driver and go to all tasks. A task's matrices have at most `cells` numbers; where
     a language's pairs are more, they are taken in stripes.

@@ -12,7 +12,7 @@ from .common import materialize, text_slices
 
 SCALE, PSEUDO, LEAST_DOCS, TOP = 1_000_000_000, 1, 3, 200
 #: Bytes of text that a task counts before it writes its tries and begins new ones (or one text).
-HELD = 32 << 20
+HELD = 10 << 20
 #: Numbers in a matrix of terms by groups, or of pairs of groups, that a task holds.
 CELLS = 2_000_000
 _LETTER = set(range(65, 91)) | set(range(97, 123)) | set(range(128, 256))
@@ -100,8 +100,11 @@ def _count(batches, number: dict, most: int):
                 continue
             coded = words.dictionary_encode()
             code, d = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-            pairs, times = np.unique((tongue[group[doc]] * d + code) * g + group[doc], return_counts=True)
             once = np.unique(doc * d + code)
+            of = group[doc]
+            del words, doc
+            pairs, times = np.unique((tongue[of] * d + code) * g + of, return_counts=True)
+            del of, code
             keys, docs = np.unique(tongue[group[once // d]] * d + once % d, return_counts=True)
             at = np.searchsorted(pairs // g, np.append(keys, keys[-1] + 1))
             terms = coded.dictionary.take(pa.array(keys % d)).cast(pa.binary())

@@ -39,7 +39,7 @@ def odd_rows():
     return rows + [("en", "long", "An ANT " * 30_000)] + rows[:4]
 
 
-@pytest.mark.parametrize("held,cells", [(32 << 20, 2_000_000), (400, 8)])
+@pytest.mark.parametrize("held,cells", [(10 << 20, 2_000_000), (400, 8)])
 def test_divergence(spark, held, cells):
     """Also with tries that are written again and again, and pairs in stripes."""
     rows = odd_rows()

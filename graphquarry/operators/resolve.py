@@ -30,6 +30,11 @@ def last_part(name):
     return F.regexp_extract(name, r"([^.]*)$", 1)
 
 
+def _bound(imports: DataFrame) -> DataFrame:
+    """imports with one row for each name that a file binds."""
+    return imports.groupBy("file", "local").agg(F.max(F.struct("module_file", "original")).alias("b")).select("file", "local", "b.module_file", "b.original")
+
+
 def _claims(sites: DataFrame, local: DataFrame, imports: DataFrame, whole) -> DataFrame:
     """(site, step, target or module_file and names to look up): of each site the first step that applies to it.
 
@@ -37,7 +42,7 @@ def _claims(sites: DataFrame, local: DataFrame, imports: DataFrame, whole) -> Da
     the name ends the search, whether or not its file has the symbol.
     """
     none = F.array().cast("array<string>")
-    i = imports.select(F.col("file").alias("importer"), "local", "module_file", "original").dropDuplicates(["importer", "local"])
+    i = _bound(imports).withColumnRenamed("file", "importer")
     hit = local.select("site", F.struct(F.lit(3).alias("step"), F.lit(0).alias("less")).alias("rank"), "target", F.lit(None).cast("string").alias("module_file"), none.alias("names"))
 
     def bound(d: DataFrame, key, step, names) -> DataFrame:
@@ -77,7 +82,8 @@ def resolve_calls(sites: DataFrame, symbols: DataFrame, imports: DataFrame, inhe
 
     1: super is never resolved. 2: self.x is a method of the caller's class, else of the nearest base. 3: a function or class
     of the same file. 4: the receiver is imported. 5: its longest dotted prefix is. 6: the name itself is. Each step but the
-    third ends the search. imports: (file, local, module_file, original: the name in that file, null for modules).
+    third ends the search. imports: (file, local, module_file, original: the name in that file, null for modules); where a file binds a name twice, and no one says
+    which holds, the greatest by file and name does.
     inherits: (cls, base, line). What an import names may be a symbol of any kind. Receivers are null for plain calls.
     """
     from .symbols import enclosing_class
@@ -104,7 +110,7 @@ def resolve_classes(sites: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     classes = symbols.where("symbol_type = 'class'")
     s = sites.withColumn("bare", last_part("name")).withColumn("receiver", F.when(F.col("name").contains("."), F.regexp_replace("name", r"\.[^.]*$", "")))
     local = _in_file(s, symbols, ["class"]).select("site", F.lit(3).alias("step"), "target")
-    i = imports.select(F.col("file").alias("importer"), F.col("local").alias("bare"), "module_file", F.coalesce("original", "local").alias("want")).dropDuplicates(["importer", "bare"])
+    i = _bound(imports).select(F.col("file").alias("importer"), F.col("local").alias("bare"), "module_file", F.coalesce("original", "local").alias("want"))
     c = classes.select(F.col("id").alias("target"), F.col("file").alias("module_file"), F.col("name").alias("want"), "line_start")
     named = s.join(i, (F.col("file") == F.col("importer")) & (s["bare"] == i["bare"])).join(c, ["module_file", "want"])
     named = named.groupBy("site").agg(F.min_by("target", F.struct("line_start", "target")).alias("target")).select("site", F.lit(4).alias("step"), "target")

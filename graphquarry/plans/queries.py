@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -18,9 +19,11 @@ from ..operators import incremental as I
 from ..operators import indexes as X
 from ..operators import linkgraph as L
 from ..operators import resolve as R
+from ..operators import symbol_build as Z
 from ..operators import symbols as Y
 from ..operators import text as T
 from ..operators import traverse as V
+from ..sources import python_code as P
 from ..sources.views import Views
 from .oracle_views import complete
 
@@ -709,6 +712,87 @@ def link_graph_texts(v):
     return B.full_build(*_parsed(v))["texts"].select("path", "body")
 
 
+# the symbol graph from source files
+
+
+def _python_files(v, tail=""):
+    """A Python file a supplier: class and function import those of half its number; tail: what every fifth file has at its end."""
+    t = v.table("supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+    n = {"s": F.col("s"), "k": F.floor(F.col("s") / 2), "j": F.floor(F.col("s") / 3)}
+    base = F.when(F.col("s") % 10 == 1, "    def base(self):\n        return 0\n").otherwise("\n\n")
+    text = """from pkg.m{k} import C{k}, f{k} as g
+import pkg.m{j} as mj
+
+
+class C{s}(C{k}):
+    part: list[C{k}]
+    size: int
+
+    def __init__(self) -> None:
+        self.other: mj.X = None
+        self.own: C{s} | None = None
+
+    def run(self):
+        self.run{s}()
+        self.base()
+
+    def run{s}(self):
+        g()
+        mj.f{j}()
+        unknown.call()
+
+{base}
+
+def f{s}(flag):
+    if flag:
+        C{k}()
+    Cx()
+    return f{s}(flag)
+"""
+    parts = [base if x == "{base}" else n[x[1]].cast("string") if x[0] == "{" else F.lit(x) for x in re.split(r"(\{\w+\})", text) if x]
+    end = F.when(F.col("s") % 5 == 0, tail).otherwise("")
+    return t.select(F.concat(F.lit("src/pkg/m"), F.col("s").cast("string"), F.lit(".py")).alias("path"), F.concat(*parts, end).alias("text"))
+
+
+def _symbol_graph(v):
+    files = _python_files(v)
+    return Z.symbol_graph(P.python_facts(files), files.select(F.col("path").alias("file")))
+
+
+def _named_ends(v, table, a, b):
+    s = _symbol_graph(v)
+    q = s["symbols"].select("id", "qualified_name")
+    d = s[table].join(q.withColumnsRenamed({"id": a, "qualified_name": "from"}), a)
+    return d if b is None else d.join(q.withColumnsRenamed({"id": b, "qualified_name": "to"}), b)
+
+
+_FILES = """s AS (SELECT CAST(s_suppkey AS BIGINT) AS s, CAST(s_suppkey AS BIGINT) // 2 AS k, CAST(s_suppkey AS BIGINT) // 3 AS j FROM supplier),
+up AS (SELECT s, s AS owner, 0 AS d FROM s UNION SELECT up.s, owner // 2, d + 1 FROM up JOIN s ON s.s = up.owner // 2 WHERE owner % 10 <> 1 AND d < 40),
+b AS (SELECT s, arg_min(owner, d) AS owner FROM up WHERE owner % 10 = 1 GROUP BY s)"""
+
+
+@query(f"""WITH RECURSIVE {_FILES}
+SELECT printf('pkg.m%d.C%d.run', s, s) AS "from", printf('pkg.m%d.C%d.run%d', s, s, s) AS "to", 14::BIGINT AS line FROM s UNION ALL SELECT printf('pkg.m%d.C%d.run', s, s), printf('pkg.m%d.C%d.base', owner, owner), 15 FROM b
+UNION ALL SELECT printf('pkg.m%d.C%d.run%d', s, s, s), printf('pkg.m%d.f%d', k, k), 18 FROM s WHERE k IN (SELECT s FROM s) UNION ALL SELECT printf('pkg.m%d.C%d.run%d', s, s, s), printf('pkg.m%d.f%d', j, j), 19 FROM s WHERE j IN (SELECT s FROM s)
+UNION ALL SELECT printf('pkg.m%d.f%d', s, s), printf('pkg.m%d.C%d', k, k), 28 FROM s WHERE k IN (SELECT s FROM s) UNION ALL SELECT printf('pkg.m%d.f%d', s, s), printf('pkg.m%d.f%d', s, s), 30 FROM s""")
+def symbol_build_calls(v):
+    return _named_ends(v, "calls", "caller", "callee").select("from", "to", "line")
+
+
+@query(f"""WITH RECURSIVE {_FILES}, e AS (SELECT s, 'call' AS n, 20 AS line FROM s) SELECT printf('pkg.m%d.C%d.run%d', s, s, s) AS "from", 'unknown.call' AS callee_name, 20::BIGINT AS line FROM s UNION ALL SELECT printf('pkg.m%d.C%d.run', s, s), 'self.base', 15 FROM s WHERE s NOT IN (SELECT s FROM b)
+UNION ALL SELECT printf('pkg.m%d.f%d', s, s), 'Cx', 29 FROM s UNION ALL SELECT printf('pkg.m%d.C%d.run%d', s, s, s), 'g', 18 FROM s WHERE k NOT IN (SELECT s FROM s) UNION ALL SELECT printf('pkg.m%d.C%d.run%d', s, s, s), 'mj.f' || j, 19 FROM s WHERE j NOT IN (SELECT s FROM s)
+UNION ALL SELECT printf('pkg.m%d.f%d', s, s), 'C' || k, 28 FROM s WHERE k NOT IN (SELECT s FROM s)""")
+def symbol_build_unresolved(v):
+    return _named_ends(v, "unresolved_calls", "caller", None).select("from", "callee_name", "line")
+
+
+@query(f"""WITH {_FILES}, x AS (SELECT * FROM s WHERE k IN (SELECT s FROM s))
+SELECT printf('pkg.m%d.C%d', s, s) AS "from", printf('pkg.m%d.C%d', k, k) AS "to", 'inherits' AS edge_type, 5::BIGINT AS line FROM x UNION ALL SELECT printf('pkg.m%d.C%d', s, s), printf('pkg.m%d.C%d', k, k), 'composes', 6 FROM x
+UNION ALL SELECT printf('pkg.m%d.C%d', s, s), printf('pkg.m%d.C%d', s, s), 'composes', 11 FROM s UNION ALL SELECT printf('pkg.m%d.f%d', s, s), printf('pkg.m%d.C%d', k, k), 'instantiates', 28 FROM x""")
+def symbol_build_class_edges(v):
+    return _named_ends(v, "class_edges", "source", "target").select("from", "to", "edge_type", "line")
+
+
 # more of the symbol graph and the indexes
 
 

@@ -126,13 +126,18 @@ def same_file_only(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     return sites.join(s, (F.col("file") == F.col("f")) & (last_part("name") == F.col("n")), "left").select("site", "target")
 
 
-def promoted(unresolved_calls: DataFrame, new: DataFrame) -> DataFrame:
-    """Unresolved calls (caller, callee_name, line) that the symbols of a refreshed file (id, name) resolve: by the whole name or its last part.
+def promoted(unresolved_calls: DataFrame, new: DataFrame, symbols: DataFrame, imports: DataFrame, inherits: DataFrame) -> DataFrame:
+    """(caller, callee, line, callee_name): unresolved calls (caller, callee_name, line, context) that the symbols of a refreshed file now answer.
 
-    Of several symbols of a name the smallest id counts.
+    New functions, methods and classes are looked for among the calls by the last part of the name; what is found goes through
+    resolve_calls again, over all symbols, imports and inherits as they are now, so a like name alone answers nothing.
     """
-    n = new.groupBy(F.col("name").alias("n")).agg(F.min("id").alias("callee"))
-    return unresolved_calls.join(n, last_part("callee_name") == F.col("n")).select("caller", "callee", "line", "callee_name")
+    names = new.where("symbol_type IN ('function', 'method', 'class')").select(F.col("name").alias("bare")).distinct()
+    asked = unresolved_calls.withColumn("bare", last_part("callee_name")).join(names, "bare", "left_semi")
+    asked = asked.join(symbols.select(F.col("id").alias("caller"), "file"), "caller").withColumn("site", F.xxhash64("caller", "callee_name", "line", F.coalesce("context", F.lit(""))))
+    sites = asked.select("site", "file", "caller", F.col("context").alias("receiver"), F.col("callee_name").alias("name")).distinct()
+    found = resolve_calls(sites, symbols, imports, inherits).where("target IS NOT NULL").select("site", F.col("target").alias("callee"))
+    return asked.join(found, "site").select("caller", "callee", "line", "callee_name").distinct()
 
 
 def concept_refs(names: DataFrame, key: str, concepts: DataFrame, aliases: DataFrame, top: str = ".kb/concepts") -> DataFrame:

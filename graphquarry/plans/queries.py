@@ -23,6 +23,7 @@ from ..operators import symbol_build as Z
 from ..operators import symbols as Y
 from ..operators import text as T
 from ..operators import traverse as V
+from ..operators.symbol_delta import SymbolStore
 from ..sources import python_code as P
 from ..sources.views import Views
 from .oracle_views import complete
@@ -599,12 +600,6 @@ def resolve_same_file_only(v):
     return R.same_file_only(_sites(v)[0], v.symbols)
 
 
-@query("""SELECT c.caller, n.callee, c.line, 'mod.' || b.name AS callee_name FROM calls c JOIN symbols b ON b.id = c.callee JOIN (SELECT name, min(id) AS callee FROM symbols WHERE file = 'Brand#11' GROUP BY name) n ON n.name = b.name""")
-def promoted_calls(v):
-    b = v.symbols.select(F.col("id").alias("callee"), F.concat(F.lit("mod."), "name").alias("callee_name"))
-    return R.promoted(v.calls.join(b, "callee").select("caller", "callee_name", "line"), v.symbols.where("file = 'Brand#11'").select("id", "name"))
-
-
 @query("""WITH n AS (SELECT lower(r_name) AS name FROM region UNION ALL SELECT printf('cn-%03d', CAST(r_regionkey AS INT)) FROM region UNION ALL SELECT 'Nowhere') SELECT n.name, coalesce(a.path, '.kb/concepts/' || n.name || '.md') AS path, a.path IS NULL AS is_stub FROM n LEFT JOIN artifacts a ON a.kind = 'concept' AND (lower(a.title) = lower(n.name) OR lower(a.code) = lower(n.name))""")
 def concept_ref_resolution(v):
     r = v.table("region")
@@ -766,15 +761,17 @@ def _named_ends(v, table, a, b):
     return d if b is None else d.join(q.withColumnsRenamed({"id": b, "qualified_name": "to"}), b)
 
 
-_FILES = """s AS (SELECT CAST(s_suppkey AS BIGINT) AS s, CAST(s_suppkey AS BIGINT) // 2 AS k, CAST(s_suppkey AS BIGINT) // 3 AS j FROM supplier),
+_FILES = """s AS (SELECT CAST(s_suppkey AS BIGINT) AS s, CAST(s_suppkey AS BIGINT) // 2 AS k, CAST(s_suppkey AS BIGINT) // 3 AS j FROM supplier WHERE true),
 up AS (SELECT s, s AS owner, 0 AS d FROM s UNION SELECT up.s, owner // 2, d + 1 FROM up JOIN s ON s.s = up.owner // 2 WHERE owner % 10 <> 1 AND d < 40),
 b AS (SELECT s, arg_min(owner, d) AS owner FROM up WHERE owner % 10 = 1 GROUP BY s)"""
 
 
-@query(f"""WITH RECURSIVE {_FILES}
-SELECT printf('pkg.m%d.C%d.run', s, s) AS "from", printf('pkg.m%d.C%d.run%d', s, s, s) AS "to", 14::BIGINT AS line FROM s UNION ALL SELECT printf('pkg.m%d.C%d.run', s, s), printf('pkg.m%d.C%d.base', owner, owner), 15 FROM b
+_CALLS = """SELECT printf('pkg.m%d.C%d.run', s, s) AS "from", printf('pkg.m%d.C%d.run%d', s, s, s) AS "to", 14::BIGINT AS line FROM s UNION ALL SELECT printf('pkg.m%d.C%d.run', s, s), printf('pkg.m%d.C%d.base', owner, owner), 15 FROM b
 UNION ALL SELECT printf('pkg.m%d.C%d.run%d', s, s, s), printf('pkg.m%d.f%d', k, k), 18 FROM s WHERE k IN (SELECT s FROM s) UNION ALL SELECT printf('pkg.m%d.C%d.run%d', s, s, s), printf('pkg.m%d.f%d', j, j), 19 FROM s WHERE j IN (SELECT s FROM s)
-UNION ALL SELECT printf('pkg.m%d.f%d', s, s), printf('pkg.m%d.C%d', k, k), 28 FROM s WHERE k IN (SELECT s FROM s) UNION ALL SELECT printf('pkg.m%d.f%d', s, s), printf('pkg.m%d.f%d', s, s), 30 FROM s""")
+UNION ALL SELECT printf('pkg.m%d.f%d', s, s), printf('pkg.m%d.C%d', k, k), 28 FROM s WHERE k IN (SELECT s FROM s) UNION ALL SELECT printf('pkg.m%d.f%d', s, s), printf('pkg.m%d.f%d', s, s), 30 FROM s"""
+
+
+@query(f"WITH RECURSIVE {_FILES} {_CALLS}")
 def symbol_build_calls(v):
     return _named_ends(v, "calls", "caller", "callee").select("from", "to", "line")
 
@@ -793,6 +790,45 @@ def symbol_build_class_edges(v):
     return _named_ends(v, "class_edges", "source", "target").select("from", "to", "edge_type", "line")
 
 
+@query(f"""WITH RECURSIVE {_FILES.replace('WHERE true', 'WHERE s_suppkey % 11 <> 5')} {_CALLS} UNION ALL SELECT printf('pkg.m%d.extra', s, s), printf('pkg.m%d.f%d', k, k), 32 FROM s WHERE s % 5 = 0 AND k IN (SELECT s FROM s)""")
+def symbol_refresh_calls(v):
+    """A stored graph after a seventh of the files came, a fifth got one more function and an eleventh went."""
+    number = F.regexp_extract("path", r"m(\d+)\.py", 1).try_cast("int")
+    files, later = _python_files(v), _python_files(v, "def extra():\n    g()\n")
+    first = files.where(number % 7 != 3)
+    store = SymbolStore(v.spark, f"{V.shared_folder(v.spark)}/symbols-{uuid.uuid4().hex}", buckets=16)
+    store.build(P.python_facts(first), first.select(F.col("path").alias("file")))
+    new = later.where(((number % 7 == 3) | (number % 5 == 0)) & (number % 11 != 5))
+    gone = first.where(number % 11 == 5).select(F.col("path").alias("file"))
+    store.refresh(P.python_facts(new), new.select(F.col("path").alias("file")), gone)
+    t = store.tables()
+    q = t["symbols"].select("id", "qualified_name")
+    d = t["calls"].join(q.withColumnsRenamed({"id": "caller", "qualified_name": "from"}), "caller").join(q.withColumnsRenamed({"id": "callee", "qualified_name": "to"}), "callee")
+    return d.select("from", "to", "line")
+
+
+@query(f"""WITH RECURSIVE {_FILES}, oldest AS (SELECT s, s AS owner, 0 AS d FROM s WHERE s % 7 <> 3 UNION SELECT o.s, owner // 2, d + 1 FROM oldest o JOIN s ON s.s = o.owner // 2 WHERE owner % 10 <> 1 AND d < 40 AND s.s % 7 <> 3)
+SELECT printf('pkg.m%d.C%d.run%d', s, s, s) AS "from", printf('pkg.m%d.f%d', j, j) AS "to", 19::BIGINT AS line FROM s WHERE s % 7 <> 3 AND j % 7 = 3 AND j IN (SELECT s FROM s)
+UNION ALL SELECT printf('pkg.m%d.f%d', s, s), printf('pkg.m%d.C%d', k, k), 28 FROM s WHERE s % 7 <> 3 AND k % 7 = 3 AND k IN (SELECT s FROM s)
+UNION ALL SELECT printf('pkg.m%d.C%d.run', s, s), printf('pkg.m%d.C%d.base', owner, owner), 15 FROM b WHERE s % 7 <> 3 AND s NOT IN (SELECT s FROM oldest WHERE owner % 10 = 1) AND EXISTS (SELECT 1 FROM s x WHERE x.s % 7 = 3 AND x.s % 10 = 1)""")
+def promoted_calls(v):
+    """What the symbols of a seventh of the files answer of the calls that the others' graph leaves open."""
+    number = F.regexp_extract("path", r"m(\d+)\.py", 1).try_cast("int")
+    files = _python_files(v)
+    first, names = files.where(number % 7 != 3), files.select(F.col("path").alias("file"))
+    before = Z.symbol_graph(P.python_facts(first), first.select(F.col("path").alias("file")))
+    facts = V.cut(P.python_facts(files))
+    symbols = V.cut(Z.symbols_of(facts))
+    imports = V.cut(Z.bindings(facts, names))
+    sites = V.cut(Z.sites_of(facts, symbols))
+    inherits = Z.inherits_of(sites, Z.class_targets(sites, symbols, imports))
+    new = symbols.where(F.regexp_extract("file", r"m(\d+)\.py", 1).try_cast("int") % 7 == 3)
+    d = R.promoted(V.cut(before["unresolved_calls"]), new, symbols, imports, V.cut(inherits))
+    q = symbols.select("id", "qualified_name")
+    d = d.join(q.withColumnsRenamed({"id": "caller", "qualified_name": "from"}), "caller").join(q.withColumnsRenamed({"id": "callee", "qualified_name": "to"}), "callee")
+    return d.select("from", "to", "line")
+
+
 # more of the symbol graph and the indexes
 
 

@@ -22,9 +22,9 @@ class Snapshot:
     second one's rename fails. A manifest has tables times buckets numbers, whatever the size of the tables.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, tuple[str, str]], buckets: int = 64):
-        """tables: name -> (key column, schema)."""
-        self.spark, self.folder, self.tables = spark, folder.rstrip("/"), tables
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, tuple[str, str]], buckets: int = 64, order: dict[str, list[str]] | None = None):
+        """tables: name -> (key column, schema); order: name -> columns that its files are sorted by, for reads that skip row groups."""
+        self.spark, self.folder, self.tables, self.order = spark, folder.rstrip("/"), tables, order or {}
         hadoop = spark._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -85,8 +85,9 @@ class Snapshot:
             if touched == []:
                 continue
             path = f"{self.folder}/{table}/{mark}"
-            # a task for each bucket would make one large file of it; by the bucket and a salt a large one is shared out
-            rows.withColumn("bucket", self.bucket(key)).repartition("bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(4))).write.partitionBy("bucket").parquet(path)
+            # AQE shares out a bucket that is large, as that of a key with very many rows
+            dealt = rows.withColumn("bucket", self.bucket(key)).hint("rebalance", F.col("bucket"))
+            dealt.sortWithinPartitions("bucket", *self.order.get(table, [])).write.partitionBy("bucket").parquet(path)
             new = {f.getPath().getName()[7:] for f in self._fs.listStatus(self._path(path)) if f.getPath().getName().startswith("bucket=")}
             gone = set(map(str, touched)) if touched is not None else set(manifest["tables"].get(table, {}))
             manifest["tables"][table] = {b: v for b, v in manifest["tables"].get(table, {}).items() if b not in gone} | dict.fromkeys(new, mark)

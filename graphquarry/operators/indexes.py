@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.norm import ancestors, glob_regex, glob_specificity, norm_concept, norm_tag
+from ..functions.norm import ancestors, norm_concept, strip
+from .globs import glob_hits, glob_rules
 
 
 def find_concept(concepts: DataFrame, name: str) -> DataFrame:
@@ -47,30 +48,32 @@ def by_title(rows: DataFrame) -> DataFrame:
 
 
 def by_tag(rows: DataFrame, tag: str) -> DataFrame:
-    return by_title(rows).where(F.exists("tags", lambda t: norm_tag(t) == norm_tag(F.lit(tag)))).orderBy("title")
+    return by_title(rows).where(F.exists("tags", lambda t: F.lower(strip(t)) == tag.strip().lower())).orderBy("title")
 
 
 def by_trigger(files: DataFrame, playbooks: DataFrame) -> DataFrame:
-    """(file, title, specificity): playbooks (title, globs) with a glob that a file matches; the most special glob counts."""
-    g = playbooks.select("title", F.explode("globs").alias("glob")).select("title", glob_regex("glob").alias("re"), glob_specificity("glob").alias("s"))
-    # a match by pattern has no equality to join on: the side of the globs, a list that people write, goes to each task
-    hit = files.select("file").join(g, F.expr("file RLIKE re"))
-    return hit.groupBy("file", "title").agg(F.max("s").alias("specificity")).orderBy("file", F.desc("specificity"), "title")
+    """(file, title, specificity): playbooks (title, globs) with a glob that a file matches, as an ignore file's pattern would; the most special glob counts."""
+    rules = glob_rules(playbooks.select("title", F.explode("globs").alias("pattern"))).where("NOT negated")
+    hit = glob_hits(files.select("file").distinct(), rules, "file")
+    special = F.size(F.filter(F.split(F.regexp_replace("pattern", "^/+|/+$", ""), "/"), lambda s: s != "**"))
+    return hit.groupBy("file", "title").agg(F.max(special).alias("specificity")).orderBy("file", F.desc("specificity"), "title")
 
 
 def by_any_scope(paths: DataFrame, rules: DataFrame, roots: list[str]) -> DataFrame:
-    """(path, root, rule): rules (rule, scopes: array, status) that hold for paths below several roots (an ordered list that a caller names).
+    """(path, root, rule): rules (rule, scopes: array) that hold for paths below several roots (an ordered list that a caller names).
 
-    A path belongs to the first root that holds it; a scope "." always holds, others for paths at or below them, from the
-    top or from the path's root. Deprecated rules are left out.
+    A path belongs to the first root that holds it. A scope "." or "project" always holds, others where they are the path or a
+    directory above it that is not above the root; slashes at their ends do not count. A rule's status does not matter.
     """
+    flat = lambda x: F.regexp_replace(x, "^/+|/+$", "")
     below = lambda p, d: (d == ".") | (p == d) | p.startswith(F.concat(d, F.lit("/")))
-    owner = F.coalesce(*[F.when(below(F.col("path"), F.lit(r)), F.lit(r)) for r in roots]) if roots else F.lit(None).cast("string")
-    dirs = paths.select("path", owner.alias("root")).where("root IS NOT NULL")
-    inner = F.when(F.col("root") == ".", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
-    dirs = dirs.withColumn("dir", F.explode(F.array_distinct(F.concat(ancestors("path"), ancestors(inner)))))
-    r = rules.where("status <> 'deprecated'").select("rule", F.explode("scopes").alias("dir"))
-    r = r.withColumn("dir", F.when(F.col("dir") == "project", ".").otherwise(F.regexp_replace("dir", "/+$", "")))
+    tops = [r.strip("/") or "." for r in roots]
+    owner = F.coalesce(*[F.when(below(flat("path"), F.lit(t)), F.lit(r)) for r, t in zip(roots, tops, strict=True)]) if roots else F.lit(None).cast("string")
+    top = F.when(flat("root") == "", F.lit(".")).otherwise(flat("root"))
+    dirs = paths.select("path", owner.alias("root")).where("root IS NOT NULL").withColumn("top", top).withColumn("dir", F.explode(ancestors(flat("path"))))
+    dirs = dirs.where((F.col("dir") == ".") | below(F.col("dir"), F.col("top"))).drop("top")
+    r = rules.select("rule", F.explode("scopes").alias("dir"))
+    r = r.withColumn("dir", F.when(F.col("dir").isin("project", ".") | (flat("dir") == ""), ".").otherwise(flat("dir")))
     return dirs.join(r, "dir").select("path", "root", "rule").distinct()
 
 
@@ -84,7 +87,7 @@ def posts_by(posts: DataFrame, tag: str | None = None, status: str | None = None
     """Posts (tags, concepts, files: arrays; status, resolution_type) that have all that is asked; scope: a file that starts with it."""
     hit = F.lit(True)
     if tag is not None:
-        hit = hit & F.exists("tags", lambda t: norm_tag(t) == norm_tag(F.lit(tag)))
+        hit = hit & F.exists("tags", lambda t: F.lower(t) == tag.strip().lower())
     if status is not None:
         hit = hit & (F.col("status") == status)
     if concept is not None:

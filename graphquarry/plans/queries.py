@@ -15,6 +15,7 @@ from ..functions.text_udf import stem
 from ..operators import build as B
 from ..operators import checks as K
 from ..operators import delta as D
+from ..operators import globs as G
 from ..operators import incremental as I
 from ..operators import indexes as X
 from ..operators import linkgraph as L
@@ -23,6 +24,7 @@ from ..operators import symbol_build as Z
 from ..operators import symbols as Y
 from ..operators import text as T
 from ..operators import traverse as V
+from ..operators.close import close_matches
 from ..operators.symbol_delta import SymbolStore
 from ..operators.text_index import TextIndex
 from ..sources import python_code as P
@@ -413,6 +415,13 @@ def resolve_priority_chain(v):
     return R.by_priority(names, "name", R.wikilink_targets(v.artifacts, v.aliases, ["convention", "concept", "playbook"])).select("name", "kind", "target")
 
 
+@query()
+def link_suggestions(v):
+    """Up to three close titles for each misspelt name: parts' names without their second letter."""
+    names = v.table("part").select(F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)"), F.lit("s")).alias("name"))
+    return close_matches(names, v.table("part").select(F.col("p_name").alias("name")).union(v.table("nation").select("n_name")))
+
+
 @query()
 def did_you_mean(v):
     return T.suggestions(v.symbols.select("name"), "red wigdet")
@@ -908,11 +917,31 @@ def members_from_definitions(v):
     return Y.members_from(enums, p.where("p_size % 2 = 1").select("symbol", F.lit("C").alias("name"), F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("value")))
 
 
-@query("""WITH p AS (SELECT DISTINCT directory AS path FROM rules), r AS (SELECT page_id AS rule, directory AS dir FROM rules WHERE status <> 'deprecated' UNION SELECT page_id, '.' FROM rules WHERE status <> 'deprecated' AND priority = 6)
-SELECT DISTINCT p.path, '.' AS root, r.rule FROM p JOIN r ON r.dir = '.' OR p.path = r.dir OR starts_with(p.path, r.dir || '/')""")
+@query("""WITH d AS (SELECT DISTINCT directory AS path FROM rules), t AS (SELECT min(path) AS a, split_part(max(path), '/', 1) AS b FROM d),
+p AS (SELECT path, CASE WHEN path = a OR starts_with(path, a || '/') THEN a WHEN path = b OR starts_with(path, b || '/') THEN b ELSE '.' END AS root FROM d, t),
+r AS (SELECT page_id AS rule, directory AS dir FROM rules UNION SELECT page_id, '.' FROM rules WHERE priority = 6 UNION SELECT page_id, split_part(directory, '/', 1) FROM rules WHERE priority > 2)
+SELECT DISTINCT p.path, p.root, r.rule FROM p JOIN r ON r.dir = '.' OR (p.path = r.dir OR starts_with(p.path, r.dir || '/')) AND (p.root = '.' OR r.dir = p.root OR starts_with(r.dir, p.root || '/'))""")
 def rules_by_any_scope(v):
-    scopes = F.when(F.col("priority") == 6, F.array("directory", F.lit("."))).otherwise(F.array("directory"))
-    return X.by_any_scope(v.rules.select(F.col("directory").alias("path")).distinct(), v.rules.select(F.col("page_id").alias("rule"), scopes.alias("scopes"), "status"), ["none", "."])
+    """Below a directory, a host and all: a rule of a whole host holds where the host is the root or lies below it."""
+    host = F.split("directory", "/")[0]
+    scopes = F.when(F.col("priority") == 6, F.array("directory", F.lit("."), host)).when(F.col("priority") > 2, F.array("directory", F.concat(F.lit("/"), host, F.lit("/")))).otherwise(F.array("directory"))
+    ends = v.rules.agg(F.min("directory").alias("a"), F.max("directory").alias("b")).first()
+    return X.by_any_scope(v.rules.select(F.col("directory").alias("path")).distinct(), v.rules.select(F.col("page_id").alias("rule"), scopes.alias("scopes")), [ends["a"], ends["b"].split("/")[0] + "/", "."]).withColumn("root", F.regexp_replace("root", "/$", ""))
+
+
+_TREE = "SELECT 'src/d' || (p_size % 7) || '/' || p_brand || '/' || p_partkey || CASE p_size % 3 WHEN 0 THEN '.log' WHEN 1 THEN '.py' ELSE '/build/out.o' END AS path, p_size % 7 AS d, p_partkey AS k, p_size % 3 AS e, p_brand FROM part"
+
+
+@query(f"SELECT path FROM ({_TREE}) WHERE NOT (e = 0 AND k::VARCHAR NOT LIKE '1%' OR e = 1 AND d = 3 OR e = 2 OR d = 5 AND p_brand LIKE 'Brand#1%')")
+def tree_without_ignored(v):
+    """Files that a walk finds: without what a list, the ignore file of a directory and a second list leave out."""
+    k = F.col("p_partkey").cast("string")
+    end = F.when(F.col("p_size") % 3 == 0, ".log").when(F.col("p_size") % 3 == 1, ".py").otherwise("/build/out.o")
+    files = v.table("part").select(F.concat(F.lit("src/d"), (F.col("p_size") % 7).cast("string"), F.lit("/"), "p_brand", F.lit("/"), k, end).alias("path"))
+    text = v.spark.createDataFrame([("src/d3/.gitignore", "# local\n*.py\n!none.py\n")], "path string, text string")
+    lists = v.spark.createDataFrame([("a", 0, "*.log"), ("a", 1, "!1*.log"), ("b", 0, "**/build/"), ("b", 1, "/src/d5/Brand#1*/")], "layer string, pos int, pattern string")
+    lines = G.ignore_lines(text).union(lists.select("layer", F.lit(".").alias("directory"), "pos", "pattern"))
+    return G.reachable(files, lines)
 
 
 @query("SELECT DISTINCT file AS directory, 'any' AS title, 2 AS specificity FROM symbols WHERE file LIKE 'Brand#1%'")

@@ -18,6 +18,7 @@ from ..operators import delta as D
 from ..operators import globs as G
 from ..operators import incremental as I
 from ..operators import indexes as X
+from ..operators import js as J
 from ..operators import linkgraph as L
 from ..operators import resolve as R
 from ..operators import symbol_build as Z
@@ -871,6 +872,40 @@ def promoted_calls(v):
     return d.select("from", "to", "line")
 
 
+def _js_files(v):
+    """A TypeScript or JavaScript file a supplier, some as a folder's index; it imports those of half and a third of its number. And the path mappings."""
+    t = v.table("supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+    s, k, j = (F.floor(F.col("s") / n).cast("string") for n in (1, 2, 3))
+    kind = F.col("s") % 3
+    path = F.when(kind == 0, F.concat(F.lit("src/m"), s, F.lit(".ts"))).when(kind == 1, F.concat(F.lit("src/m"), s, F.lit("/index.tsx"))).otherwise(F.concat(F.lit("src/m"), s, F.lit(".js")))
+    text = F.concat(F.lit("import { C"), k, F.lit(", f as g } from '"), F.when(kind == 1, "../m").otherwise("./m"), k, F.lit("'\nimport * as ns from \"@/m"), j, F.lit("\"\nimport x from 'vendor'\n"))
+    config = v.spark.createDataFrame([('{"compilerOptions": {"baseUrl": "./src", /* two */ "paths": {"#/*": ["none/*"], "@/*": ["lib/*", "*"]}}}',)], "text string")
+    return t.select("s", path.alias("path"), text.alias("text")), J.ts_paths(config)
+
+
+_JS = "s AS (SELECT CAST(s_suppkey AS BIGINT) AS s, 'src/m' || s_suppkey || CASE s_suppkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.tsx' ELSE '.js' END AS path FROM supplier)"
+
+
+@query(f"""WITH {_JS} SELECT a.path AS file, CASE a.s % 3 WHEN 1 THEN '../m' ELSE './m' END || b.s AS specifier, b.path AS module_file FROM s a JOIN s b ON b.s = a.s // 2 UNION ALL SELECT a.path, '@/m' || b.s, b.path FROM s a JOIN s b ON b.s = a.s // 3""")
+def js_module_files(v):
+    files, paths = _js_files(v)
+    return J.js_modules(J.js_imports(files), files, paths)
+
+
+@query(f"""WITH {_JS} SELECT a.s * 10 + 1 AS site, CASE WHEN b.s IS NOT NULL THEN b.s * 2 + 1 END AS target FROM s a LEFT JOIN s b ON b.s = a.s // 2 UNION ALL SELECT a.s * 10 + 2, CASE WHEN b.s IS NOT NULL THEN b.s * 2 END FROM s a LEFT JOIN s b ON b.s = a.s // 3
+UNION ALL SELECT s * 10 + 3, NULL FROM s UNION ALL SELECT s * 10 + 4, s * 2 FROM s""")
+def js_call_targets(v):
+    files, paths = _js_files(v)
+    imports = J.js_imports(files)
+    b = J.js_bindings(imports, J.js_modules(imports, files, paths))
+    n = lambda c, x: F.concat(F.lit(c), x.cast("string"))
+    s, at = F.col("s"), lambda k, r, x: F.struct((F.col("s") * 10 + k).alias("site"), F.lit(r).cast("string").alias("receiver"), x.alias("name"))
+    calls = F.array(at(1, None, n("C", F.floor(s / 2))), at(2, "ns", n("ns.f", F.floor(s / 3))), at(3, None, F.lit("g")), at(4, "this", n("this.f", s)))
+    sites = files.select(F.col("path").alias("file"), F.inline(calls))
+    own = F.array(F.struct((s * 2).alias("id"), n("f", s).alias("name"), F.lit("function").alias("symbol_type"), F.lit(1).alias("line_start")), F.struct((s * 2 + 1).alias("id"), n("C", s).alias("name"), F.lit("class").alias("symbol_type"), F.lit(9).alias("line_start")))
+    return J.js_calls(sites, files.select(F.col("path").alias("file"), F.inline(own)), b)
+
+
 # more of the symbol graph and the indexes
 
 

@@ -629,9 +629,9 @@ def resolve_calls_ranked(v):
     return R.resolve_calls(sites, v.symbols, imports, inherits)
 
 
-@query(f"""WITH {_SITES}, cs AS (SELECT DISTINCT site, file, CASE r WHEN 4 THEN 'p.' || bf || '.' || name ELSE name END AS full_, name, bf, r FROM site), loc AS (SELECT file, name, min(id) AS id FROM symbols WHERE symbol_type = 'class' GROUP BY 1, 2)
+@query(f"""WITH {_SITES}, cs AS (SELECT DISTINCT site, file, name, CASE r WHEN 4 THEN 'p.' || bf END AS prefix FROM site), loc AS (SELECT file, name, min(id) AS id FROM symbols WHERE symbol_type = 'class' GROUP BY 1, 2)
 SELECT cs.site, coalesce(l.id, n.id, w.id) AS target, CASE WHEN l.id IS NOT NULL THEN 3 WHEN n.id IS NOT NULL THEN 4 ELSE 5 END AS step FROM cs LEFT JOIN loc l ON l.file = cs.file AND l.name = cs.name LEFT JOIN imp i ON i.file = cs.file AND i.local = cs.name LEFT JOIN loc n ON n.file = i.mf AND n.name = cs.name
-LEFT JOIN imp p ON cs.r = 4 AND p.file = cs.file AND p.local = 'p.' || cs.bf LEFT JOIN loc w ON w.file = p.mf AND w.name = cs.name WHERE coalesce(l.id, n.id, w.id) IS NOT NULL""")
+LEFT JOIN imp p ON p.file = cs.file AND p.local = cs.prefix LEFT JOIN loc w ON w.file = p.mf AND w.name = cs.name WHERE coalesce(l.id, n.id, w.id) IS NOT NULL""")
 def resolve_class_names(v):
     sites, imports = _sites(v)
     full = F.when(F.col("receiver").startswith("p."), F.concat(F.regexp_replace("receiver", r"\.x$", "."), "name")).otherwise(F.col("name"))

@@ -57,7 +57,7 @@ def ignored(config: list[str], folders: dict[str, list[str]] | None = None, own:
 
 
 def front_matter(text):
-    """(fields, body) of a text Column: simple `key: value` lines and lists between --- lines; null fields if there are none."""
+    """(fields, lists, body) of a text Column: `key: value` lines and lists between --- lines; null fields if there are none. An indented key is named after the one above it, as `refs.files`."""
 
     @F.pandas_udf("fields map<string,string>, lists map<string,array<string>>, body string")
     def run(s: pd.Series) -> pd.DataFrame:
@@ -67,12 +67,13 @@ def front_matter(text):
             if not m:
                 rows.append((None, None, t))
                 continue
-            fields, lists, key = {}, {}, None
+            fields, lists, key, top = {}, {}, None, ""
             for line in m[1].split("\n"):
                 if (i := re.match(r"\s*-\s+(.*)", line)) and key:
                     lists.setdefault(key, []).append(i[1].strip().strip("'\""))
-                elif k := re.match(r"(\w+):\s*(.*)", line):
-                    key, v = k[1], k[2].strip()
+                elif k := re.match(r"(\s*)(\w+):\s*(.*)", line):
+                    top = top if k[1] else k[2]
+                    key, v = f"{top}.{k[2]}" if k[1] else k[2], k[3].strip()
                     if v.startswith("[") and v.endswith("]"):
                         lists[key] = [x.strip().strip("'\"") for x in v[1:-1].split(",") if x.strip()]
                     else:

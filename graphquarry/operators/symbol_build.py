@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .resolve import resolve_calls, resolve_classes
-from .traverse import cut
+from .traverse import closure, cut
 
 SYMBOLS = "id long, file string, name string, qualified_name string, symbol_type string, line_start long, line_end long, visibility string, parent string"
 SITES = "site long, fact string, file string, caller long, name string, receiver string, kind string, line long, value string"
@@ -78,9 +78,29 @@ def symbol_graph(facts: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     sites, imports = cut(sites_of(facts, symbols)), cut(bindings(facts, files))
     edges = cut(class_targets(sites, symbols, imports))
     calls = call_targets(sites, symbols, imports, inherits_of(sites, edges))
+    tables = tables_of(sites, edges.union(calls))
+    enums = promoted_enums(symbols, tables["class_edges"], tables["class_edges_unresolved"])
     owner = symbols.groupBy(F.col("file").alias("path"), F.col("qualified_name").alias("owner")).agg(F.min_by("id", "line_start").alias("symbol"))
     of = lambda fact: facts.where(F.col("fact") == fact).join(owner, ["path", "owner"])
-    return {
-        "symbols": symbols, **tables_of(sites, edges.union(calls)),
-        "members": of("member").select("symbol", "name", "value", "ordinal"), "parameters": of("branch").select("symbol", "name").distinct(),
-    }
+    members = of("member").union(of("slot").join(enums.select(F.col("id").alias("symbol")), "symbol", "left_semi").select(of("member").columns))
+    return {"symbols": with_enums(symbols, enums), **tables, "members": members.select("symbol", "name", "value", "ordinal"), "parameters": of("branch").select("symbol", "name").distinct()}
+
+
+def promoted_enums(symbols: DataFrame, class_edges: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """(id): classes of Python files that inherit from an enum over any chain, and are none themselves.
+
+    Edges are the resolved ones, and those left open whose name is an enum of the same file, as resolution looks for classes.
+    """
+    enums = symbols.where("symbol_type = 'enum'")
+    up = class_edges.where("edge_type = 'inherits'").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    own = enums.select(F.col("id").alias("enum"), F.col("file").alias("f"), F.col("name").alias("target_name"))
+    open_ = unresolved.where("edge_type = 'inherits'").join(symbols.select(F.col("id").alias("source"), "file"), "source")
+    open_ = open_.join(own, (open_["file"] == own["f"]) & (open_["target_name"] == own["target_name"])).select(F.col("enum").alias("source"), F.col("source").alias("target"))
+    reached = closure(cut(up.union(open_)), enums.select(F.col("id").alias("start"))).select(F.col("node").alias("id"))
+    return symbols.where(F.col("file").rlike(r"\.pyi?$") & (F.col("symbol_type") != "enum")).select("id").join(reached, "id", "left_semi")
+
+
+def with_enums(symbols: DataFrame, enums: DataFrame) -> DataFrame:
+    """symbols with the type `enum` for those of enums (id)."""
+    d = symbols.join(enums.select("id", F.lit("enum").alias("_e")), "id", "left")
+    return d.withColumn("symbol_type", F.coalesce("_e", "symbol_type")).select(symbols.columns)

@@ -62,8 +62,9 @@ class SymbolStore:
     def tables(self, at: int | None = None) -> dict[str, DataFrame]:
         """symbols, calls, unresolved_calls, class_edges and class_edges_unresolved of the newest version, or of version `at`."""
         at = self.store.newest() if at is None else at
-        sites = self.store.read("sites", at)
-        return {"symbols": Z.symbols_of(self.store.read("facts", at)), **Z.tables_of(sites.drop("target", "target_file"), sites.select("site", "target"))}
+        sites, symbols = self.store.read("sites", at), Z.symbols_of(self.store.read("facts", at))
+        tables = Z.tables_of(sites.drop("target", "target_file"), sites.select("site", "target"))
+        return {"symbols": Z.with_enums(symbols, Z.promoted_enums(symbols, tables["class_edges"], tables["class_edges_unresolved"])), **tables}
 
     def _of(self, table: str, at: int, keys: DataFrame, key: str) -> DataFrame:
         """Rows of table with one of the keys, from their buckets."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_HOPS = 10
+PARTS = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,7 +54,8 @@ def walk(edges: DataFrame, start: DataFrame, depth: int = 3, inbound: bool = Fal
 def first_visits(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(node, depth): nodes by their least number of hops from any start (depth 0), over edges (source, target).
 
-    Each level is cut by a checkpoint; the visited set only ever grows by a frontier.
+    Each level is cut by a checkpoint; the visited set grows by a frontier, and every PARTS levels becomes one table again, so
+    that a level reads few of them however long the chains are.
     """
     seen = cut(start.select(F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
     front = seen
@@ -63,6 +65,7 @@ def first_visits(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.union(front)
+        seen = cut(seen) if d % PARTS == 0 else seen
     return seen
 
 

@@ -28,6 +28,7 @@ from ..operators import traverse as V
 from ..operators.close import close_matches
 from ..operators.symbol_delta import SymbolStore
 from ..operators.text_index import TextIndex
+from ..sources import artifacts as A
 from ..sources import python_code as P
 from ..sources.views import Views
 from .oracle_views import complete
@@ -872,6 +873,38 @@ def promoted_calls(v):
     return d.select("from", "to", "line")
 
 
+@query("""WITH RECURSIVE s AS (SELECT CAST(s_suppkey AS BIGINT) AS s FROM supplier), up AS (SELECT s, s AS owner FROM s UNION SELECT up.s, owner // 2 FROM up JOIN s ON s.s = up.owner // 2 WHERE owner % 4 <> 0)
+SELECT printf('pkg.e%d.E%d', s, s) AS qualified_name, 'A' AS member FROM s UNION ALL SELECT DISTINCT printf('pkg.e%d.L%d', s, s), 'B' FROM up WHERE owner % 4 = 0""")
+def symbol_build_enums(v):
+    """Enums and their members: by their own base, and by a chain of bases through other files."""
+    s = F.col("s_suppkey").cast("long")
+    k, n = F.floor(s / 2).cast("string"), s.cast("string")
+    base = F.when(s % 4 == 0, F.concat(F.lit("E"), n)).otherwise(F.concat(F.lit("L"), k))
+    text = F.concat(F.lit("from enum import Enum\nfrom pkg.e"), k, F.lit(" import L"), k, F.lit("\nclass E"), n, F.lit("(Enum):\n    A = "), n, F.lit("\nclass L"), n, F.lit("("), base, F.lit("):\n    B = 1\n"))
+    files = v.table("supplier").select(F.concat(F.lit("src/pkg/e"), n, F.lit(".py")).alias("path"), text.alias("text"))
+    g = Z.symbol_graph(P.python_facts(files), files.select(F.col("path").alias("file")))
+    enums = g["symbols"].where("symbol_type = 'enum'").select(F.col("id").alias("symbol"), "qualified_name")
+    return enums.join(g["members"], "symbol", "left").select("qualified_name", F.col("name").alias("member"))
+
+
+_DESIGN = "SELECT CAST(c_custkey AS BIGINT) AS c, c_name, c_mktsegment FROM customer"
+
+
+@query(f"""SELECT '.kb/designs/src/m' || c || '.py.md' AS path, CASE WHEN c % 7 = 0 THEN 'no id' WHEN c % 9 = 0 THEN 'no footer' END AS error, CASE WHEN c % 7 <> 0 AND c % 9 <> 0 THEN 'src/m' || c || '.py' END AS source,
+CASE WHEN c % 7 <> 0 AND c % 9 <> 0 THEN 'def f' || c || '(): ...' END AS contract, CASE WHEN c % 7 <> 0 AND c % 9 <> 0 THEN c_mktsegment || '|t' || (c % 3) END AS tags, CASE WHEN c % 7 <> 0 AND c % 9 <> 0 THEN 'h' || (c % 50) END AS source_hash FROM ({_DESIGN})""")
+def design_files_parsed(v):
+    """Design files written from a table, read back: some without an id, some without a footer, footers of both forms."""
+    c = F.col("c_custkey").cast("long")
+    n = c.cast("string")
+    h = F.concat(F.lit("h"), (c % 50).cast("string"))
+    pairs = lambda cut: F.concat_ws(cut, F.concat(F.lit("source: src/m"), n), F.concat(F.lit("source_hash: "), h), F.lit("design_hash: d"), F.lit("generated: 2024-05-01T00:00:00"), F.lit("generator: tool"))
+    foot = F.when(c % 9 == 0, "").when(c % 2 == 0, F.concat(F.lit("<!-- kb:meta {"), pairs(", "), F.lit("} -->\n"))).otherwise(F.concat(F.lit("<!-- kb:meta\n"), pairs("\n"), F.lit("\n-->\n")))
+    head = F.concat(F.lit("---\ndescription: "), F.col("c_name"), F.when(c % 7 == 0, "").otherwise(F.concat(F.lit("\nid: DS-"), n)), F.lit("\n---\n\n# src/m"), n, F.lit(".py\n\n"))
+    body = F.concat(F.lit("## Interface Contract\n\n```python\ndef f"), n, F.lit("(): ...\n```\n\n## Tags\n\n- "), F.col("c_mktsegment"), F.lit("\n- t"), (c % 3).cast("string"), F.lit("\n\n"))
+    files = v.table("customer").select(F.concat(F.lit(".kb/designs/src/m"), n, F.lit(".py.md")).alias("path"), F.concat(head, body, foot).alias("text"))
+    return A.typed(files).select("path", "error", "design.source", "design.contract", F.array_join("design.tags", "|").alias("tags"), "design.footer.source_hash")
+
+
 def _js_files(v):
     """A TypeScript or JavaScript file a supplier, some as a folder's index; it imports those of half and a third of its number. And the path mappings."""
     t = v.table("supplier").select(F.col("s_suppkey").cast("long").alias("s"))

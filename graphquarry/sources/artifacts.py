@@ -33,7 +33,16 @@ def sections(body) -> Column:
 
 
 def section(body, name: str) -> Column:
-    return F.coalesce(F.try_element_at(sections(body), F.lit(name)), F.lit(""))
+    return _section(sections(body), name)
+
+
+def _section(found: Column, name: str) -> Column:
+    return F.coalesce(F.try_element_at(found, F.lit(name)), F.lit(""))
+
+
+def _once(value: Column) -> Column:
+    """value, evaluated once a row: the optimizer copies no expression that names its partition into those above it."""
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def lines_of(text) -> Column:
@@ -159,23 +168,25 @@ def typed(files: DataFrame, top: str = ".kb", mark: str = "kb:meta") -> DataFram
     for kind, states in STATES.items():
         error = error.when((F.col("kind") == kind) & ~F.coalesce(field("status"), F.lit(states[0])).isin(*states), "unknown status")
     source = F.regexp_extract(F.concat(F.lit("\n"), body), r"\n[ \t]*# ([^\n]*)", 1)
+    is_design = F.col("kind") == "design"
+    d = d.withColumns({"_s": _once(F.when(is_design, sections(body))), "_f": _once(F.when(is_design, footer(F.col("text"), mark)))})
     error = error.when((F.col("kind") == "stack") & (F.size(listed("tags")) == 0), "no tags").when((F.col("kind") == "stack") & field("created").try_cast("date").isNull(), "no date")
-    error = error.when((F.col("kind") == "design") & (source == ""), "no heading").when((F.col("kind") == "design") & footer(F.col("text"), mark).isNull(), "no footer")
-    d = d.withColumn("error", error)
+    error = error.when((F.col("kind") == "design") & (source == ""), "no heading").when((F.col("kind") == "design") & F.col("_f").isNull(), "no footer")
+    d = d.withColumn("error", _once(error))
     bare = lambda x: F.transform(x, lambda s: F.regexp_replace(s, r"^\[\[(.*)\]\]$", "$1"))
-    old = bullets(section(body, "Guardrails"))
-    stack = bullets(section(body, "Stack"))
-    known = sections(body)
+    known = F.col("_s")
+    old = bullets(_section(known, "Guardrails"))
+    stack = bullets(_section(known, "Stack"))
     kept = F.map_filter(F.transform_values(known, lambda k, v: _blank(F.regexp_replace(v, rf"(?s)<!--\s*{mark}(?:\n.*?\n|\s+\{{.*?\}}\s*)-->", ""))), lambda k, v: ~k.isin(*DESIGN_SECTIONS) & (v != ""))
-    again = reexports(section(body, "Re-exports"))
+    again = reexports(_section(known, "Re-exports"))
     design = F.struct(
-        _blank(source).alias("source"), again.alias("reexports"), F.when(F.size(again) > 0, "").otherwise(contract(section(body, "Interface Contract"))).alias("contract"),
-        bullets(section(body, "Dependencies")).alias("dependencies"), bullets(section(body, "Dependents")).alias("dependents"), entries(section(body, "Enums & constants"), "Values").alias("enums"), entries(section(body, "Call paths"), "Key hops").alias("call_paths"),
-        data_flows(section(body, "Data flows")).alias("data_flows"), bare(bullets(section(body, "Wikilinks"))).alias("wikilinks"), bullets(section(body, "Tags")).alias("tags"), F.when(F.size(stack) > 0, stack).otherwise(old).alias("stack"), kept.alias("other"), footer(F.col("text"), mark).alias("footer"),
+        _blank(source).alias("source"), again.alias("reexports"), F.when(F.size(again) > 0, "").otherwise(contract(_section(known, "Interface Contract"))).alias("contract"),
+        bullets(_section(known, "Dependencies")).alias("dependencies"), bullets(_section(known, "Dependents")).alias("dependents"), entries(_section(known, "Enums & constants"), "Values").alias("enums"), entries(_section(known, "Call paths"), "Key hops").alias("call_paths"),
+        data_flows(_section(known, "Data flows")).alias("data_flows"), bare(bullets(_section(known, "Wikilinks"))).alias("wikilinks"), bullets(_section(known, "Tags")).alias("tags"), F.when(F.size(stack) > 0, stack).otherwise(old).alias("stack"), kept.alias("other"), F.col("_f").alias("footer"),
     )
     post = F.struct(post_sections(body).alias("said"), findings(body).alias("findings"))
     of = lambda kind, x: F.when(F.col("error").isNull() & (F.col("kind") == kind), x)
-    return d.withColumns({"design": of("design", design), "post": of("stack", post), "log": of("concept", decision_log(body))})
+    return d.withColumns({"design": of("design", design), "post": of("stack", post), "log": of("concept", decision_log(body))}).drop("_s", "_f")
 
 
 def parsed(rows: DataFrame) -> DataFrame:

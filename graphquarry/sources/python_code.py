@@ -145,8 +145,8 @@ class _File:
                 self.klass(m, full, True, False)
             elif isinstance(m, ast.AnnAssign) and isinstance(m.target, ast.Name):
                 self.composes(full, m, m.target.id)
-            if enum and isinstance(m, (ast.Assign, ast.AnnAssign)) and isinstance(t := m.targets[0] if isinstance(m, ast.Assign) else m.target, ast.Name):
-                self.add("member", full, t.id, m.lineno, value=self.source(m.value) if _is_literal(m.value, False) else None, ordinal=place)
+            if isinstance(m, (ast.Assign, ast.AnnAssign)) and isinstance(t := m.targets[0] if isinstance(m, ast.Assign) else m.target, ast.Name):
+                self.add("member" if enum else "slot", full, t.id, m.lineno, value=self.source(m.value) if _is_literal(m.value, False) else None, ordinal=place)
                 place += 1
 
     def composes(self, full: str, n: ast.AnnAssign, attribute: str) -> None:
@@ -200,7 +200,7 @@ def python_facts(files: DataFrame) -> DataFrame:
     """FACTS of files (path, text), a row each; a file that does not parse has one, `error`. Null texts count as empty.
 
     symbol: kind, lines, visibility, parent class. call: the callee as written, its receiver. edge: inherits, instantiates (a
-    bare call of a capitalised name) or composes (value: the attribute). member: of enums by place, and constants. branch: a
+    bare call of a capitalised name) or composes (value: the attribute). member: of enums by place, and constants. slot: what would be members if a class were an enum. branch: a
     parameter that a condition looks at. import: see imports.
     """
 

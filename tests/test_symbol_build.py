@@ -111,7 +111,20 @@ def test_facts(spark):
     assert [r["path"] for r in facts.where("fact = 'error'").collect()] == ["lib/bad.py"]
 
 
-@pytest.mark.parametrize("line,want", [("import pkg.a as m\nimport pkg.b as m", "pkg.b.f"), ("import pkg.b as m\nimport pkg.a as m", "pkg.a.f"), ("from . import a as m", None), ("from pkg import a as m", None)])
+def test_classes_below_enums_are_enums(spark):
+    """Over any chain and files, from an enum of the same file too, whose members are then read."""
+    files = {
+        "src/pkg/base.py": "from enum import StrEnum\nclass Mine(StrEnum):\n    A = 'a'\nclass Near(Mine):\n    B = 'b'\n    def go(self): pass\n    C: int = f()\n",
+        "src/pkg/far.py": "from pkg.base import Near\nfrom pkg.base import Mine\nclass Far(Near):\n    D = -1\nclass Other(Mine):\n    E = 1\nclass Plain:\n    F = 1\n",
+    }
+    _, out, names = graph(spark, files)
+    kinds = {names[r["id"]].split(".")[-1]: r["symbol_type"] for r in out["symbols"].collect()}
+    # a base that is an enum of another file stays open, as it does in resolution
+    assert kinds == {"Mine": "enum", "Near": "enum", "go": "method", "Far": "enum", "Other": "class", "Plain": "class"}
+    assert {(names[r["symbol"]].split(".")[-1], r["name"], r["value"], r["ordinal"]) for r in out["members"].collect()} == {("Mine", "A", "'a'", 0), ("Near", "B", "'b'", 0), ("Near", "C", None, 1), ("Far", "D", "-1", 0)}
+
+
+@pytest.mark.parametrize("line,want", [("import pkg.a as m\nimport pkg.b as m", "pkg.b.f"), ("from pkg import a as m", None)])
 def test_the_last_binding_of_a_name_holds(spark, line, want):
     files = {"src/pkg/a.py": "def f(): pass\n", "src/pkg/b.py": "def f(): pass\n", "src/pkg/use.py": f"{line}\ndef g():\n    m.f()\n"}
     _, out, names = graph(spark, files)

@@ -20,6 +20,7 @@ from ..operators import incremental as I
 from ..operators import indexes as X
 from ..operators import js as J
 from ..operators import linkgraph as L
+from ..operators import lookup as Q
 from ..operators import resolve as R
 from ..operators import symbol_build as Z
 from ..operators import symbols as Y
@@ -905,6 +906,25 @@ def design_files_parsed(v):
     return A.typed(files).select("path", "error", "design.source", "design.contract", F.array_join("design.tags", "|").alias("tags"), "design.footer.source_hash")
 
 
+_LOOKUP = """l AS (SELECT target AS path, source, link_type FROM links WHERE target LIKE 'part/%' OR target LIKE 'nation/%'), f AS (SELECT DISTINCT path FROM l),
+i AS (SELECT l.path, 2 AS section, string_agg('- [' || status || '] ' || title, chr(10) ORDER BY n) AS content FROM (SELECT l.path, a.status, a.title, row_number() OVER (PARTITION BY l.path ORDER BY CASE a.status WHEN 'open' THEN 1 ELSE 2 END, o_custkey DESC, l.source) AS n
+  FROM l JOIN artifacts a ON a.path = l.source JOIN orders ON 'orders/' || o_orderkey = l.source WHERE l.link_type = 'stack_file_ref' AND a.status <> 'stale') l WHERE n <= 3 GROUP BY 1),
+k AS (SELECT path, 4 AS section, string_agg('- [[' || source || ']] (' || CASE link_type WHEN 'stack_file_ref' THEN 'stack post' WHEN 'wikilink' THEN 'concept wikilink' ELSE link_type END || ')', chr(10) ORDER BY source, link_type) AS content FROM l GROUP BY 1),
+b AS (SELECT *, length(content) // 4 AS t, coalesce(sum(length(content) // 4) OVER (PARTITION BY path ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT * FROM i UNION ALL SELECT * FROM k))"""
+
+
+@query(f"""WITH {_LOOKUP} SELECT path, section, CASE WHEN before + t <= 120 THEN content ELSE substr(content, 1, CAST(120 - before AS INT) * 4) || chr(10) || '... truncated due to token budget' || chr(10) END AS content, before + t > 120 AS truncated
+FROM b WHERE before <= 120 AND (before + t <= 120 OR 120 - before > 50)""")
+def file_lookups(v):
+    """Issues and links of all parts and nations, within 120 tokens each."""
+    links = v.links.where("target LIKE 'part/%' OR target LIKE 'nation/%'")
+    files = links.select(F.col("target").alias("path"))
+    votes = v.table("orders").select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("post"), F.col("o_custkey").alias("votes"))
+    posts = links.where("link_type = 'stack_file_ref'").select(F.col("target").alias("file"), F.col("source").alias("post")).join(votes, "post").join(v.artifacts.select(F.col("path").alias("post"), "title", "status"), "post")
+    found = Q.sections(files, 120, posts=posts, links=links)
+    return Q.within(found.where(F.col("section") != Q.SIBLINGS), 120)
+
+
 def _js_files(v):
     """A TypeScript or JavaScript file a supplier, some as a folder's index; it imports those of half and a third of its number. And the path mappings."""
     t = v.table("supplier").select(F.col("s_suppkey").cast("long").alias("s"))

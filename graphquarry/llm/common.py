@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -75,6 +77,21 @@ def text_slices(column, most: int = 2 << 20, rows: int = 4096):
         a = b
 
 
+def tidy(run):
+    """run, for mapInArrow, giving freed memory back to the system as its task ends: Python workers stay, and would hold it."""
+
+    def go(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a call of the GNU C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
 def map_texts(df: DataFrame, body, fields: str, most: int = 2 << 20) -> DataFrame:
     """df's columns but `text`, then `fields`, which body makes from a list of whole texts (None: null).
 
@@ -100,7 +117,7 @@ def map_texts(df: DataFrame, body, fields: str, most: int = 2 << 20) -> DataFram
                 cols += [pa.array(v, arrow.field(text + i).type) for i, v in enumerate(got)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(tidy(run), schema)
 
 
 def id_crc_mod3(col: str = "doc_id"):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialize, mix64, prefix_hash, range_hash, text_slices, window_hash
+from .common import materialize, mix64, prefix_hash, range_hash, text_slices, tidy, window_hash
 
 #: Bytes of an anchor; bytes scanned at once (below 2**24); bytes of an index batch; suffixes of a family, about; suffixes compared at once.
 ANCHOR, PIECE, BATCH, FAMILY, STEP = 32, 512 << 10, 1 << 20, 2_000_000, 1 << 16
@@ -224,7 +224,7 @@ def _all_segments(t: DataFrame, least: int) -> DataFrame:
                 own, p, n, h, f = segments(raw, least)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(th[own]), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(p.astype(np.int64) << 16 | n.astype(np.int64))], schema=arrow)
 
-    return t.mapInArrow(run, schema)
+    return t.mapInArrow(tidy(run), schema)
 
 
 def _strings(t: DataFrame, least: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _strings(t: DataFrame, least: int) -> DataFrame:
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return t.select("doc_id", "th", "text", "segs").mapInArrow(run, schema)
+    return t.select("doc_id", "th", "text", "segs").mapInArrow(tidy(run), schema)
 
 
 def _indexed(strings: DataFrame, least: int, families: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _indexed(strings: DataFrame, least: int, families: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(th[own]), pa.array((p[own] + step[s]).astype(np.int32)), pa.array((e - s).astype(np.int32))], schema=arrow)
 
     least_parts = max(families, int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return strings.repartition(least_parts, "h").sortWithinPartitions("doc_id", "th", "p").mapInArrow(run, schema)
+    return strings.repartition(least_parts, "h").sortWithinPartitions("doc_id", "th", "p").mapInArrow(tidy(run), schema)
 
 
 def _cut(t: DataFrame, least: int, texts: bool) -> DataFrame:
@@ -314,4 +314,4 @@ def _cut(t: DataFrame, least: int, texts: bool) -> DataFrame:
                 carried = part.column("carried").cast(arrow.field("carried").type)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), carried, pa.array(size, pa.int64()), pa.array(spans, arrow.field("spans").type), pa.array(kept, pa.binary()), *more], schema=arrow)
 
-    return t.select("doc_id", "carried", "text", "runs").mapInArrow(run, schema)
+    return t.select("doc_id", "carried", "text", "runs").mapInArrow(tidy(run), schema)

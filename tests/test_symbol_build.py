@@ -6,27 +6,27 @@ from graphquarry.operators.symbol_build import symbol_graph
 from graphquarry.sources.python_code import python_facts
 
 HIERARCHY = {
-    "src/pkg/base.py": "class Base:\n    def foo(self) -> None:\n        pass\n",
-    "src/pkg/derived.py": "from pkg.base import Base\n\n\nclass Derived(Base):\n    def bar(self) -> None:\n        self.foo()\n",
+    "src/pkg/upper.py": "class Upper:\n    def act(self) -> None:\n        pass\n",
+    "src/pkg/lower.py": "from pkg.upper import Upper\n\n\nclass Lower(Upper):\n    def turn(self) -> None:\n        self.act()\n",
     "src/pkg/thing.py": "from vendor import Model\n\n\nclass Thing(Model):\n    pass\n",
-    "src/pkg/maker.py": "def Maker() -> None:\n    pass\n\n\ndef main() -> None:\n    Maker()\n",
-    "src/pkg/use.py": "from pkg.derived import Derived\n\n\ndef main() -> None:\n    d = Derived()\n    d.bar()\n",
+    "src/pkg/forge.py": "def Forge() -> None:\n    pass\n\n\ndef main() -> None:\n    Forge()\n",
+    "src/pkg/use.py": "from pkg.lower import Lower\n\n\ndef main() -> None:\n    d = Lower()\n    d.turn()\n",
 }
 PARTS = {
-    "src/pkg/cache.py": "class Cache:\n    pass\n",
-    "src/pkg/database.py": "class Database:\n    pass\n",
-    "src/pkg/service.py": textwrap.dedent("""\
-        from pkg.cache import Cache
-        from .database import Database
-
-        class Service:
-            db: Database
+    "src/pkg/pool.py": "class Pool:\n    pass\n",
+    "src/pkg/store.py": "class Store:\n    pass\n",
+    "src/pkg/host.py": textwrap.dedent("""\
+        from pkg.pool import Pool
+        from .store import Store
+
+        class Host:
+            db: Store
             name: str
-            rows: dict[str, list[Cache]]
-            many: Cache | Database
+            rows: dict[str, list[Pool]]
+            many: Pool | Store
 
             def __init__(self) -> None:
-                self.cache: Cache | None = Cache()
+                self.pool: Pool | None = Pool()
                 self.client: Foreign = None
         """),
 }
@@ -48,33 +48,33 @@ def edges(out, names):
 def test_class_hierarchy(spark):
     _, out, names = graph(spark, HIERARCHY)
     found, missed = edges(out, names)
-    assert found == {("pkg.derived.Derived", "pkg.base.Base", "inherits", 4), ("pkg.use.main", "pkg.derived.Derived", "instantiates", 5)}
-    assert missed == {("pkg.thing.Thing", "Model", "inherits"), ("pkg.maker.main", "Maker", "instantiates")}
+    assert found == {("pkg.lower.Lower", "pkg.upper.Upper", "inherits", 4), ("pkg.use.main", "pkg.lower.Lower", "instantiates", 5)}
+    assert missed == {("pkg.thing.Thing", "Model", "inherits"), ("pkg.forge.main", "Forge", "instantiates")}
     calls = {(names[r["caller"]], names[r["callee"]], r["line"], r["context"]) for r in out["calls"].collect()}
-    assert calls == {("pkg.derived.Derived.bar", "pkg.base.Base.foo", 6, "self"), ("pkg.maker.main", "pkg.maker.Maker", 6, None), ("pkg.use.main", "pkg.derived.Derived", 5, None)}
-    assert {(names[r["caller"]], r["callee_name"], r["line"], r["context"]) for r in out["unresolved_calls"].collect()} == {("pkg.use.main", "d.bar", 6, "d")}
+    assert calls == {("pkg.lower.Lower.turn", "pkg.upper.Upper.act", 6, "self"), ("pkg.forge.main", "pkg.forge.Forge", 6, None), ("pkg.use.main", "pkg.lower.Lower", 5, None)}
+    assert {(names[r["caller"]], r["callee_name"], r["line"], r["context"]) for r in out["unresolved_calls"].collect()} == {("pkg.use.main", "d.turn", 6, "d")}
 
 
 def test_compositions(spark):
     _, out, names = graph(spark, PARTS)
     found, missed = edges(out, names)
-    assert {(t, line) for s, t, e, line in found if e == "composes"} == {("pkg.database.Database", 5), ("pkg.cache.Cache", 7), ("pkg.cache.Cache", 11)}
+    assert {(t, line) for s, t, e, line in found if e == "composes"} == {("pkg.store.Store", 5), ("pkg.pool.Pool", 7), ("pkg.pool.Pool", 11)}
     assert {t for _, t, e in missed if e == "composes"} == {"Foreign"}
 
 
 def test_golden_project(spark):
     files = {
         "src/pkg/__init__.py": "",
-        "src/pkg/animals.py": '"""Animals."""\n\nfrom __future__ import annotations\n\n\nclass Animal:\n    def speak(self) -> str:\n        return "..."\n\n\nclass Dog(Animal):\n    def speak(self) -> str:\n        return "woof"\n\n    def fetch(self) -> str:\n        return self.speak()\n',
-        "src/pkg/zoo.py": '"""Zoo."""\n\nfrom __future__ import annotations\n\nfrom pkg.animals import Dog\n\n\ndef play_with_dog() -> str:\n    dog = Dog()\n    return dog.fetch()\n\n\ndef greet() -> str:\n    return play_with_dog()\n',
+        "src/pkg/shapes.py": '"""Shapes."""\n\nfrom __future__ import annotations\n\n\nclass Shape:\n    def area(self) -> str:\n        return "..."\n\n\nclass Box(Shape):\n    def area(self) -> str:\n        return "four"\n\n    def twice(self) -> str:\n        return self.area()\n',
+        "src/pkg/room.py": '"""Room."""\n\nfrom __future__ import annotations\n\nfrom pkg.shapes import Box\n\n\ndef measure() -> str:\n    box = Box()\n    return box.twice()\n\n\ndef report() -> str:\n    return measure()\n',
     }
     _, out, names = graph(spark, files)
     assert {(r["qualified_name"], r["symbol_type"], r["line_start"], r["line_end"], r["parent"]) for r in out["symbols"].collect()} == {
-        ("pkg.animals.Animal", "class", 6, 8, None), ("pkg.animals.Animal.speak", "method", 7, 8, "Animal"), ("pkg.animals.Dog", "class", 11, 16, None), ("pkg.animals.Dog.speak", "method", 12, 13, "Dog"),
-        ("pkg.animals.Dog.fetch", "method", 15, 16, "Dog"), ("pkg.zoo.play_with_dog", "function", 8, 10, None), ("pkg.zoo.greet", "function", 13, 14, None),
+        ("pkg.shapes.Shape", "class", 6, 8, None), ("pkg.shapes.Shape.area", "method", 7, 8, "Shape"), ("pkg.shapes.Box", "class", 11, 16, None), ("pkg.shapes.Box.area", "method", 12, 13, "Box"),
+        ("pkg.shapes.Box.twice", "method", 15, 16, "Box"), ("pkg.room.measure", "function", 8, 10, None), ("pkg.room.report", "function", 13, 14, None),
     }
     calls = {(names[r["caller"]], names[r["callee"]], r["line"], r["context"]) for r in out["calls"].collect()}
-    assert calls == {("pkg.animals.Dog.fetch", "pkg.animals.Dog.speak", 16, "self"), ("pkg.zoo.greet", "pkg.zoo.play_with_dog", 14, None), ("pkg.zoo.play_with_dog", "pkg.animals.Dog", 9, None)}
+    assert calls == {("pkg.shapes.Box.twice", "pkg.shapes.Box.area", 16, "self"), ("pkg.room.report", "pkg.room.measure", 14, None), ("pkg.room.measure", "pkg.shapes.Box", 9, None)}
 
 
 def test_facts(spark):
@@ -114,8 +114,8 @@ def test_facts(spark):
 def test_classes_below_enums_are_enums(spark):
     """Over any chain and files, from an enum of the same file too, whose members are then read."""
     files = {
-        "src/pkg/base.py": "from enum import StrEnum\nclass Mine(StrEnum):\n    A = 'a'\nclass Near(Mine):\n    B = 'b'\n    def go(self): pass\n    C: int = f()\n",
-        "src/pkg/far.py": "from pkg.base import Near\nfrom pkg.base import Mine\nclass Far(Near):\n    D = -1\nclass Other(Mine):\n    E = 1\nclass Plain:\n    F = 1\n",
+        "src/pkg/upper.py": "from enum import StrEnum\nclass Mine(StrEnum):\n    A = 'a'\nclass Near(Mine):\n    B = 'b'\n    def go(self): pass\n    C: int = f()\n",
+        "src/pkg/far.py": "from pkg.upper import Near\nfrom pkg.upper import Mine\nclass Far(Near):\n    D = -1\nclass Other(Mine):\n    E = 1\nclass Plain:\n    F = 1\n",
     }
     _, out, names = graph(spark, files)
     kinds = {names[r["id"]].split(".")[-1]: r["symbol_type"] for r in out["symbols"].collect()}

@@ -160,7 +160,8 @@ def repeated_spans(docs: DataFrame, least: int = 100, hot: int = HOT, carry: tup
     Rows with a null doc_id match nothing and stay whole. Rows that share a doc_id but not a text are ordered by a hash of
     the text; rows that repeat both are one document with one result. An empty table gives an empty result. Long texts are
     scanned PIECE bytes at a time. Other columns are not read, whatever their names, and the result has only those named
-    here. Equal segments and whole copies are known by 128 bits of hash; all other matches are compared byte by byte.
+    here. Equal segments and whole copies are known by 128 bits of hash, windows of anchors that more than `hot` segments share by
+    64 bits; all other matches are compared byte by byte.
     """
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0)]).alias("carried"))
     # th tells rows of one doc_id apart; where ids are unique it is 0 and costs nothing in what is shuffled

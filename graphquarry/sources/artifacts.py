@@ -27,9 +27,9 @@ def _blank(x) -> Column:
 def sections(body) -> Column:
     """name -> text of the second-level sections of a body; of a name that comes twice the first."""
     parts = F.slice(F.split(F.concat(F.lit("\n"), body), r"\n\s*## "), 2, 1 << 20)
-    pair = F.transform(parts, lambda p: F.struct(_blank(F.split(p, "\n", 2)[0]).alias("name"), F.coalesce(F.get(F.split(p, "\n", 2), F.lit(1)), F.lit("")).alias("text")))
-    first = F.filter(pair, lambda x, i: F.array_position(F.transform(pair, lambda y: y["name"]), x["name"]) == i + 1)
-    return F.map_from_arrays(F.transform(first, lambda x: x["name"]), F.transform(first, lambda x: x["text"]))
+    pair = F.transform(F.transform(parts, lambda p: F.split(p, "\n", 2)), lambda p: F.struct(_blank(p[0]).alias("name"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("text")))
+    first = lambda pairs, names: F.filter(pairs, lambda x, i: F.array_position(names, x["name"]) == i + 1)
+    return F.map_from_entries(_with(pair, lambda pairs: _with(pairs["name"], lambda names: first(pairs, names))))
 
 
 def section(body, name: str) -> Column:
@@ -45,6 +45,11 @@ def _once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), where value is evaluated once however often use names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lines_of(text) -> Column:
     """The lines of a text that are not blank, without white space at their ends."""
     return F.filter(F.transform(F.split(text, "\n"), _blank), lambda x: x != "")
@@ -62,9 +67,12 @@ def decision_log(body) -> Column:
 
 def contract(text) -> Column:
     """A section's code without its fences: an outer one, and one more within it."""
-    open_, close = (lambda a: F.when(F.coalesce(F.get(a, F.lit(0)), F.lit("")).startswith("```"), F.slice(a, 2, 1 << 20)).otherwise(a)), (lambda a: F.when(_blank(F.coalesce(F.get(a, F.size(a) - 1), F.lit(""))) == "```", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a))
+    open_ = lambda a: F.when(F.coalesce(F.get(a, F.lit(0)), F.lit("")).startswith("```"), F.slice(a, 2, 1 << 20)).otherwise(a)
+    close = lambda a: F.when(_blank(F.coalesce(F.get(a, F.size(a) - 1), F.lit(""))) == "```", F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
     x = F.filter(F.split(text, "\n"), lambda s: _blank(s) != "")
-    return _blank(F.array_join(close(open_(close(open_(x)))), "\n"))
+    for step in (open_, close, open_, close):
+        x = _with(x, step)
+    return _blank(F.array_join(x, "\n"))
 
 
 def entries(text, label: str) -> Column:
@@ -96,20 +104,23 @@ def footer(text, mark: str = "kb:meta") -> Column:
     """
     inline = F.regexp_extract(text, rf"<!--\s*{mark}\s+\{{(.*?)\}}\s*-->", 1)
     block = F.regexp_extract(text, rf"(?s)<!--\s*{mark}\n(.*?)\n-->", 1)
-    bare = lambda m: F.transform_values(F.transform_keys(m, lambda k, v: _blank(k)), lambda k, v: F.regexp_replace(_blank(v), r"^(['\"])(.*)\1$", "$2"))
+    bare = lambda v: F.regexp_replace(_blank(v), r"^(['\"])(.*)\1$", "$2")
 
     def read(body: Column, cut: str) -> Column:
         # of a key that comes twice the last counts, as in a map that is filled in order
-        each = F.filter(F.split(body, cut), lambda x: x.contains(": "))
-        last = F.filter(each, lambda x, i: ~F.exists(F.slice(each, i + 2, 1 << 20), lambda y: _blank(F.split(y, ": ", 2)[0]) == _blank(F.split(x, ": ", 2)[0])))
-        m = bare(F.map_from_arrays(F.transform(last, lambda x: F.split(x, ": ", 2)[0]), F.transform(last, lambda x: F.split(x, ": ", 2)[1])))
-        get = lambda k: F.try_element_at(m, F.lit(k))
-        when = get("generated").try_cast("timestamp")
-        good = (body != "") & when.isNotNull()
-        for k in ("source", "source_hash", "design_hash", "generator"):
-            good = good & get(k).isNotNull()
-        fields = [get(k).alias(k) for k in ("source", "source_hash", "interface_hash", "design_hash")]
-        return F.when(good, F.struct(*fields, when.alias("generated"), get("generator").alias("generator"), (F.lower(F.coalesce(get("dependents_complete"), F.lit("false"))) == "true").alias("dependents_complete")))
+        each = F.transform(F.transform(F.filter(F.split(body, cut), lambda x: x.contains(": ")), lambda x: F.split(x, ": ", 2)), lambda x: F.struct(_blank(x[0]).alias("key"), bare(x[1]).alias("value")))
+        last = lambda pairs: F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, 1 << 20), lambda y: y["key"] == x["key"]))
+
+        def built(m: Column) -> Column:
+            get = lambda k: F.try_element_at(m, F.lit(k))
+            when = get("generated").try_cast("timestamp")
+            good = when.isNotNull()
+            for k in ("source", "source_hash", "design_hash", "generator"):
+                good = good & get(k).isNotNull()
+            fields = [get(k).alias(k) for k in ("source", "source_hash", "interface_hash", "design_hash")]
+            return F.when(good, F.struct(*fields, when.alias("generated"), get("generator").alias("generator"), (F.lower(F.coalesce(get("dependents_complete"), F.lit("false"))) == "true").alias("dependents_complete")))
+
+        return F.when(body != "", _with(F.map_from_entries(_with(each, last)), built))
 
     return F.coalesce(read(inline, r",\s*"), read(block, "\n"))
 
@@ -178,7 +189,8 @@ def typed(files: DataFrame, top: str = ".kb", mark: str = "kb:meta") -> DataFram
     old = bullets(_section(known, "Guardrails"))
     stack = bullets(_section(known, "Stack"))
     kept = F.map_filter(F.transform_values(known, lambda k, v: _blank(F.regexp_replace(v, rf"(?s)<!--\s*{mark}(?:\n.*?\n|\s+\{{.*?\}}\s*)-->", ""))), lambda k, v: ~k.isin(*DESIGN_SECTIONS) & (v != ""))
-    again = reexports(_section(known, "Re-exports"))
+    d = d.withColumn("_r", _once(reexports(_section(known, "Re-exports"))))
+    again = F.col("_r")
     design = F.struct(
         _blank(source).alias("source"), again.alias("reexports"), F.when(F.size(again) > 0, "").otherwise(contract(_section(known, "Interface Contract"))).alias("contract"),
         bullets(_section(known, "Dependencies")).alias("dependencies"), bullets(_section(known, "Dependents")).alias("dependents"), entries(_section(known, "Enums & constants"), "Values").alias("enums"), entries(_section(known, "Call paths"), "Key hops").alias("call_paths"),
@@ -186,7 +198,7 @@ def typed(files: DataFrame, top: str = ".kb", mark: str = "kb:meta") -> DataFram
     )
     post = F.struct(post_sections(body).alias("said"), findings(body).alias("findings"))
     of = lambda kind, x: F.when(F.col("error").isNull() & (F.col("kind") == kind), x)
-    return d.withColumns({"design": of("design", design), "post": of("stack", post), "log": of("concept", decision_log(body))}).drop("_s", "_f")
+    return d.withColumns({"design": of("design", design), "post": of("stack", post), "log": of("concept", decision_log(body))}).drop("_s", "_f", "_r")
 
 
 def parsed(rows: DataFrame) -> DataFrame:

@@ -166,3 +166,14 @@ def test_files_become_a_graph(spark, rows):
     texts = {r["path"].rsplit("/", 1)[1]: r["body"] for r in out["texts"].collect()}
     assert texts["ST-001.md"] == "It fails.\nAt night.\nfirst try second try\nRestart it. No line of votes.\nauth cache" and texts["p.md"].startswith("How to ship.\nHow to ship.") and texts["tokens.py.md"] == "Parses tokens.\ndef parse(text): ...\nclass Token: ...\nparsing"
     assert {r["action"] for r in out["log"].where("path LIKE '%bad.md'").collect()} == {"failed"}
+
+
+def test_each_part_of_a_text_is_evaluated_once(spark):
+    """Expressions name a text's parts once, so that the work of a file does not multiply with what is read from it."""
+    d = spark.range(1).selectExpr("'x' AS text")
+    for made, most in ((A.footer("text"), 4), (A.sections("text"), 1), (A.contract("text"), 1)):
+        plan = d.select(made.alias("made"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("text#") <= most + 1, plan  # once in the scan
+    long = "<!-- kb:meta\n" + "\n".join(f"k{i}: {i}" for i in range(1500)) + "\nsource: a\nsource: b\nsource_hash: 'h'\ndesign_hash: d\ngenerated: 2024-05-01T00:00:00\ngenerator: g\n-->"
+    r = spark.createDataFrame([(long,)], "text string").select(A.footer("text").alias("f")).first()["f"]
+    assert (r["source"], r["source_hash"], r["generator"]) == ("b", "h", "g")

@@ -137,6 +137,25 @@ def key_symbols(symbols: DataFrame, cap: int = 10) -> DataFrame:
     return s.where(F.col("rank") <= cap).select("file", "id", "name", "symbol_type", "rank", "total")
 
 
+#: A cell of a file's lines: those whose number is `cell` after `level` halvings.
+_CELL = ["file", "level", "cell"]
+
+
+def _span_cells(spans: DataFrame) -> DataFrame:
+    """spans (file, lo, hi) with the cells that the lines after lo up to hi are made of, two a level at most; of cells of one line only one is among them."""
+    d = spans.where("lo < hi").withColumn("level", F.explode(F.expr("sequence(0, 1 + CAST(floor(log2(hi - lo)) AS INT))")))
+    d = d.withColumns({"_a": F.expr("shiftright(lo + shiftleft(1L, level), level)"), "_b": F.expr("shiftright(hi + 1, level)")}).where("_a < _b")
+    ends = F.array(F.when(F.col("_a") % 2 != 0, F.col("_a")), F.when(F.col("_b") % 2 != 0, F.col("_b") - 1))
+    return d.withColumn("cell", F.explode(F.array_compact(ends))).drop("_a", "_b")
+
+
+def _point_cells(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """points (file, at) with each cell that holds them, in as many levels as the longest of spans (line_start, line_end) has: an equality join with _span_cells pairs a point once with each span around it."""
+    most = spans.where("line_start < line_end").agg(F.expr("1 + CAST(floor(log2(max(line_end - line_start))) AS INT)").alias("most"))
+    d = points.where("at IS NOT NULL").crossJoin(F.broadcast(most))  # one row
+    return d.withColumn("level", F.explode(F.expr("sequence(0, most)"))).withColumn("cell", F.expr("shiftright(at, level)")).drop("most")
+
+
 def class_hierarchy(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Each class with its number of bases that are symbols, of those that are not, of subclasses, and of methods within its lines of the same file."""
     c = symbols.where("symbol_type = 'class'")
@@ -145,7 +164,9 @@ def class_hierarchy(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     bases = up.join(known, "target", "left").groupBy(F.col("source").alias("id")).agg(F.count("k").alias("bases"), F.count(F.when(F.col("k").isNull(), 1)).alias("unresolved"))
     subs = up.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("subclasses"))
     m = symbols.where("symbol_type = 'method'").select(F.col("file").alias("f"), F.col("line_start").alias("at"))
-    inside = c.join(m, (F.col("file") == F.col("f")) & (F.col("at") > F.col("line_start")) & (F.col("at") <= F.col("line_end"))).groupBy("id").agg(F.count(F.lit(1)).alias("methods"))
+    cells = _span_cells(c.select("id", "file", F.col("line_start").alias("lo"), F.col("line_end").alias("hi")))
+    held = _point_cells(m.select(F.col("f").alias("file"), "at"), c).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"))
+    inside = cells.join(held, _CELL).groupBy("id").agg(F.sum("n").alias("methods"))
     out = c.select("id", "name").join(bases, "id", "left").join(subs, "id", "left").join(inside, "id", "left")
     return out.na.fill(0, ["bases", "unresolved", "subclasses", "methods"])
 
@@ -153,8 +174,10 @@ def class_hierarchy(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def enclosing_class(symbols: DataFrame) -> DataFrame:
     """(id, cls): the innermost class of the same file whose lines hold each method: the one that starts last, then the largest id."""
     m = symbols.where("symbol_type = 'method'").select("id", "file", F.col("line_start").alias("at"))
-    c = symbols.where("symbol_type = 'class'").select(F.col("id").alias("cls"), F.col("file").alias("f"), F.col("line_start").alias("lo"), F.col("line_end").alias("hi"))
-    return m.join(c, (F.col("file") == F.col("f")) & (F.col("lo") < F.col("at")) & (F.col("at") <= F.col("hi"))).groupBy("id").agg(F.max_by("cls", F.struct("lo", "cls")).alias("cls"))
+    c = symbols.where("symbol_type = 'class'")
+    cells = _span_cells(c.select("file", F.col("id").alias("cls"), F.col("line_start").alias("lo"), F.col("line_end").alias("hi")))
+    last = cells.groupBy(*_CELL).agg(F.max(F.struct("lo", "cls")).alias("c"))
+    return _point_cells(m, c).join(last, _CELL).groupBy("id").agg(F.max("c").alias("c")).select("id", F.col("c.cls").alias("cls"))
 
 
 def budgeted(sections: DataFrame, budget: int, least: int = 50) -> DataFrame:

@@ -75,3 +75,37 @@ def test_update_equals_rebuild(spark):
     fresh = B.full_build(spark.createDataFrame([r for r in rows if r[0] not in ("c/a.md", "v/r.md")], B.PARSED).union(changed), have)
     for name in after:
         assert sorted(map(str, after[name].collect())) == sorted(map(str, fresh[name].collect()))
+
+
+def test_lookups_meet_one_symbol_a_name(spark):
+    """A name that very many symbols of a file share is grouped before it is looked up: each site meets one row."""
+    s = spark.createDataFrame([(i, "a.py", "same", "class", 100 - i, 200) for i in range(100)], "id long, file string, name string, symbol_type string, line_start long, line_end long")
+    sites = spark.createDataFrame([(k, "a.py", "same", "same") for k in range(50)], "site long, file string, name string, bare string")
+    hit = R._in_file(sites, s, ["class"])
+    plan = hit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate"), plan
+    assert {(r["site"], r["target"]) for r in hit.collect()} == {(k, 99) for k in range(50)}
+    i = spark.createDataFrame([], "file string, local string, module_file string, original string")
+    assert {tuple(r) for r in R.resolve_classes(sites.select("site", "file", "name"), s, i).select("site", "target", "step").collect()} == {(k, 99, 3) for k in range(50)}
+
+
+def test_spans_of_lines_by_equality(spark):
+    """Classes around a method and methods within a class, over short, long, empty and nested spans, without a comparison of each two in a file."""
+    import random
+
+    from graphquarry.operators import symbols as Y
+
+    r = random.Random(5)
+    rows = [(i, r.choice("ab"), f"n{i}", r.choice(["class", "method"]), a := r.choice([1, 2, 7, 8, 255, 256, 70000, r.randrange(1, 300)]), a + r.choice([-1, 0, 1, 2, 7, 8, 300, 1 << 20])) for i in range(240)]
+    rows.append((999, "a", "none", "method", None, None))
+    s = spark.createDataFrame(rows, "id long, file string, name string, symbol_type string, line_start long, line_end long")
+    holds = lambda c, m: c[1] == m[1] and m[4] is not None and c[4] < m[4] <= c[5]
+    classes, methods = ([x for x in rows if x[3] == k] for k in ("class", "method"))
+    found = Y.enclosing_class(s)
+    assert {(x["id"], x["cls"]) for x in found.collect()} == {(m[0], max((c[4], c[0]) for c in classes if holds(c, m))[1]) for m in methods if any(holds(c, m) for c in classes)}
+    edges = spark.createDataFrame([], "source long, target long, edge_type string")
+    counts = Y.class_hierarchy(s, edges)
+    assert {x["id"]: x["methods"] for x in counts.collect()} == {c[0]: sum(holds(c, m) for m in methods) for c in classes}
+    for d in (found, counts):
+        joins = [x for x in d._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x]
+        assert joins and not any("<" in x for x in joins), joins

@@ -112,7 +112,8 @@ def glob_hits(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFra
         for n in lengths[k]:
             keys.append(F.transform(_long(segments, n), _struct(k, cut, n)))
     each = paths.withColumn("_k", F.explode(F.array_distinct(F.concat(*keys)))).withColumns({"_kind": F.col("_k.kind"), "_literal": F.col("_k.literal")}).drop("_k")
-    hit = each.join(rules, (F.col("_kind") == F.col("kind")) & (F.col("_literal") == F.col("literal"))).drop("_kind", "_literal")
+    # patterns are lines that people write; estimates would have the exploded paths broadcast instead
+    hit = each.join(F.broadcast(rules), (F.col("_kind") == F.col("kind")) & (F.col("_literal") == F.col("literal"))).drop("_kind", "_literal")
     return hit.where(F.expr(f"`{path}` RLIKE expression")).distinct()
 
 
@@ -150,9 +151,13 @@ def ignored(paths: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def reachable(paths: DataFrame, lines: DataFrame) -> DataFrame:
-    """paths that a walk finds: not ignored, and below no directory that is, as a walk does not go down into those."""
+    """paths that a walk finds: not ignored, and below no directory that is, as a walk does not go down into those.
+
+    Both joins are merged: what is left out may be as long as the paths, and paths shrink so well in a shuffle that its size
+    would have them broadcast.
+    """
     d = paths.select("path").distinct()
     up = d.select("path", F.explode(ancestors("path")).alias("above")).where("above <> '.' AND above <> path").withColumn("above", F.concat("above", F.lit("/")))
     closed = ignored(up.select(F.col("above").alias("path")).distinct(), lines).withColumnRenamed("path", "above")
-    shut = up.join(closed, "above", "left_semi").select("path").union(ignored(d, lines))
-    return d.join(shut.distinct(), "path", "left_anti")
+    shut = up.join(closed.hint("merge"), "above", "left_semi").select("path").union(ignored(d, lines))
+    return d.join(shut.distinct().hint("merge"), "path", "left_anti")

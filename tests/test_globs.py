@@ -71,3 +71,15 @@ def test_scopes_of_several_roots(spark):
 def test_tags_fold_case_only(spark):
     posts = spark.createDataFrame([(1, ["Web_UI"], 1), (2, ["web-ui"], 2)], "post long, tags array<string>, votes long")
     assert [r["post"] for r in X.posts_by(posts, tag=" web_ui ").collect()] == [1]
+
+
+def test_paths_are_never_broadcast(spark):
+    """Patterns go to the paths; what a walk leaves out is merged, as it may be as long as the paths."""
+    paths = spark.createDataFrame([("a/b/x.log",), ("a/build/o.o",), ("a/y.py",)], "path string")
+    lines = spark.createDataFrame([("l", ".", 0, "*.log"), ("l", ".", 1, "build/")], "layer string, directory string, pos int, pattern string")
+    found = G.reachable(paths, lines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert len([x for x in joins if "SortMergeJoin" in x]) == 2
+    assert all("BuildRight" in x for x in joins if "BroadcastHashJoin" in x)
+    assert [r["path"] for r in found.collect()] == ["a/y.py"]

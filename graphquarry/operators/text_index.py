@@ -12,6 +12,8 @@ from .text import K1, LEAST_IDF, B, compound, words
 BLOCK = 128
 #: Classes of frequency, powers of 2; the last has no end.
 LEVELS = 6
+#: Blocks of one bucket that a task makes, about.
+PART = 512
 
 
 def _part(tf, length, avg) -> Column:
@@ -24,6 +26,14 @@ def _idf(n, df) -> Column:
     return F.when(up > down, F.greatest(F.log(up / down), F.lit(LEAST_IDF))).otherwise(F.lit(LEAST_IDF))
 
 
+def _grouped(w: DataFrame) -> DataFrame:
+    """(doc, len, term, pos: array) of rows (doc, w: array of words): a row's words are sorted and cut where the next begins, without a shuffle."""
+    d = w.select("doc", F.size("w").alias("len"), F.array_sort(F.transform("w", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))).alias("s")).where("len > 0")
+    d = d.withColumn("at", F.expr("filter(sequence(0, len - 1), i -> i = 0 OR s[i].term <> s[i - 1].term)"))
+    run = F.expr("transform(at, (a, k) -> named_struct('term', s[a].term, 'pos', transform(slice(s, a + 1, coalesce(get(at, k + 1), len) - a), x -> x.pos)))")
+    return d.select("doc", "len", F.inline(run))
+
+
 class TextIndex:
     """Postings of documents' words in a Snapshot bucketed by term.
 
@@ -42,11 +52,17 @@ class TextIndex:
         """Index the columns' words, all pooled; one pass over the texts. A document is a row; rows of one key are one document of their words."""
         w = docs.select(F.col(self.key).alias("doc"), words(F.concat_ws(" ", *columns)).alias("w"))
         size = w.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("total"))
-        blocks = max(1, -(-docs.count() // BLOCK))
-        each = w.select("doc", F.size("w").alias("len"), F.posexplode("w").alias("pos", "term")).groupBy("doc", "term").agg(F.first("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("pos"))
+        have = docs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(self.key).alias("keys")).first()
+        blocks = max(1, -(-have["rows"] // BLOCK))
+        if have["rows"] == have["keys"]:
+            each = _grouped(w)
+        else:
+            each = w.select("doc", F.size("w").alias("len"), F.posexplode("w").alias("pos", "term")).groupBy("doc", "term").agg(F.first("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("pos"))
         each = each.withColumn("tf", F.size("pos")).withColumn("level", F.least(F.floor(F.log2("tf")).cast("int"), F.lit(LEVELS - 1)))
         each = each.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)))
-        block = each.groupBy("term", "level", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.array_sort(F.collect_list(F.struct("doc", "tf", "len", "pos"))).alias("docs"))
+        # postings go once to where their block is made, sorted and written: a bucket's share of PART blocks
+        dealt = each.withColumns({"bucket": self.store.bucket("term"), "part": F.floor(F.col("block") / PART)}).repartition("bucket", "part")
+        block = dealt.groupBy("bucket", "part", "term", "level", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.array_sort(F.collect_list(F.struct("doc", "tf", "len", "pos"))).alias("docs")).drop("part")
         return self.store.commit(self.store.newest(), {"postings": (block, None), "size": (size, None)})
 
     def _heads(self, terms: list[str]) -> DataFrame:

@@ -77,7 +77,7 @@ class Snapshot:
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{table}/{have[b]}/bucket={b}" for b in want])
 
     def commit(self, at: int | None, changes: dict[str, tuple[DataFrame, list[int] | None]]) -> int:
-        """changes: table -> (rows, the buckets that they replace; None: all). Returns the new version, made from version `at`."""
+        """changes: table -> (rows, the buckets that they replace; None: all). Returns the new version, made from version `at`. Rows with a column `bucket` have been dealt out already."""
         manifest, version = self._manifest(at), 0 if at is None else at + 1
         mark = f"v{version}-{uuid.uuid4().hex[:8]}"
         for table, (rows, touched) in changes.items():
@@ -86,7 +86,7 @@ class Snapshot:
                 continue
             path = f"{self.folder}/{table}/{mark}"
             # AQE shares out a bucket that is large, as that of a key with very many rows
-            dealt = rows.withColumn("bucket", self.bucket(key)).hint("rebalance", F.col("bucket"))
+            dealt = rows if "bucket" in rows.columns else rows.withColumn("bucket", self.bucket(key)).hint("rebalance", F.col("bucket"))
             dealt.sortWithinPartitions("bucket", *self.order.get(table, [])).write.partitionBy("bucket").parquet(path)
             new = {f.getPath().getName()[7:] for f in self._fs.listStatus(self._path(path)) if f.getPath().getName().startswith("bucket=")}
             gone = set(map(str, touched)) if touched is not None else set(manifest["tables"].get(table, {}))

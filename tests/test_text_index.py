@@ -58,3 +58,25 @@ def test_an_empty_table(spark, tmp_path):
     index = TextIndex(spark, str(tmp_path / "i"), buckets=4)
     index.build(spark.createDataFrame([], "doc_id long, body string"), "body")
     assert index.search("a").count() == 0 and index.search("a b").count() == 0 and index.search("  ").count() == 0
+
+
+def test_postings_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Of documents with keys of their own the words are grouped in their rows and go once to their bucket; a key of several rows is one document."""
+    from graphquarry.sources.snapshot import Snapshot
+
+    plans, commit = [], Snapshot.commit
+
+    def seen(self, at, changes):
+        plans.append(changes["postings"][0]._jdf.queryExecution().executedPlan().toString())
+        assert "bucket" in changes["postings"][0].columns
+        return commit(self, at, changes)
+
+    monkeypatch.setattr(Snapshot, "commit", seen)
+    d = spark.createDataFrame([(i, "b a a c" if i % 3 else "a b") for i in range(300)] + [(900, ""), (901, None)], "doc_id long, body string")
+    for name, docs in (("once", d), ("pooled", d.union(d.where("doc_id = 7")))):
+        index = TextIndex(spark, f"{tmp_path}/{name}", buckets=4)
+        index.build(docs, "body")
+        got = {r["doc"]: (r["tf"], r["len"], r["pos"]) for r in index._heads(["a"]).selectExpr("inline(docs)").collect()}
+        want = {i: (2, 4, [1, 2]) if i % 3 else (1, 2, [0]) for i in range(300)}
+        assert got == (want if name == "once" else want | {7: (4, 4, [1, 1, 2, 2])})
+    assert plans[0].count("Exchange") == 1, plans[0]

@@ -55,8 +55,12 @@ def call_targets(sites: DataFrame, symbols: DataFrame, imports: DataFrame, inher
 
 
 def tables_of(sites: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
-    """calls, unresolved_calls, class_edges and class_edges_unresolved; an `instantiates` edge that leads to no class of the project is unresolved."""
-    d = sites.join(targets.where("target IS NOT NULL"), "site", "left")
+    """What split_by_target has, of sites and their targets."""
+    return split_by_target(sites.join(targets.where("target IS NOT NULL"), "site", "left"))
+
+
+def split_by_target(d: DataFrame) -> dict[str, DataFrame]:
+    """calls, unresolved_calls, class_edges and class_edges_unresolved of sites with their target; an `instantiates` edge that leads to no class of the project is unresolved."""
     hit, miss = d.where("target IS NOT NULL"), d.where("target IS NULL")
     return {
         "calls": hit.where("fact = 'call'").select("caller", F.col("target").alias("callee"), "line", F.col("receiver").alias("context")).distinct(),
@@ -101,6 +105,6 @@ def promoted_enums(symbols: DataFrame, class_edges: DataFrame, unresolved: DataF
 
 
 def with_enums(symbols: DataFrame, enums: DataFrame) -> DataFrame:
-    """symbols with the type `enum` for those of enums (id)."""
+    """symbols with the type `enum` for those of enums (id). The join takes the hint of symbols, so what comes out has one again."""
     d = symbols.join(enums.select("id", F.lit("enum").alias("_e")), "id", "left")
-    return d.withColumn("symbol_type", F.coalesce("_e", "symbol_type")).select(symbols.columns)
+    return d.withColumn("symbol_type", F.coalesce("_e", "symbol_type")).select(symbols.columns).hint("merge")

@@ -129,3 +129,33 @@ def test_the_last_binding_of_a_name_holds(spark, line, want):
     files = {"src/pkg/a.py": "def f(): pass\n", "src/pkg/b.py": "def f(): pass\n", "src/pkg/use.py": f"{line}\ndef g():\n    m.f()\n"}
     _, out, names = graph(spark, files)
     assert [names[r["callee"]] for r in out["calls"].collect()] == ([want] if want else [])
+
+
+def test_long_tables_are_not_broadcast(spark):
+    """A table that grew behind a small one is joined by merging, although Spark guesses its size from the small one; a short one is left to Spark."""
+    import os
+
+    from graphquarry.operators.traverse import cut
+
+    def grown(batches):
+        for b in batches:
+            b = b.loc[b.index.repeat(40)]
+            yield b.assign(text=[os.urandom(100).hex() for _ in range(len(b))])
+
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    few, many = (cut(spark.range(n).mapInPandas(grown, "id long, text string")) for n in (10, 1000))
+    keys = cut(spark.range(1000))
+    assert "BroadcastHashJoin" not in plan(many.join(cut(spark.range(20).mapInPandas(grown, "id long, text string")), "id", "left"))
+    assert "BroadcastHashJoin" not in plan(keys.join(many, "id", "left"))
+    assert "BroadcastHashJoin" in plan(keys.join(few, "id", "left"))
+    assert keys.join(many, "id", "left").count() == 40000
+
+
+def test_paths_of_one_small_file_are_parsed_in_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphquarry.sources.python_code import python_facts
+
+    spark.range(400).select(F.concat(F.lit("a"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit("def f():\n    pass\n").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    facts = python_facts(spark.read.parquet(f"{tmp_path}/t"))
+    assert facts.select(F.spark_partition_id().alias("p")).distinct().count() > 4 and facts.where("fact = 'symbol'").count() == 400

@@ -62,8 +62,9 @@ class SymbolStore:
     def tables(self, at: int | None = None) -> dict[str, DataFrame]:
         """symbols, calls, unresolved_calls, class_edges and class_edges_unresolved of the newest version, or of version `at`."""
         at = self.store.newest() if at is None else at
-        sites, symbols = self.store.read("sites", at), Z.symbols_of(self.store.read("facts", at))
-        tables = Z.tables_of(sites.drop("target", "target_file"), sites.select("site", "target"))
+        # the size of a column file says little of its rows: whole tables are joined by merging
+        symbols = Z.symbols_of(self.store.read("facts", at)).hint("merge")
+        tables = Z.split_by_target(self.store.read("sites", at))
         return {"symbols": Z.with_enums(symbols, Z.promoted_enums(symbols, tables["class_edges"], tables["class_edges_unresolved"])), **tables}
 
     def _of(self, table: str, at: int, keys: DataFrame, key: str) -> DataFrame:
@@ -95,7 +96,7 @@ class SymbolStore:
         stored = cut(self._of("facts", at, affected.join(changed, "file", "left_anti"), "path"))
         own = cut(stored.unionByName(facts))
         candidates = cut(_importers(own).select(F.col("candidate").alias("file")).distinct())
-        imports = cut(Z.bindings(own, present(candidates)))
+        imports = cut(Z.bindings(own, cut(present(candidates))))
 
         def symbols_in(f: DataFrame) -> DataFrame:
             """Symbols of files (file): of changed ones from the new facts."""

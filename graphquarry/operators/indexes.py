@@ -37,9 +37,16 @@ def rules_for(paths: DataFrame, rules: DataFrame, limit: int | None = None) -> D
     dirs = paths.select("path", F.posexplode(ancestors("path")).alias("depth", "directory"))
     r = rules.withColumn("directory", F.when(F.col("directory") == "project", ".").otherwise(F.col("directory")))
     w = W.partitionBy("path")
-    d = dirs.join(r, "directory").withColumn("total", F.count(F.lit(1)).over(w))
-    d = d.withColumn("rank", F.row_number().over(w.orderBy("depth", F.desc("priority"), "title")))
-    return d if limit is None else d.where(F.col("rank") > F.col("total") - limit)
+    if limit is None:
+        d = dirs.join(r, "directory").withColumn("total", F.count(F.lit(1)).over(w))
+        return d.withColumn("rank", F.row_number().over(w.orderBy("depth", F.desc("priority"), "title")))
+    # of a directory only its last rules can stay, so no path meets more of them than that; what it had in all is counted apart
+    n = r.groupBy("directory").agg(F.count(F.lit(1)).alias("n"))
+    totals = dirs.join(n, "directory").groupBy("path").agg(F.sum("n").alias("total"))
+    from_end = [F.asc_nulls_first("priority"), F.desc_nulls_last("title")]
+    last = r.withColumn("_r", F.row_number().over(W.partitionBy("directory").orderBy(*from_end))).where(F.col("_r") <= limit).drop("_r")
+    d = dirs.join(last, "directory").withColumn("_r", F.row_number().over(w.orderBy(F.desc("depth"), *from_end))).where(F.col("_r") <= limit)
+    return d.join(totals, "path").withColumn("rank", (F.col("total") - F.col("_r") + 1).cast("int")).drop("_r")
 
 
 def by_title(rows: DataFrame) -> DataFrame:

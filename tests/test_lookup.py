@@ -47,3 +47,21 @@ def test_staleness(spark):
     files = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", "1")], "path string, hash string")
     designs = spark.createDataFrame([("a", "A", "1"), ("b", "B", "1"), ("c", "C", "1")], "source string, title string, source_hash string")
     assert sorted(map(tuple, K.stale_designs(files, designs).collect())) == [("a", "A", False), ("b", "B", True), ("c", "C", True)]
+
+
+def test_last_rules_of_a_crowded_directory_are_found_without_pairing_all(spark):
+    """With a limit, a path meets the last rules of each directory only: as many rows as that, with ranks and totals over all."""
+    from graphquarry.operators.indexes import rules_for
+
+    rules = [(d, None if i % 9 == 0 else i % 7, f"{d}{i:04d}" if i % 5 else None) for d, n in ((".", 4), ("a", 300), ("a/b", 2)) for i in range(n)]
+    rules = [(*x, i) for i, x in enumerate(rules) if x[2] is not None or x[1] == 3]
+    r = spark.createDataFrame(rules, "directory string, priority int, title string, rule int")
+    paths = ["a/b/c", "a/d", "e"]
+    got = rules_for(spark.createDataFrame([(p,) for p in paths], "path string"), r, 3)
+    order = lambda x: (len(x[0]) if x[0] != "." else 0, x[1] is None, -(x[1] or 0), x[2] is not None, x[2] or "")
+    want = set()
+    for p in paths:
+        mine = sorted((x for x in rules if x[0] == "." or (p + "/").startswith(x[0] + "/")), key=order)
+        want |= {(p, x[0], x[1], x[2], i + 1, len(mine)) for i, x in list(enumerate(mine))[-3:]}
+    assert {tuple(x) for x in got.select("path", "directory", "priority", "title", "rank", "total").collect()} == want
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()

@@ -88,10 +88,12 @@ def sites_of(parsed: DataFrame) -> DataFrame:
 def resolved(sites: DataFrame, names: DataFrame) -> DataFrame:
     """LINKS of the sites: a name's best target over its keys."""
     best = names.groupBy("key").agg(F.min(F.struct("rank", "path")).alias("best"))
-    asked = sites.where(F.size("keys") > 0).select("owner", "source", "name", "link_type", "fallback", "kind", F.explode("keys").alias("key"))
-    # a popular name may hold many of the rows: sites are counted once a name and owner, and AQE splits the rest
-    hit = asked.join(best, "key", "left").groupBy("owner", "source", "name", "link_type", "fallback", "kind").agg(F.min("best").alias("best"))
-    found = hit.select("owner", "source", F.coalesce("best.path", "fallback").alias("target"), "link_type", "kind").where("target IS NOT NULL")
+    named = sites.where(F.size("keys") > 0)
+    # a popular name is looked up once, however many files refer to it
+    asked = named.select("keys").distinct().select("keys", F.explode("keys").alias("key"))
+    hit = asked.join(best, "key").groupBy("keys").agg(F.min("best").alias("best"))
+    hit = hit.select("keys", F.col("best.path").alias("path"))
+    found = named.join(hit, "keys", "left").select("owner", "source", F.coalesce("path", "fallback").alias("target"), "link_type", "kind").where("target IS NOT NULL")
     fixed = sites.where(F.size("keys") == 0).select("owner", "source", F.col("fallback").alias("target"), "link_type", "kind").where("source IS NOT NULL AND target IS NOT NULL")
     return found.union(fixed).distinct()
 

@@ -71,3 +71,15 @@ def test_bases_are_walked_to_the_end(spark):
     m = spark.createDataFrame([(12, "far"), (5, "near"), (6, "near")], "owner long, name string")
     out = {(r["cls"], r["name"]): r["owner"] for r in V.resolve_in_bases(inh, m, spark.range(13).withColumnRenamed("id", "cls")).collect()}
     assert all(out[c, "far"] == 12 for c in range(13)) and out[0, "near"] == 5 and out[6, "near"] == 6
+
+
+def test_a_popular_name_is_looked_up_once(spark):
+    """Owners of a name share one look-up by its keys, and links are as by each key alone; what nothing answers falls back."""
+    from graphquarry.operators import build as B
+
+    rows = [(f"o{i}", f"o{i}", "n", ["a:n", "c:n"], "wikilink", "stub/n", "concept") for i in range(50)] + [("x", "x", "m", ["a:m"], "wikilink", None, "concept"), ("y", "y", "k", ["a:k", None], "wikilink", "stub/k", "concept"), ("z", "z", "s", [], "stack_file_ref", "src/s", "source")]
+    sites = spark.createDataFrame(rows, "owner string, source string, name string, keys array<string>, link_type string, fallback string, kind string")
+    names = spark.createDataFrame([("c:n", 1, "c/2", "concept"), ("a:n", 2, "c/1", "concept"), ("c:n", 3, "c/0", "concept")], B.NAMES)
+    got = B.resolved(sites, names)
+    assert {(r["owner"], r["target"]) for r in got.collect()} == {(f"o{i}", "c/2") for i in range(50)} | {("y", "stub/k"), ("z", "src/s")}
+    assert "Aggregate [keys" in got._jdf.queryExecution().optimizedPlan().toString()

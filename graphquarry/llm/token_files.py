@@ -62,11 +62,18 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     groups = sorted((g for g in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(g)), key=len, reverse=True)
     at = next((i for i, g in enumerate(groups) if len(g) == 1), len(groups))
     for g in groups[:at]:
-        for seed in range(1, 1 << 31):
-            s = (_hash(k[g], seed) % np.uint64(n)).astype(np.int64)
-            if len(set(s.tolist())) == len(g) and not taken[s].any():
+        # the last buckets find few free slots and try thousands of seeds: many at once
+        first_seed, many = 1, 32
+        while True:
+            s = (_hash(k[g], np.arange(first_seed, first_seed + many)[:, None]) % np.uint64(n)).astype(np.int64)
+            fits = np.flatnonzero(~taken[s].any(axis=1))
+            apart = np.sort(s[fits], axis=1)
+            fits = fits[(apart[:, 1:] != apart[:, :-1]).all(axis=1)]
+            if len(fits):
                 break
-        seeds[bucket[g[0]]], place[g], taken[s] = seed, s, True
+            first_seed, many = first_seed + many, min(2 * many, 1024)
+        s = s[fits[0]]
+        seeds[bucket[g[0]]], place[g], taken[s] = first_seed + fits[0], s, True
     for g, s in zip(groups[at:], np.flatnonzero(~taken), strict=True):
         seeds[bucket[g[0]]], place[g] = -1 - s, s
     prints, slots = np.zeros(n, np.uint32), np.zeros(n, np.uint32)

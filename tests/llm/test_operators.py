@@ -227,6 +227,15 @@ def test_minimal_perfect_hash():
     assert (token_files.find(keys + 1, *index) >= 0).mean() < 0.01
 
 
+def test_minimal_perfect_hash_tries_many_seeds_at_once(monkeypatch):
+    calls, own = [], token_files._hash
+    monkeypatch.setattr(token_files, "_hash", lambda k, seed: calls.append(1) or own(k, seed))
+    keys = np.arange(720)
+    index = token_files.build_index(keys)
+    assert len(calls) < 2 * len(keys)  # a seed at a time needs tens of thousands
+    assert (token_files.find(keys, *index) == keys).all()
+
+
 def test_quality_rules_equal_sql(spark, docs, none):
     import duckdb
 

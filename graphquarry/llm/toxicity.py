@@ -7,7 +7,7 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterable
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +24,18 @@ CALIBRATION, CLUSTERS, SIGNS = 1500, 8, 512
 #: A term in one of so many examples of a cluster is common there: its weights stand in a table, those of the others in lists.
 COMMON = 12
 #: Neighbours, examples of a block, queries at once; weight that draws votes to the common share; least weight of a term.
-NEAREST, BLOCK, QUERIES, PRIOR, SMALL = 15, 64, 128, 0.06, 0.01
+NEAREST, BLOCK, QUERIES, PRIOR, SMALL = 15, 32, 256, 0.06, 0.01
 #: More than twice what single precision can lose of a cosine.
 MARGIN = np.float32(2e-4)
 _FOLD = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
 
+def _folded(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace").translate(_FOLD)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_FOLD).split()
+    return _folded(text).split()
 
 
 def terms_of_word(word: bytes) -> list[bytes]:
@@ -49,6 +53,11 @@ def terms_of(words: list[bytes]) -> Counter[bytes]:
     return c
 
 
+def _numbers(terms, get) -> np.ndarray:
+    """What get has for each of an Arrow column of terms; -1 where it has nothing."""
+    return np.fromiter(map(get, terms.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(terms))
+
+
 class Numbers:
     """Numbers of the terms of texts. Words and both kinds of beginnings are looked up apart, so no term is put together."""
 
@@ -56,13 +65,29 @@ class Numbers:
         begin = {n: {t[1:]: i for t, i in number.items() if len(t) == n + 1 and t[:1] == b"^"} for n in (4, 5)}
         self.word, self.four, self.five = number.get, begin[4].get, begin[5].get
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbered terms of a text, ascending, and how often each occurs."""
-        words = words_of(text)
-        four, five = [w[:4] for w in words if len(w) > 4], [w[:5] for w in words if len(w) > 5]
-        found = chain(map(self.word, words, repeat(-1)), map(self.four, four, repeat(-1)), map(self.five, five, repeat(-1)))
-        at = np.fromiter(found, np.int32, len(words) + len(four) + len(five))
-        return np.unique(at[at >= 0], return_counts=True)
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its numbered terms, ascending, and how often each occurs. Arrow cuts and numbers the words of all
+        texts, so that each different word is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        folded = pa.array([_folded(t) for t in texts], pa.large_binary()).view(pa.large_string())
+        words = pc.ascii_split_whitespace(folded)
+        coded = words.values.dictionary_encode()
+        known = coded.dictionary.view(pa.large_binary())
+        size = pc.binary_length(known).to_numpy()
+        # for each different word: its number and those of its beginnings, -1 for none
+        at = np.full((3, len(known)), -1, np.int64)
+        at[0] = _numbers(known, self.word)
+        for side, n, get in ((1, 4, self.four), (2, 5, self.five)):
+            begin = pc.binary_slice(known.filter(pa.array(size > n)), 0, n).dictionary_encode()
+            at[side, size > n] = _numbers(begin.dictionary, get)[begin.indices.to_numpy()]
+        at = at[:, coded.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts), dtype=np.int64) << 32, np.diff(words.offsets.to_numpy()))
+        key, n = np.unique((at + text)[at >= 0], return_counts=True)
+        cut = np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.int64) << 32).tolist()
+        key &= 0xFFFFFFFF
+        return [(key[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def clusters(x: np.ndarray, k: int, steps: int = 6) -> np.ndarray:
@@ -144,7 +169,9 @@ class Index:
         self.column, example, self.tables = np.zeros(n, np.int32), [], []
         listed = np.ones(len(at), bool)
         for c in range(int(self.cluster.max(initial=0)) + 1):
+            # like lengths stand together: a short text's large weights would loosen the bounds of long ones in its block
             own = np.flatnonzero(self.cluster == c)
+            own = own[np.argsort(self.norm[own], kind="stable")]
             if not len(own):
                 continue
             first = len(example)
@@ -282,7 +309,7 @@ class Index:
     def score(self, texts: list[str | None], scale: tuple[float, float] | None = None) -> list[tuple[float, list[int]]]:
         """Calibrated votes of the nearest, and the ids of those."""
         scale = scale or self.scale
-        tfs = [self.numbers.counts(t) for t in texts]
+        tfs = self.numbers.counts(texts)
         near = iter(self.search([self._vector(*tf) for tf in tfs if len(tf[0])]))
         out = []
         for tf in tfs:
@@ -309,9 +336,10 @@ def _term_counts(docs: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray,
 
         total, seen, numbers = 0, np.zeros(len(number), np.int64), Numbers(number)
         for batch in batches:
-            for text in batch.column("text"):
-                seen[numbers.counts(text.as_py())[0]] += 1
-                total += 1
+            total += batch.num_rows
+            for a, n in text_slices(batch.column("text")):
+                found = numbers.counts(batch.column("text").slice(a, n).to_pylist())
+                seen += np.bincount(np.concatenate([t for t, _ in found]), minlength=len(number))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], total))], schema=arrow)
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from graphquarry.llm.toxicity import NEAREST, Index
+from graphquarry.llm.toxicity import NEAREST, Index, Numbers, terms_of, words_of
 
 
 def test_block_max_search_is_exact():
@@ -58,3 +58,16 @@ def test_votes_are_calibrated():
     index = Index([b"t%d" % i for i in range(53)], df, 400, rows, label, float(label.mean()))
     index.calibrate()
     assert index.scale and index.scale[0] > 0
+
+
+def test_terms_of_a_batch_are_looked_up_once():
+    texts = ["Große Häuser, große; STRASSEN strassenbahn " * 40, None, "", "\n 12 !", "großer strassen été\x00été naïveté \ud800x", "zz " * 500 + "straßen"]
+    terms = sorted({t for x in texts[::2] for t in terms_of(words_of(x))})
+    numbers, asked = Numbers({t: i for i, t in enumerate(terms)}), []
+    own = numbers.word
+    numbers.word = lambda *a: asked.append(a[0]) or own(*a)
+    got = numbers.counts(texts)
+    for x, (at, n) in zip(texts, got, strict=True):
+        want = sorted((terms.index(t), k) for t, k in terms_of(words_of(x)).items() if t in terms)
+        assert list(zip(at.tolist(), n.tolist(), strict=True)) == want
+    assert len(asked) == len(set(asked)) and numbers.counts([]) == []

@@ -83,3 +83,20 @@ def test_a_popular_name_is_looked_up_once(spark):
     got = B.resolved(sites, names)
     assert {(r["owner"], r["target"]) for r in got.collect()} == {(f"o{i}", "c/2") for i in range(50)} | {("y", "stub/k"), ("z", "src/s")}
     assert "Aggregate [keys" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_impact_groups_the_posts_of_met_nodes_only(spark):
+    links = spark.createDataFrame([("b", "a", "x"), ("b", "a", "x"), ("c", "b", "x"), ("c", "b", "y"), ("d", "z", "x")], "source string, target string, link_type string")
+    artifacts = spark.createDataFrame([(x, "design", x.upper()) for x in "abcdz"], "path string, kind string, title string")
+    posts = spark.createDataFrame([("p2", "two", "open", "b"), ("p1", "one", "open", "b"), ("p1", "one", "open", "b"), ("p3", "far", "open", "z"), ("p4", "shut", "done", "c")], "path string, title string, status string, about string")
+    out = V.impact(links, artifacts, posts, "a", 2)
+    assert got(out) == [("b", "design", "B", 1, "x", "p1 (one); p2 (two)"), ("c", "design", "C", 2, "x", ""), ("c", "design", "C", 2, "y", "")]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_link_rows_are_links_without_a_shuffle(spark):
+    from graphquarry.sources.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    assert got(v.link_rows.distinct()) == got(v.links)
+    assert "Exchange" not in v.link_rows._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.norm import ancestors, norm_concept, strip
 from .globs import glob_hits, glob_rules
 
+#: Fixed value: of a directory so many paths and rules meet in a task at once.
+BLOCK = 2000
+
 
 def find_concept(concepts: DataFrame, name: str) -> DataFrame:
     k = norm_concept(F.lit(name))
@@ -77,11 +80,34 @@ def by_any_scope(paths: DataFrame, rules: DataFrame, roots: list[str]) -> DataFr
     tops = [r.strip("/") or "." for r in roots]
     owner = F.coalesce(*[F.when(below(flat("path"), F.lit(t)), F.lit(r)) for r, t in zip(roots, tops, strict=True)]) if roots else F.lit(None).cast("string")
     top = F.when(flat("root") == "", F.lit(".")).otherwise(flat("root"))
-    dirs = paths.select("path", owner.alias("root")).where("root IS NOT NULL").withColumn("top", top).withColumn("dir", F.explode(ancestors(flat("path"))))
+    edge = F.when(flat("root").isin("", "."), 1).otherwise(F.length(flat("root")))
+    dirs = paths.select("path").distinct().select("path", owner.alias("root")).where("root IS NOT NULL").withColumns({"top": top, "edge": edge}).withColumn("dir", F.explode(F.array_distinct(ancestors(flat("path")))))
     dirs = dirs.where((F.col("dir") == ".") | below(F.col("dir"), F.col("top"))).drop("top")
     r = rules.select("rule", F.explode("scopes").alias("dir"))
     r = r.withColumn("dir", F.when(F.col("dir").isin("project", ".") | (flat("dir") == ""), ".").otherwise(flat("dir")))
-    return dirs.join(r, "dir").select("path", "root", "rule").distinct()
+    # a rule counts at the broadest of its scopes that a path has: at "." if that is one, else where none above is within the root
+    r = r.groupBy("rule").agg(F.collect_set("dir").alias("all")).withColumn("all", F.when(F.array_contains("all", "."), F.array(F.lit("."))).otherwise(F.col("all")))
+    over = F.array_max(F.transform(F.filter("all", lambda a: F.col("dir").startswith(F.concat(a, F.lit("/")))), F.length))
+    r = r.withColumn("dir", F.explode("all")).select("rule", "dir", F.coalesce(over, F.lit(0)).alias("over"))
+    return _paired(dirs, r, F.col("over") < F.col("edge")).select("path", "root", "rule")
+
+
+def _paired(dirs: DataFrame, rules: DataFrame, where) -> DataFrame:
+    """dirs (path, dir) joined with rules (rule, dir) where that holds; many pairs of one directory are dealt to many tasks.
+
+    A directory of over BLOCK paths or rules is cut into cells of about BLOCK paths and BLOCK rules each, so a row is repeated once
+    for BLOCK of those that it meets. Tasks are as many as shuffles have: by their bytes, which say nothing of pairs, they would be few.
+    """
+    blocks = lambda d, name: d.groupBy("dir").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name)).where(F.col(name) > 1)
+    crowded = blocks(dirs, "_np").join(blocks(rules, "_nr"), "dir", "full_outer")
+    n = int(dirs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(d: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        d = d.join(F.broadcast(crowded), "dir", "left")  # at most a row for BLOCK paths or rules
+        d = d.withColumns({f"{own}b": F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))), f"{other}b": F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("_np", "_nr")
+        return d.withColumns({c: F.col(c).cast("int") for c in ("_npb", "_nrb")}).repartition(n, "dir", "_npb", "_nrb")
+
+    return dealt(dirs, "path", "_np", "_nr").hint("merge").join(dealt(rules, "rule", "_nr", "_np"), ["dir", "_npb", "_nrb"]).where(where)
 
 
 def by_trigger_dir(dirs: DataFrame, playbooks: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphquarry.operators import globs as G
 from graphquarry.operators import indexes as X
@@ -68,6 +69,30 @@ def test_scopes_of_several_roots(spark):
     assert {r["rule"] for r in X.by_any_scope(paths, rules, ["."]).where("path = 'a/b/c/x.py'").collect()} == {1, 2, 4, 5, 6}
 
 
+def test_crowded_scopes_are_dealt_out_and_pairs_never_shuffled(spark, monkeypatch):
+    """A directory's many paths meet its many rules in several tasks, and a pair is made once, however many scopes of a rule a path has."""
+    monkeypatch.setattr(X, "BLOCK", 20, raising=False)
+    paths = [f"{a}/{b}/f{i}" for a in ("a", "ab", "q") for b in ("b", "b/c", "c") for i in range(20)] + ["z", "a", "a/b", ".", "./x"]
+    some = ["a", "/a/b/", "a/b/c", "b", "q", "q/c", "ab", ".", "project", "a/b/f3", "./x", None]
+    rules = [(i % 290 if i else None, [some[(i * k + i // 7) % len(some)] for k in range(1, 1 + i % 4)]) for i in range(300)]
+    rules += [(1000 + i, ["a/b", "a", "."]) for i in range(100)] + [(1100 + i, ["a/b/c", "a/b", "a"]) for i in range(100)]
+    roots = ["a/b", "q/", "."]
+    want = set()
+    for p in paths:
+        root = next(r for r in roots if (p + "/").startswith(r.strip("/") + "/") or r == ".")
+        top, parts = root.strip("/"), p.split("/")
+        above = {"/".join(parts[: i + 1]) for i in range(len(parts))}
+        held = {d for d in above if top == "." or (d + "/").startswith(top + "/")} | {".", "project"}
+        want |= {(p, root, rule) for rule, scopes in rules if any(x and (x.strip("/") or ".") in held for x in scopes)}
+    got = X.by_any_scope(spark.createDataFrame([(p,) for p in paths * 2], "path string"), spark.createDataFrame(rules, "rule long, scopes array<string>"), roots)
+    rows = [tuple(r) for r in got.select("path", "root", "rule").collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Exchange")  # from the top: no shuffle comes after pairing
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 4 and max(shares) < len(want) / 2
+
+
 def test_tags_fold_case_only(spark):
     posts = spark.createDataFrame([(1, ["Web_UI"], 1), (2, ["web-ui"], 2)], "post long, tags array<string>, votes long")
     assert [r["post"] for r in X.posts_by(posts, tag=" web_ui ").collect()] == [1]

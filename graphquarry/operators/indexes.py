@@ -96,11 +96,13 @@ def _paired(dirs: DataFrame, rules: DataFrame, where) -> DataFrame:
     """dirs (path, dir) joined with rules (rule, dir) where that holds; many pairs of one directory are dealt to many tasks.
 
     A directory of over BLOCK paths or rules is cut into cells of about BLOCK paths and BLOCK rules each, so a row is repeated once
-    for BLOCK of those that it meets. Tasks are as many as shuffles have: by their bytes, which say nothing of pairs, they would be few.
+    for BLOCK of those that it meets. Tasks are as many as shuffles have, and four a core: by their bytes, which say nothing of pairs,
+    they would be few.
     """
     blocks = lambda d, name: d.groupBy("dir").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name)).where(F.col(name) > 1)
     crowded = blocks(dirs, "_np").join(blocks(rules, "_nr"), "dir", "full_outer")
-    n = int(dirs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = dirs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
     def dealt(d: DataFrame, key: str, own: str, other: str) -> DataFrame:
         d = d.join(F.broadcast(crowded), "dir", "left")  # at most a row for BLOCK paths or rules
